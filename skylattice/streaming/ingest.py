@@ -73,11 +73,11 @@ def pending(candidates: DataFrame, done: DataFrame, keys: Sequence[str]) -> Data
     return candidates.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def append_log(batch: DataFrame, path: str, done_path: str, keys: Sequence[str], scanned: DataFrame, day: str) -> None:
+def append_log(batch: DataFrame, path: str, done_path: str, keys: Sequence[str], scanned: DataFrame, part: str) -> None:
     """Append rows with their provenance columns, then record the scanned keys (with or without rows) as done.
 
-    Rows go first and each day folder is replaced as a whole, so a retry after a failure between the two writes
+    Rows go first and each `part` (granule) folder is replaced as a whole, so a retry after a failure between the two writes
     leaves the same table.
     """
-    batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+    batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
     scanned.select(*keys).distinct().write.mode("append").parquet(done_path)
