@@ -30,13 +30,14 @@ def any_vertex_in_box(points: str, x0: float, x1: float, y0: float, y1: float) -
 
 
 def segment_cells(segments: DataFrame, size: float) -> DataFrame:
-    """Segments exploded to the square cells they touch, with the clipped length in each (`len_in`).
+    """Segments exploded to the closed square cells they touch, with the clipped length in each (`len_in`); a
+    segment along a shared edge counts in both cells.
 
     Columns first, then only the rows the segment spans inside each column: the number of candidates grows
     with the segment's length, not with the area of its bounding box.
     """
     lo, hi = F.least("x1", "x2"), F.greatest("x1", "x2")
-    s = segments.withColumn("cx", F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size))))
+    s = segments.withColumn("cx", F.explode(F.sequence(F.ceil(lo / size) - 1, F.floor(hi / size))))
     dx = F.col("x2") - F.col("x1")
 
     def y_at(x):
@@ -72,8 +73,8 @@ def sub_points(size: float, per_side: int) -> Column:
     """Offsets of a regular per_side x per_side set of sample points inside a cell, as an array."""
     n = per_side * per_side
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(
-        k.alias("k"), ((k % per_side + 0.5) * (size / per_side)).alias("dx"),
-        ((F.floor(k / per_side) + 0.5) * (size / per_side)).alias("dy")))
+        k.alias("k"), ((k % per_side + 0.5) * size / per_side).alias("dx"),
+        ((F.floor(k / per_side) + 0.5) * size / per_side).alias("dy")))
 
 
 def cover_fraction(polygons: DataFrame, ring: str, cells: DataFrame, size: float, per_side: int = 5,

@@ -1,4 +1,4 @@
-from skylattice.plans import observe  # noqa: F401
+from skylattice.plans import observe, space  # noqa: F401
 from skylattice.plans.registry import CATALOGUE
 
 __all__ = ["CATALOGUE"]
