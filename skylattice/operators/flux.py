@@ -52,9 +52,9 @@ def emission_map(flux: DataFrame, spec: GridSpec, tau_s: Column | float, v_bg: C
             .select(*keys, "iy", "ix", "vbar", "div", "sink", "emission"))
 
 
-def lifetime_background_variants(flux: DataFrame, variants: Sequence[tuple[str, float, float]]) -> DataFrame:
-    """Repeat each flux row per (variant, tau_s, v_bg)."""
-    rows = F.array(*[F.struct(F.lit(n).alias("variant"), F.lit(float(t)).alias("tau_s"), F.lit(float(b)).alias("v_bg"))
+def lifetime_background_variants(flux: DataFrame, variants: Sequence[tuple[str, Column, Column]]) -> DataFrame:
+    """Repeat each flux row per (variant, tau_s, v_bg); both are expressions over the row."""
+    rows = F.array(*[F.struct(F.lit(n).alias("variant"), t.cast("double").alias("tau_s"), b.cast("double").alias("v_bg"))
                      for n, t, b in variants])
     return flux.withColumn("__v", F.explode(rows)).select("*", "__v.*").drop("__v")
 

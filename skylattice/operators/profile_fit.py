@@ -3,7 +3,7 @@
 Many profiles (regime x replicate x setting) are fitted at once. For a node (x0, mu, sigma) of a coarse grid the
 remaining parameters enter linearly, so each node is a closed-form least-squares solve over sums; the best node is
 kept and the grid is refined around it. Nodes come from an exploded sequence; sums combine on the map side.
-Shuffle per round: (profile, node) sums, then (profile).
+Shuffle per round: the profile points by (profile, node chunk); best nodes by (profile).
 """
 
 from __future__ import annotations
@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from skylattice.functions.special import emg_unit
 from skylattice.functions.values import kt_per_year
+from skylattice.operators.materialise import materialise, task_slots
 from skylattice.operators.sizing import join_on
 from skylattice.settings import MOLAR_MASS_NO2
 
+CHUNKS = 8
 # Search ranges of decay length, source offset and smoothing width (km).
 RANGES = {"x0": (2.0, 150.0), "mu": (-15.0, 15.0), "sigma": (1.0, 30.0)}
 
@@ -44,7 +46,12 @@ def _round(pts: DataFrame, keys: list[str], sloped: bool, shape: tuple[int, int,
     node = F.col("node")
     idx = {"x0": F.floor(node / (n2 * n3)), "mu": F.floor(node / n3) % n2, "sigma": node % n3}
     count = {"x0": n1, "mu": n2, "sigma": n3}
-    t = pts.withColumn("node", F.explode(F.sequence(F.lit(0), F.lit(n1 * n2 * n3 - 1))))
+    # a (profile, node chunk) pair lives in one task: sums need no further shuffle, and few profiles still fill all cores
+    size = -(-n1 * n2 * n3 // CHUNKS)
+    t = (pts.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(CHUNKS - 1))))
+         .repartition(task_slots(pts.sparkSession), *keys, "chunk")
+         .withColumn("node", F.explode(F.sequence(F.col("chunk") * size, F.col("chunk") * size + size - 1)))
+         .where(F.col("node") < n1 * n2 * n3))
     for p in ("x0", "mu", "sigma"):
         frac = idx[p] / float(max(count[p] - 1, 1))
         if p == "mu":
@@ -54,7 +61,7 @@ def _round(pts: DataFrame, keys: list[str], sloped: bool, shape: tuple[int, int,
         t = t.withColumn(p, val)
     t = t.withColumn("f", emg_unit(F.col("x"), F.col("x0"), F.col("mu"), F.col("sigma")) / 1000)
     bounds = [f"{p}_{s}" for p in RANGES for s in ("lo", "hi")]
-    s = t.groupBy(*keys, "node", *bounds, "x0", "mu", "sigma").agg(
+    s = t.groupBy(*keys, "chunk", "node", *bounds, "x0", "mu", "sigma").agg(
         F.count("*").cast("double").alias("n"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"),
         F.sum("f").alias("sf"), F.sum(F.col("f") * F.col("f")).alias("sff"), F.sum(F.col("f") * F.col("x")).alias("sfx"),
         F.sum("l").alias("sl"), F.sum(F.col("f") * F.col("l")).alias("sfl"), F.sum(F.col("x") * F.col("l")).alias("sxl"),
@@ -84,6 +91,8 @@ def fit_profiles(profiles: DataFrame, keys: Sequence[str], x: str = "along", y:
     if along_max is not None:
         base = base.where(F.col(x) <= along_max)
     base = base.select(*keys, F.col(x).alias("x"), F.col(y).alias("l"))
+    if rounds > 1:
+        base = materialise(base)
     pts = base.select("*", *[F.lit(v).alias(f"{p}_{s}") for p, r in RANGES.items() for v, s in zip(r, ("lo", "hi"))])
     best = _round(pts, keys, sloped, shape)
     for _ in range(rounds - 1):
@@ -97,7 +106,7 @@ def fit_profiles(profiles: DataFrame, keys: Sequence[str], x: str = "along", y:
                 step = F.pow(hi / lo, F.lit(1.0 / (n - 1)))
                 a, b = v / step, v * step
             new += [F.greatest(F.lit(RANGES[p][0]), a).alias(f"{p}_lo"), F.least(F.lit(RANGES[p][1]), b).alias(f"{p}_hi")]
-        best = _round(join_on(base, best.select(*keys, *new), keys), keys, sloped, shape)
+        best = _round(join_on(base, materialise(best.select(*keys, *new)), keys), keys, sloped, shape)
     near = F.array(*[F.when(F.least(F.col(p) - r[0], r[1] - F.col(p)) < 1e-3 * (r[1] - r[0]), F.lit(p)) for p, r in RANGES.items()])
     return best.select(*keys, "x0", "mu", "sigma", "a", "b", "c", "sse", "r2", F.col("outside").cast("boolean").alias("outside_bounds"),
                        F.array_compact(near).alias("at_bound"))

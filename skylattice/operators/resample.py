@@ -20,6 +20,8 @@ def multinomial_weights(units: DataFrame, unit: str, reps: int, seed: int, strat
 
     `units` holds one row per unit (overpass, block), per stratum. Units that are not drawn have no row.
     """
+    if reps < 1:
+        raise ValueError("at least one replicate is needed")
     strata = list(strata)
     order = Window.partitionBy(*strata).orderBy(unit)
     ranked = units.select(*strata, unit).distinct().select(
@@ -32,10 +34,10 @@ def multinomial_weights(units: DataFrame, unit: str, reps: int, seed: int, strat
     return join_on(w, ranked.drop("__n"), [*strata, "__slot"]).drop("__slot")
 
 
-def with_main(weights: DataFrame, units: DataFrame, unit: str, strata: Sequence[str] = ()) -> DataFrame:
+def with_main(weights: DataFrame | None, units: DataFrame, unit: str, strata: Sequence[str] = ()) -> DataFrame:
     """Add replicate 0, in which every unit has weight 1, so estimate and resamples share one job."""
     main = units.select(*strata, unit).distinct().select(*strata, F.lit(0).alias("rep"), unit, F.lit(1.0).alias("w"))
-    return main.unionByName(weights.select(*strata, "rep", unit, "w"))
+    return main if weights is None else main.unionByName(weights.select(*strata, "rep", unit, "w"))
 
 
 def interval(reps: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], rel_sd: str | None = None) -> DataFrame:

@@ -1,23 +1,14 @@
-"""Incremental ingestion: exactly-once files, re-delivery, counts kept current.
-
-State and output live in the shared folder named by spark.checkpoint.dir; a local folder is used only when that
-setting is absent (single-machine tests).
-"""
+"""Incremental ingestion: exactly-once files, re-delivery, counts kept current."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-
-def shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skylattice-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+from skylattice.operators.materialise import shared_folder
 
 
 def watch_files(spark: SparkSession, folder: str, schema, pattern: str | None = None, files_per_batch: int = 1000) -> DataFrame:
@@ -81,3 +72,6 @@ def append_log(batch: DataFrame, path: str, done_path: str, keys: Sequence[str],
     """
     batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
     scanned.select(*keys).distinct().write.mode("append").parquet(done_path)
+
+
+__all__ = ["append_log", "daily_counts", "ingest", "latest_counts", "pending", "shared_folder", "watch_files", "without_redelivery"]
