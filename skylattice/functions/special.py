@@ -1,4 +1,4 @@
-"""Error-function family and the peaked profile shapes, as column expressions.
+"""Error-function family and the peaked profile shapes, as whole-stage-generated expressions.
 
 Spark SQL has no erf. The scaled complement exp(z*z)*erfc(z) is smooth in t = 2/(2+z), so a short
 Chebyshev interpolant in t (computed here from math.erfc, error below 1e-12) is evaluated by Horner's rule
@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,31 +39,39 @@ def _horner_coefficients(degree: int = 26) -> list[float]:
 HORNER = _horner_coefficients()
 
 
-def erfcx(z: Column) -> Column:
-    """exp(z*z) * erfc(z) for z >= 0."""
-    t = F.lit(2.0) / (F.lit(2.0) + z)
-    s = 2 * t - 1
-    p = F.lit(HORNER[-1])
+def _horner(s: str) -> str:
+    text = repr(HORNER[-1])
     for c in reversed(HORNER[:-1]):
-        p = p * s + F.lit(c)
-    return t * F.exp(p)
+        text = f"({text} * {s} + {c!r})"
+    return text
 
 
-def erfc(z: Column) -> Column:
-    a = F.abs(z)
-    tail = F.exp(-a * a) * erfcx(a)
-    return F.when(z >= 0, tail).otherwise(2 - tail)
+def with_erfcx(df: DataFrame, z: str, out: str) -> DataFrame:
+    """Add exp(z*z) * erfc(z) for a non-negative column z.
 
+    The argument of the polynomial is its own column, so it is computed once per row and the plan stays small.
+    """
+    s = df.selectExpr("*", f"4D / (2D + {z}) - 1D AS __s")
+    return s.selectExpr(*[f"`{c}`" for c in df.columns], f"(__s + 1D) / 2D * exp({_horner('__s')}) AS {out}")
 
-def emg_unit(x: Column, x0: Column, mu: Column, sigma: Column) -> Column:
-    """Unit-area exponentially modified Gaussian (1/km): decay length x0 behind a source at mu."""
-    z = (sigma / x0 - (x - mu) / sigma) / F.lit(math.sqrt(2))
-    expo = sigma * sigma / (2 * x0 * x0) - (x - mu) / x0
-    # for z > 0 fold exp(-z*z) into the exponent, so neither factor can overflow
-    scaled = erfcx(F.abs(z))
-    pos = F.exp(F.least(expo - z * z, F.lit(700.0))) * scaled
-    neg = F.exp(F.least(expo, F.lit(700.0))) * (2 - F.exp(-z * z) * scaled)
-    return F.when(z > 0, pos).otherwise(neg) / (2 * x0)
+
+def with_erfc(df: DataFrame, z: str, out: str) -> DataFrame:
+    t = with_erfcx(df.selectExpr("*", f"abs({z}) AS __a"), "__a", "__c")
+    tail = f"exp(-{z} * {z}) * __c"
+    return t.selectExpr(*[f"`{c}`" for c in df.columns], f"CASE WHEN {z} >= 0 THEN {tail} ELSE 2D - {tail} END AS {out}")
+
+
+def with_emg(df: DataFrame, x: str, x0: str, mu: str, sigma: str, out: str) -> DataFrame:
+    """Add the unit-area exponentially modified Gaussian (1/km): decay length x0 behind a source at mu.
+
+    For z > 0 the factor exp(-z*z) is folded into the exponent, so neither factor can overflow.
+    """
+    t = df.selectExpr("*", f"({sigma} / {x0} - ({x} - {mu}) / {sigma}) / sqrt(2D) AS __z",
+                      f"{sigma} * {sigma} / (2D * {x0} * {x0}) - ({x} - {mu}) / {x0} AS __e")
+    t = with_erfcx(t.selectExpr("*", "abs(__z) AS __a"), "__a", "__c")
+    return t.selectExpr(*[f"`{c}`" for c in df.columns],
+                        "CASE WHEN __z > 0 THEN exp(least(__e - __z * __z, 700D)) * __c "
+                        f"ELSE exp(least(__e, 700D)) * (2D - exp(-__z * __z) * __c) END / (2D * {x0}) AS {out}")
 
 
 def exponential_variogram(h: Column, nugget: Column, sill: Column, rng: Column) -> Column:

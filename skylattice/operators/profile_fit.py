@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.functions.special import emg_unit
+from skylattice.functions.special import with_emg
 from skylattice.functions.values import kt_per_year
 from skylattice.operators.materialise import materialise, task_slots
 from skylattice.operators.sizing import join_on
@@ -24,60 +24,39 @@ CHUNKS = 8
 RANGES = {"x0": (2.0, 150.0), "mu": (-15.0, 15.0), "sigma": (1.0, 30.0)}
 
 
-def _solve(sloped: bool) -> dict[str, Column]:
-    """Least-squares a, b, c from the sums s1, sx, sxx, sf, sff, sfx, sl, sfl, sxl of one (profile, node)."""
-    c = F.col
-    n, sx, sxx, sf, sff, sfx, sl, sfl, sxl = (c(k) for k in ("n", "sx", "sxx", "sf", "sff", "sfx", "sl", "sfl", "sxl"))
-    ff, fl = sff - sf * sf / n, sfl - sf * sl / n
-    if not sloped:
-        a = F.try_divide(fl, ff)
-        b = (sl - a * sf) / n
-        return {"a": a, "b": b, "c": F.lit(0.0)}
-    xx, fx, xl = sxx - sx * sx / n, sfx - sf * sx / n, sxl - sx * sl / n
-    det = ff * xx - fx * fx
-    a = F.try_divide(fl * xx - xl * fx, det)
-    slope = F.try_divide(ff * xl - fx * fl, det)
-    return {"a": a, "b": (sl - a * sf - slope * sx) / n, "c": slope}
+# Least-squares a, b, c of one (profile, node) from its sums, in deviations from the means.
+_FLAT = {"a": "try_divide(fl, ff)", "b": "(sl - a * sf) / n", "c": "0D"}
+_SLOPED = {"a": "try_divide(fl * xx - xl * fx, ff * xx - fx * fx)", "c": "try_divide(ff * xl - fx * fl, ff * xx - fx * fx)",
+           "b": "(sl - a * sf - c * sx) / n"}
 
 
 def _round(pts: DataFrame, keys: list[str], sloped: bool, shape: tuple[int, int, int]) -> DataFrame:
     """One grid round: pts(keys, x, l, lo/hi per parameter) to the best node and its parameters per profile."""
     n1, n2, n3 = shape
-    node = F.col("node")
-    idx = {"x0": F.floor(node / (n2 * n3)), "mu": F.floor(node / n3) % n2, "sigma": node % n3}
-    count = {"x0": n1, "mu": n2, "sigma": n3}
     # a (profile, node chunk) pair lives in one task: sums need no further shuffle, and few profiles still fill all cores
     size = -(-n1 * n2 * n3 // CHUNKS)
-    t = (pts.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(CHUNKS - 1))))
+    t = (pts.selectExpr("*", f"explode(sequence(0, {CHUNKS - 1})) AS chunk")
          .repartition(task_slots(pts.sparkSession), *keys, "chunk")
-         .withColumn("node", F.explode(F.sequence(F.col("chunk") * size, F.col("chunk") * size + size - 1)))
-         .where(F.col("node") < n1 * n2 * n3))
-    for p in ("x0", "mu", "sigma"):
-        frac = idx[p] / float(max(count[p] - 1, 1))
-        if p == "mu":
-            val = F.col("mu_lo") + (F.col("mu_hi") - F.col("mu_lo")) * frac
-        else:  # lengths are spaced by constant ratio
-            val = F.col(f"{p}_lo") * F.pow(F.col(f"{p}_hi") / F.col(f"{p}_lo"), frac)
-        t = t.withColumn(p, val)
-    t = t.withColumn("f", emg_unit(F.col("x"), F.col("x0"), F.col("mu"), F.col("sigma")) / 1000)
+         .selectExpr("*", f"explode(sequence(chunk * {size}, chunk * {size} + {size - 1})) AS node")
+         .where(f"node < {n1 * n2 * n3}"))
+    # lengths are spaced by a constant ratio, the offset evenly
+    t = t.selectExpr("*", f"x0_lo * pow(x0_hi / x0_lo, (node div {n2 * n3}) / {max(n1 - 1, 1)}D) AS x0",
+                     f"mu_lo + (mu_hi - mu_lo) * ((node div {n3}) % {n2}) / {max(n2 - 1, 1)}D AS mu",
+                     f"sigma_lo * pow(sigma_hi / sigma_lo, (node % {n3}) / {max(n3 - 1, 1)}D) AS sigma")
+    t = with_emg(t, "x", "x0", "mu", "sigma", "unit").selectExpr("*", "unit / 1000 AS f")
     bounds = [f"{p}_{s}" for p in RANGES for s in ("lo", "hi")]
-    s = t.groupBy(*keys, "chunk", "node", *bounds, "x0", "mu", "sigma").agg(
-        F.count("*").cast("double").alias("n"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"),
-        F.sum("f").alias("sf"), F.sum(F.col("f") * F.col("f")).alias("sff"), F.sum(F.col("f") * F.col("x")).alias("sfx"),
-        F.sum("l").alias("sl"), F.sum(F.col("f") * F.col("l")).alias("sfl"), F.sum(F.col("x") * F.col("l")).alias("sxl"),
-        F.sum(F.col("l") * F.col("l")).alias("sll"), F.min("l").alias("l_lo"), F.max("l").alias("l_hi"))
-    for name, expr in _solve(sloped).items():
-        s = s.withColumn(name, expr)
-    sse = F.col("sll") - F.col("a") * F.col("sfl") - F.col("b") * F.col("sl") - F.col("c") * F.col("sxl")
-    span = F.greatest(F.col("l_hi") - F.col("l_lo"), F.lit(1e-12))
-    outside = ((F.col("a") < 0) | (F.col("a") > span * 3e5) | (F.col("b") < F.col("l_lo") - span)
-               | (F.col("b") > F.col("l_hi") + span) | (F.abs("c") > span / 50))
-    sst = F.col("sll") - F.col("sl") * F.col("sl") / F.col("n")
-    s = (s.withColumn("sse", F.greatest(sse, F.lit(0.0))).withColumn("outside", outside.cast("int"))
-         .withColumn("r2", 1 - F.try_divide(F.col("sse"), sst)))
-    best = F.min_by(F.struct("node", "x0", "mu", "sigma", "a", "b", "c", "sse", "r2", "outside", *bounds),
-                    F.struct("outside", "sse", "node"))
-    return s.where(F.col("a").isNotNull()).groupBy(*keys).agg(best.alias("__b")).select(*keys, "__b.*")
+    sums = {"n": "cast(count(*) as double)", "sx": "sum(x)", "sxx": "sum(x * x)", "sf": "sum(f)", "sff": "sum(f * f)", "sfx": "sum(f * x)",
+            "sl": "sum(l)", "sfl": "sum(f * l)", "sxl": "sum(x * l)", "sll": "sum(l * l)", "l_lo": "min(l)", "l_hi": "max(l)"}
+    s = t.groupBy(*keys, "chunk", "node", *bounds, "x0", "mu", "sigma").agg(*[F.expr(e).alias(k) for k, e in sums.items()])
+    s = s.selectExpr("*", "sff - sf * sf / n AS ff", "sfl - sf * sl / n AS fl", "sxx - sx * sx / n AS xx", "sfx - sf * sx / n AS fx",
+                     "sxl - sx * sl / n AS xl", "sll - sl * sl / n AS sst", "greatest(l_hi - l_lo, 1e-12D) AS span")
+    for name, e in (_SLOPED if sloped else _FLAT).items():
+        s = s.selectExpr("*", f"{e} AS {name}")
+    s = s.selectExpr("*", "greatest(sll - a * sfl - b * sl - c * sxl, 0D) AS sse",
+                     "cast(a < 0 OR a > span * 3e5D OR b < l_lo - span OR b > l_hi + span OR abs(c) > span / 50 AS int) AS outside")
+    s = s.selectExpr("*", "1 - try_divide(sse, sst) AS r2").where("a IS NOT NULL AND c IS NOT NULL")
+    cols = ", ".join(["node", "x0", "mu", "sigma", "a", "b", "c", "sse", "r2", "outside", *bounds])
+    return s.groupBy(*keys).agg(F.expr(f"min_by(struct({cols}), struct(outside, sse, node))").alias("__b")).select(*keys, "__b.*")
 
 
 def fit_profiles(profiles: DataFrame, keys: Sequence[str], x: str = "along", y: str = "line_density", sloped: bool = True,

@@ -40,10 +40,13 @@ def with_main(weights: DataFrame | None, units: DataFrame, unit: str, strata: Se
     return main if weights is None else main.unionByName(weights.select(*strata, "rep", unit, "w"))
 
 
-def interval(reps: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], rel_sd: str | None = None) -> DataFrame:
-    """Percentiles over replicates (rep > 0) next to the main estimate (rep 0); one group holds `reps` rows."""
+def interval(reps: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], rel_sd: str | None = None,
+             main_cols: Sequence[str] = ()) -> DataFrame:
+    """Percentiles over replicates (rep > 0) next to the main estimate and other columns of the main row (rep 0);
+    one group holds `reps` rows."""
     boot = F.when(F.col("rep") > 0, F.col(value))
     cols: list[Column] = [F.max(F.when(F.col("rep") == 0, F.col(value))).alias("estimate")]
+    cols += [F.max(F.when(F.col("rep") == 0, F.col(c))).alias(c) for c in main_cols]
     cols += [F.percentile(boot, F.lit(p)).alias(n) for n, p in probs.items()]
     if rel_sd:
         cols.append((F.stddev_pop(boot) / F.nullif(F.avg(boot), F.lit(0.0))).alias(rel_sd))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skylattice.functions import geodesy as geo
 from skylattice.functions.special import HORNER
 from skylattice.operators import budget, flux, labels, profile_fit, raster, regression, resample, rotate, statistics, variogram
+from skylattice.operators.materialise import materialise
 from skylattice.plans import views as v
 from skylattice.plans.observe import NROWS, mirror
 from skylattice.plans.registry import query
@@ -295,16 +296,15 @@ def seasonal_fits(spark, sf, reps: int):
     """Sloped and flat fits of every (season, replicate) profile, with emission rates and intervals."""
     w = windy(spark, sf).withColumn("season", F.expr("overpass div 10").cast("int"))
     wt = resample.with_main(resample.multinomial_weights(w, "overpass", reps, 42, ["season"]), w, "overpass", ["season"])
-    lines = rotate.line_density(rotated(spark, sf), wt, ["season", "rep"], FRAME)
-    wind = rotate.mean_inverse_wind(wt, w, ["season", "rep"])
-    out = []
+    wt = materialise(wt)
+    lines = materialise(rotate.line_density(rotated(spark, sf), wt, ["season", "rep"], FRAME))
+    wind = materialise(rotate.mean_inverse_wind(wt, w, ["season", "rep"]))
+    fits = []
     for sloped in (True, False):
-        fit = profile_fit.fit_profiles(lines, ["season", "rep"], sloped=sloped, rounds=3)
-        e = profile_fit.emissions(fit.join(wind, ["season", "rep"]))
-        ci = resample.interval(e, ["season"], "e_nox_kg_s", {"ci_lo": 0.025, "ci_med": 0.5, "ci_hi": 0.975}, "rel_sd")
-        main = e.where(F.col("rep") == 0).select("season", "x0", "r2", "tau_h", "e_nox_kg_s", "e_nox_kt_yr")
-        out.append(main.join(ci.drop("estimate"), "season"))
-    return profile_fit.choose_constrained(out[0], out[1], ["season"])
+        e = profile_fit.emissions(profile_fit.fit_profiles(lines, ["season", "rep"], sloped=sloped, rounds=3).join(wind, ["season", "rep"]))
+        fits.append(resample.interval(e, ["season"], "e_nox_kg_s", {"ci_lo": 0.025, "ci_med": 0.5, "ci_hi": 0.975}, "rel_sd",
+                                      main_cols=["x0", "r2", "tau_h", "e_nox_kg_s", "e_nox_kt_yr"]).drop("estimate"))
+    return profile_fit.choose_constrained(fits[0], fits[1], ["season"])
 
 
 @query()
@@ -316,7 +316,7 @@ def seasonal_emissions(spark, sf):
 @query()
 def between_within_seasons(spark, sf):
     """Spread of the seasonal rates over their mean uncertainty."""
-    s = seasonal_fits(spark, sf, 10).withColumn("sigma", (F.col("ci_hi") - F.col("ci_lo")) / 2 / 1.96)
+    s = seasonal_fits(spark, sf, 20).withColumn("sigma", (F.col("ci_hi") - F.col("ci_lo")) / 2 / 1.96)
     return statistics.between_within(s, "e_nox_kg_s", "sigma")
 
 
@@ -325,11 +325,11 @@ def fit_setting_sweep(spark, sf):
     """Spread of the fitted rate over search-grid settings."""
     w = windy(spark, sf).withColumn("k", F.lit(0))
     wt = w.select("k", "overpass", F.lit(1.0).alias("w"))
-    lines = rotate.line_density(rotated(spark, sf), wt, ["k"], FRAME)
-    wind = rotate.mean_inverse_wind(wt, w, ["k"])
+    lines = materialise(rotate.line_density(rotated(spark, sf), wt, ["k"], FRAME))
+    wind = materialise(rotate.mean_inverse_wind(wt, w, ["k"]))
     fits = None
-    for shape in ((8, 6, 6), (10, 7, 6), (12, 8, 8)):
-        for rounds in (2, 4):
+    for shape in ((8, 6, 6), (12, 8, 8)):
+        for rounds in (2, 3):
             f = profile_fit.emissions(profile_fit.fit_profiles(lines, ["k"], sloped=False, rounds=rounds, shape=shape).join(wind, "k"))
             fits = f if fits is None else fits.unionByName(f)
     return profile_fit.settings_spread(fits, "e_nox_kg_s", F.col("e_nox_kg_s"))
