@@ -17,10 +17,10 @@ def wide_to_long(df: DataFrame, keep: Sequence[str], cols: Sequence[str], name:
 
 
 def profile_by_prefix(profiles: DataFrame, prefixes: DataFrame, owners: tuple[str, str]) -> DataFrame:
-    """Monthly shares per activity code: profile rows whose class code starts with one of the code's prefixes, the
-    latest year of each activity, normalised, averaged; the first owner's rows win over the second's.
+    """Monthly shares per activity code: profiles whose class code starts with one of the code's prefixes, the latest
+    year of each activity (smallest class on ties), normalised, averaged; the first owner's rows win over the second's.
 
-    profiles(owner, activity, klass, year, month, value), prefixes(code, prefix). The prefix table is a small
+    profiles(owner, activity, klass, year, month, value), one value per key; prefixes(code, prefix). The prefix table is a small
     constant list, joined on the equal leading characters for each prefix length in use.
     """
     lengths = [r[0] for r in prefixes.select(F.length("prefix")).distinct().limit(64).collect()]
@@ -28,11 +28,11 @@ def profile_by_prefix(profiles: DataFrame, prefixes: DataFrame, owners: tuple[st
     tagged = profiles.withColumn("prefix", F.explode(heads))
     hit = tagged.join(small(prefixes), "prefix").where(F.col("klass").startswith(F.col("prefix")))
     hit = hit.dropDuplicates(["code", "owner", "activity", "klass", "year", "month"])
-    latest = hit.groupBy("code", "owner", "activity").agg(F.max("year").alias("year"))
-    cur = join_on(hit, latest, ["code", "owner", "activity", "year"])
-    shape = cur.groupBy("code", "owner", "activity", "klass", "month").agg(F.sum("value").alias("value"))
-    norm = shape.groupBy("code", "owner", "activity", "klass").agg(F.sum("value").alias("__s"))
-    shape = join_on(shape, norm, ["code", "owner", "activity", "klass"]).withColumn("f", F.try_divide("value", "__s"))
+    latest = (hit.groupBy("code", "owner", "activity").agg(F.min(F.struct((-F.col("year")).alias("y"), "klass")).alias("__l"))
+              .select("code", "owner", "activity", (-F.col("__l.y")).alias("year"), F.col("__l.klass").alias("klass")))
+    cur = join_on(hit, latest, ["code", "owner", "activity", "year", "klass"])
+    norm = cur.groupBy("code", "owner", "activity").agg(F.sum("value").alias("__s"))
+    shape = join_on(cur, norm, ["code", "owner", "activity"]).withColumn("f", F.try_divide("value", "__s"))
     per = shape.groupBy("code", "month").agg(*[F.avg(F.when(F.col("owner") == o, F.col("f"))).alias(n) for o, n in zip(owners, ("own", "region"))])
     return per.select("code", "month", F.coalesce("own", "region").alias("month_share"))
 
