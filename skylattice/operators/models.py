@@ -7,6 +7,8 @@ replicate, and only the p x p systems reach Python. Tree models use pyspark.ml,
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -127,14 +129,15 @@ def estimator(kind: str, trees: int | None = None, seed: int = 42):
 def ml_oof(df: DataFrame, features: Sequence[str], label: str, fold: str, folds: Sequence, kind: str = "rf", trees: int | None = None,
            keep: Sequence[str] = ()) -> DataFrame:
     """Out-of-fold predictions from a pyspark.ml pipeline, one distributed fit per fold."""
-    out = None
     base = df.withColumn("__y", F.col(label).cast("double"))
-    for f in folds:
+
+    def one(f) -> DataFrame:
         pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="__x"),
                                 StandardScaler(inputCol="__x", outputCol="scaled", withMean=True, withStd=True), estimator(kind, trees)])
-        part = pipe.fit(base.where(F.col(fold) != f)).transform(base.where(F.col(fold) == f)).select(*keep, fold, label, "pred")
-        out = part if out is None else out.unionByName(part)
-    return out
+        return pipe.fit(base.where(F.col(fold) != f)).transform(base.where(F.col(fold) == f)).select(*keep, fold, label, "pred")
+
+    with ThreadPoolExecutor(max_workers=4) as pool:  # the fits are independent jobs
+        return reduce(DataFrame.unionByName, pool.map(one, folds))
 
 
 def ablation(df: DataFrame, groups: dict[str, Sequence[str]], label: str, fold: str, folds: Sequence, cell: str, kind: str = "rf",

@@ -101,6 +101,6 @@ def shuffle_within(df: DataFrame, keys: Sequence[str], id_col: str, cols: Sequen
     keys = list(keys)
     rest = [c for c in df.columns if c not in cols]
     receivers = position_within(df.select(*rest), keys, digest(id_col), id_col, "__p")
-    donors = position_within(df.select(*keys, id_col, *cols), keys, digest(seed, F.lit("donor"), F.col(id_col)),
+    donors = position_within(df.select(*keys, id_col, *cols), keys, digest(F.lit(seed), F.lit("donor"), F.col(id_col)),
                              id_col, "__p").drop(id_col)
     return join_on(receivers, donors, [*keys, "__p"]).drop("__p").select(*df.columns)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice.functions.geodesy import clipped_length, in_corridor, in_ring
+from skylattice.operators.materialise import materialise
 from skylattice.operators.sizing import is_small, join_on
 
 
@@ -172,33 +173,39 @@ def _nearest_small(df, pts, cols, x, y):
 
 
 def _nearest_binned(df, pts, cols, x, y, bin_size):
-    """Level by level: search 3 x 3 bins, accept a hit within one bin width, widen the bins for the rest."""
+    """Level by level: search 3 x 3 bins, accept a hit within one bin width, widen the bins for the rest.
+
+    Distinct positions only are searched; each level's hits and its open rest are written once.
+    """
+    open_ = materialise(df.select(x, y).distinct())
     ext = pts.agg(F.min("__x"), F.max("__x"), F.min("__y"), F.max("__y"), F.count("*")).first()
-    q = df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    q = open_.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
     if q[0] is None or ext[0] is None:
         return df.select("*", F.lit(None).cast("double").alias("nearest_dist"),
                          *[F.lit(None).cast(dict(pts.dtypes)[c]).alias(c) for c in cols])
     span = max(max(ext[1], q[1]) - min(ext[0], q[0]), max(ext[3], q[3]) - min(ext[2], q[2]), 1e-9)
     size = bin_size or max(span / max(ext[4], 1) ** 0.5, span * 1e-6)
-    spots = df.select(x, y).distinct()
-    open_, done = spots, None
+    near = "array(" + ", ".join(f"struct({i} AS i, {j} AS j)" for i in (-1, 0, 1) for j in (-1, 0, 1)) + ")"
+    payload = ", ".join(f"`__c_{c}` AS `{c}`" for c in cols)
+    done = None
     while True:
         last = size > span
-        a = open_.select(F.col(x), F.col(y), F.floor(F.col(x) / size).alias("bx"), F.floor(F.col(y) / size).alias("by"))
-        near = F.array(*[F.struct((F.floor(F.col("__x") / size) + i).alias("bx"), (F.floor(F.col("__y") / size) + j).alias("by"))
-                         for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        b = pts.select("__ord", "__x", "__y", *[F.col(c).alias(f"__c_{c}") for c in cols], F.explode(near).alias("n")).select("*", "n.bx", "n.by").drop("n")
-        d2 = (F.col(x) - F.col("__x")) * (F.col(x) - F.col("__x")) + (F.col(y) - F.col("__y")) * (F.col(y) - F.col("__y"))
-        hit = (a.join(b, ["bx", "by"]).withColumn("__d2", d2).groupBy(x, y)
-               .agg(F.min_by(F.struct("__d2", *[F.col(f"__c_{c}").alias(c) for c in cols]), F.struct("__d2", "__ord")).alias("__h")))
+        a = open_.selectExpr(f"`{x}` AS qx", f"`{y}` AS qy", f"floor(`{x}` / {size!r}D) AS bx", f"floor(`{y}` / {size!r}D) AS by")
+        b = (pts.select("__ord", "__x", "__y", *[F.col(c).alias(f"__c_{c}") for c in cols]).selectExpr("*", f"explode({near}) AS n")
+             .selectExpr("*", f"floor(__x / {size!r}D) + n.i AS bx", f"floor(__y / {size!r}D) + n.j AS by").drop("n"))
+        j = a.join(b, ["bx", "by"]).selectExpr("*", "(qx - __x) * (qx - __x) + (qy - __y) * (qy - __y) AS d2")
+        hit = j.groupBy("qx", "qy").agg(F.expr(f"min_by(struct(d2{', ' + payload if payload else ''}), struct(d2, __ord))").alias("h"))
         if not last:
-            hit = hit.where(F.col("__h.__d2") <= size * size)
+            hit = hit.where(f"h.d2 <= {size * size!r}D")
+        hit = materialise(hit)
         done = hit if done is None else done.unionByName(hit)
         if last:
             break
-        open_ = open_.join(hit.select(x, y), [x, y], "left_anti")
+        open_ = materialise(open_.join(hit.select(F.col("qx").alias(x), F.col("qy").alias(y)), [x, y], "left_anti"))
+        if open_.isEmpty():
+            break
         size *= 4
-    got = done.select(x, y, F.sqrt("__h.__d2").alias("nearest_dist"), *[F.col("__h")[c].alias(c) for c in cols])
+    got = done.select(F.col("qx").alias(x), F.col("qy").alias(y), F.sqrt("h.d2").alias("nearest_dist"), *[F.col("h")[c].alias(c) for c in cols])
     return join_on(df, got, [x, y], "left")
 
 
@@ -223,7 +230,7 @@ def nearest_on_lattice(points: DataFrame, cells: DataFrame, spacing: float, x: s
                          F.rint(F.col("__cy") / spacing - 0.5).cast("bigint").alias("__iy"))
     tagged = (points.withColumn("__ix", F.rint(F.col(x) / spacing - 0.5).cast("bigint"))
               .withColumn("__iy", F.rint(F.col(y) / spacing - 0.5).cast("bigint")))
-    direct = tagged.join(keyed, ["__ix", "__iy"], "left").drop("__ix", "__iy")
+    direct = materialise(tagged.join(keyed, ["__ix", "__iy"], "left").drop("__ix", "__iy"))
     found = direct.where(F.col(out).isNotNull())
     missed = direct.where(F.col(out).isNull()).drop(out)
     searched = nearest_point(missed, cells, x, y, "__cx", "__cy", [out], order=out, max_small=0,

@@ -31,7 +31,7 @@ def fit_exponential(vario: DataFrame, variance: DataFrame, step: float = 0.5, hi
     v = (vario.withColumn("__k", F.lit(0)).join(F.broadcast(variance.withColumn("__k", F.lit(0))), "__k").drop("__k")
          .withColumn("g", F.col("gamma") / F.col("sill0")))
     n_grid = round((hi - 0.5) / step) + 1
-    v = v.withColumn("range_km", 0.5 + step * F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))))
+    v = v.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1)))).withColumn("range_km", 0.5 + step * F.col("i"))
     v = v.withColumn("e", 1 - F.exp(-3 * F.col("h") / F.col("range_km")))
     s = v.groupBy("range_km", "sill0").agg(F.count("*").cast("double").alias("n"), F.sum("e").alias("se"), F.sum(F.col("e") * F.col("e")).alias("see"),
                                            F.sum("g").alias("sg"), F.sum(F.col("e") * F.col("g")).alias("seg"), F.sum(F.col("g") * F.col("g")).alias("sgg"))
