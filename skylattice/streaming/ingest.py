@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from skylattice.functions.calendar import epoch_micros
 from skylattice.operators.materialise import shared_folder
 
 
@@ -19,8 +20,12 @@ def watch_files(spark: SparkSession, folder: str, schema, pattern: str | None =
 
 
 def without_redelivery(stream: DataFrame, key: str, ts: str, horizon: str = "7 days") -> DataFrame:
-    """Drop rows delivered again within the horizon; state is bounded by the watermark."""
-    return stream.withWatermark(ts, horizon).dropDuplicatesWithinWatermark([key])
+    """Drop rows delivered again within the horizon; state is bounded by the watermark.
+
+    Watermarks need a zoned timestamp, so the zone-free event time is read as UTC for that purpose only.
+    """
+    timed = stream.withColumn("__event_time", F.timestamp_micros(epoch_micros(ts)))
+    return timed.withWatermark("__event_time", horizon).dropDuplicatesWithinWatermark([key]).drop("__event_time")
 
 
 def ingest(stream: DataFrame, out: str, checkpoint: str, day: str) -> StreamingQuery:
