@@ -6,6 +6,7 @@ combined before any pair is formed, and pairs exist only between neighbouring bi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -172,59 +173,60 @@ def _nearest_small(df, pts, cols, x, y):
             .select(*df.columns, F.sqrt("__b.d2").alias("nearest_dist"), *[F.col("__b.p")[c].alias(c) for c in cols]))
 
 
-def _nearest_binned(df, pts, cols, x, y, bin_size):
-    """Level by level: search 3 x 3 bins, accept a hit within one bin width, widen the bins for the rest.
+def _nearest_tree(df, pts, cols, x, y):
+    """Nearest point by descending a tree of square bins, four times finer per level.
 
-    Distinct positions only are searched; each level's hits and its open rest are written once.
+    Each occupied bin knows its bounding box and one member. A query keeps the bins whose box is not farther than
+    the nearest member seen at that level, so a handful of bins per query survives at every level however the points
+    are distributed, and only the points of the last bins are compared. One equi-join per level, no pair of far
+    rows. Distinct query positions only.
     """
-    open_ = materialise(df.select(x, y).distinct())
-    ext = pts.agg(F.min("__x"), F.max("__x"), F.min("__y"), F.max("__y"), F.count("*")).first()
-    q = open_.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
-    if q[0] is None or ext[0] is None:
+    spots = df.select(F.col(x).alias("qx"), F.col(y).alias("qy")).where("qx IS NOT NULL AND qy IS NOT NULL").distinct()
+    x0, x1, y0, y1, n = pts.agg(F.min("__x"), F.max("__x"), F.min("__y"), F.max("__y"), F.count("*")).first()
+    if x0 is None:
         return df.select("*", F.lit(None).cast("double").alias("nearest_dist"),
                          *[F.lit(None).cast(dict(pts.dtypes)[c]).alias(c) for c in cols])
-    span = max(max(ext[1], q[1]) - min(ext[0], q[0]), max(ext[3], q[3]) - min(ext[2], q[2]), 1e-9)
-    size = bin_size or max(span / max(ext[4], 1) ** 0.5, span * 1e-6)
-    near = "array(" + ", ".join(f"struct({i} AS i, {j} AS j)" for i in (-1, 0, 1) for j in (-1, 0, 1)) + ")"
-    payload = ", ".join(f"`__c_{c}` AS `{c}`" for c in cols)
-    done = None
-    while True:
-        last = size > span
-        a = open_.selectExpr(f"`{x}` AS qx", f"`{y}` AS qy", f"floor(`{x}` / {size!r}D) AS bx", f"floor(`{y}` / {size!r}D) AS by")
-        b = (pts.select("__ord", "__x", "__y", *[F.col(c).alias(f"__c_{c}") for c in cols]).selectExpr("*", f"explode({near}) AS n")
-             .selectExpr("*", f"floor(__x / {size!r}D) + n.i AS bx", f"floor(__y / {size!r}D) + n.j AS by").drop("n"))
-        j = a.join(b, ["bx", "by"]).selectExpr("*", "(qx - __x) * (qx - __x) + (qy - __y) * (qy - __y) AS d2")
-        hit = j.groupBy("qx", "qy").agg(F.expr(f"min_by(struct(d2{', ' + payload if payload else ''}), struct(d2, __ord))").alias("h"))
-        if not last:
-            hit = hit.where(f"h.d2 <= {size * size!r}D")
-        hit = materialise(hit)
-        done = hit if done is None else done.unionByName(hit)
-        if last:
-            break
-        open_ = materialise(open_.join(hit.select(F.col("qx").alias(x), F.col("qy").alias(y)), [x, y], "left_anti"))
-        if open_.isEmpty():
-            break
-        size *= 4
-    got = done.select(F.col("qx").alias(x), F.col("qy").alias(y), F.sqrt("h.d2").alias("nearest_dist"), *[F.col("h")[c].alias(c) for c in cols])
+    span = max(x1 - x0, y1 - y0, 1e-9) * (1 + 1e-9)
+    levels = max(1, math.ceil(math.log(max(n, 2), 16))) + 1
+    leaf = span / 4**levels
+    keyed = pts.selectExpr("*", f"floor((__x - {x0!r}D) / {leaf!r}D) AS bx", f"floor((__y - {y0!r}D) / {leaf!r}D) AS by")
+    boxes = keyed.groupBy("bx", "by").agg(F.min("__x").alias("ax"), F.max("__x").alias("zx"), F.min("__y").alias("ay"), F.max("__y").alias("zy"),
+                                          F.min(F.struct("__x", "__y")).alias("m"))
+    trees = [boxes]
+    for _ in range(levels - 1):
+        trees.append(trees[-1].groupBy(F.expr("bx div 4").alias("bx"), F.expr("by div 4").alias("by"))
+                     .agg(F.min("ax").alias("ax"), F.max("zx").alias("zx"), F.min("ay").alias("ay"), F.max("zy").alias("zy"), F.min("m").alias("m")))
+    front = spots.selectExpr("*", "0L AS px", "0L AS py")  # the root covers everything
+    near = ("pow(greatest(ax - qx, 0D, qx - zx), 2) + pow(greatest(ay - qy, 0D, qy - zy), 2) AS lo",
+            "pow(m.__x - qx, 2) + pow(m.__y - qy, 2) AS hi")
+    for tree in reversed(trees):
+        kids = tree.selectExpr("bx", "by", "ax", "zx", "ay", "zy", "m", "bx div 4 AS px", "by div 4 AS py")
+        front = (front.join(kids, ["px", "py"]).selectExpr("qx", "qy", "bx", "by", *near)
+                 .selectExpr("*", "min(hi) OVER (PARTITION BY qx, qy) AS best").where("lo <= best * (1 + 1e-9D)")
+                 .selectExpr("qx", "qy", "bx AS px", "by AS py"))
+    payload = "".join(f", `{c}`" for c in cols)
+    hit = (front.join(keyed.withColumnsRenamed({"bx": "px", "by": "py"}), ["px", "py"])
+           .selectExpr("*", "pow(__x - qx, 2) + pow(__y - qy, 2) AS d2").groupBy("qx", "qy")
+           .agg(F.expr(f"min_by(struct(d2{payload}), struct(d2, __ord))").alias("h")))
+    got = hit.select(F.col("qx").alias(x), F.col("qy").alias(y), F.sqrt("h.d2").alias("nearest_dist"), *[F.col("h")[c].alias(c) for c in cols])
     return join_on(df, got, [x, y], "left")
 
 
 def nearest_point(df: DataFrame, points: DataFrame, x: str = "x", y: str = "y", px: str = "x", py: str = "y",
-                  cols: Sequence[str] = (), order: str | None = None, max_small: int = 500,
-                  bin_size: float | None = None) -> DataFrame:
+                  cols: Sequence[str] = (), order: str | None = None, max_small: int = 500) -> DataFrame:
     """Add `nearest_dist` and `cols` of the nearest point; ties go to the smallest `order`.
 
-    A point set measured to be small travels as one packed row; a larger one is searched through bins.
+    A point set measured to be small travels as one packed row; a larger one is searched through a tree of bins.
     """
     pts = points.select(F.col(order or px).alias("__ord"), F.col(px).alias("__x"), F.col(py).alias("__y"), *cols)
     if is_small(pts, max_small):
         return _nearest_small(df, pts, list(cols), x, y)
-    return _nearest_binned(df, pts, list(cols), x, y, bin_size)
+    return _nearest_tree(df, pts, list(cols), x, y)
 
 
 def nearest_on_lattice(points: DataFrame, cells: DataFrame, spacing: float, x: str, y: str, cell_id: str,
                        out: str = "src_cell") -> DataFrame:
-    """Nearest lattice cell of each point: its rounded lattice node if that cell exists, else a bin search."""
+    """Nearest lattice cell of each point: its rounded lattice node if that cell exists, else a search."""
     cells = cells.select(F.col(cell_id).alias(out), F.col("x").alias("__cx"), F.col("y").alias("__cy"))
     keyed = cells.select(out, F.rint(F.col("__cx") / spacing - 0.5).cast("bigint").alias("__ix"),
                          F.rint(F.col("__cy") / spacing - 0.5).cast("bigint").alias("__iy"))
@@ -233,8 +235,7 @@ def nearest_on_lattice(points: DataFrame, cells: DataFrame, spacing: float, x: s
     direct = materialise(tagged.join(keyed, ["__ix", "__iy"], "left").drop("__ix", "__iy"))
     found = direct.where(F.col(out).isNotNull())
     missed = direct.where(F.col(out).isNull()).drop(out)
-    searched = nearest_point(missed, cells, x, y, "__cx", "__cy", [out], order=out, max_small=0,
-                             bin_size=2 * spacing).drop("nearest_dist")
+    searched = nearest_point(missed, cells, x, y, "__cx", "__cy", [out], order=out, max_small=0).drop("nearest_dist")
     return found.unionByName(searched)
 
 
