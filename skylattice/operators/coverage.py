@@ -11,7 +11,7 @@ from skylattice.functions.calendar import month_key
 from skylattice.functions.geodesy import haversine_m
 from skylattice.functions.values import version_number
 from skylattice.operators.quantiles import exact_quantiles
-from skylattice.operators.sizing import join_on, small
+from skylattice.operators.sizing import join_on
 
 
 def newest_version(df: DataFrame, keys: Sequence[str], version: str, arrival: str) -> DataFrame:
@@ -101,4 +101,4 @@ def displacement_check(points: DataFrame, reference: DataFrame, key: str, limit_
     """Great-circle distance between each point and its reference position, flagged beyond the limit."""
     ref = reference.select(key, F.col("lat").alias("ref_lat"), F.col("lon").alias("ref_lon"))
     d = haversine_m("lat", "lon", "ref_lat", "ref_lon")
-    return points.join(small(ref), key, "left").withColumn("distance_m", d).withColumn("displaced", d > limit_m)
+    return points.join(ref, key, "left").withColumn("distance_m", d).withColumn("displaced", d > limit_m)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skylattice.functions.calendar import month_key
 from skylattice.functions.geodesy import wind_from_deg
 from skylattice.functions.hashing import digest
-from skylattice.operators.sizing import join_on, small
+from skylattice.operators.sizing import join_on
 
 
 class DuplicateKeys(ValueError):
@@ -27,11 +27,11 @@ def unique_on(df: DataFrame, keys: Sequence[str], name: str = "table") -> DataFr
 def assemble(base: DataFrame, layers: Sequence[tuple[DataFrame, Sequence[str]]]) -> DataFrame:
     """Chain of left joins at mixed grains; every layer is checked to be unique on its keys, so rows never multiply.
 
-    Layers measured to be small are broadcast, larger ones keep a shuffle join on their keys.
+    Join sides are left to adaptive execution, which sees each layer's real size after its uniqueness check.
     """
     out = base
     for layer, keys in layers:
-        out = join_on(out, small(unique_on(layer, keys)), list(keys), "left")
+        out = join_on(out, unique_on(layer, keys), list(keys), "left")
     return out
 
 

@@ -12,14 +12,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.operators.sizing import join_on, value_bucket
 
 
-def _running(keys: Sequence[str], *order: str):
-    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+RUNNING = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+
+
+def _q(cols: Sequence[str]) -> str:
+    return ", ".join(f"`{c}`" for c in cols)
+
+
+def _over(keys: Sequence[str], order: str | None = None) -> str:
+    part = f"PARTITION BY {_q(keys)} " if keys else ""
+    return f"OVER ({part}ORDER BY {order} {RUNNING})" if order else f"OVER ({part})"
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
@@ -28,52 +36,41 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     NULL and NaN values are ignored; groups without any value are absent.
     """
     keys = list(keys)
-    v = (df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-         .select(*keys, F.col(value).cast("double").alias("__v"))
-         .withColumn("__b", value_bucket(F.col("__v"))))
-    hist = v.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
-    total = F.sum("__n").over(Window.partitionBy(*keys))
-    hist = hist.select(*keys, "__b", "__n", total.alias("__total"),
-                       (F.sum("__n").over(_running(keys, "__b")) - F.col("__n")).alias("__before"))
-
-    def rank(p: float, up: bool) -> Column:
-        pos = F.lit(float(p)) * (F.col("__total") - 1)
-        return (F.ceil(pos) if up else F.floor(pos)).cast("bigint")
-
-    wanted = F.array_distinct(F.array(*[rank(p, up) for p in probs.values() for up in (False, True)]))
-    targets = (hist.withColumn("__ranks", F.filter(wanted, lambda r: (r >= F.col("__before"))
-                                                   & (r < F.col("__before") + F.col("__n"))))
-               .where(F.size("__ranks") > 0).drop("__n"))
+    k = [f"`{c}`" for c in keys]
+    v = (df.selectExpr(*k, f"cast(`{value}` AS double) AS __v").where("__v IS NOT NULL AND NOT isnan(__v)")
+         .selectExpr("*", f"{value_bucket('__v')} AS __b"))
+    hist = (v.groupBy(*keys, "__b").agg(F.expr("count(*) AS __n"))
+            .selectExpr(*k, "__b", "__n", f"sum(__n) {_over(keys)} AS __total", f"sum(__n) {_over(keys, '__b')} - __n AS __before"))
+
+    def rank(p: float, up: bool) -> str:
+        return f"cast({'ceil' if up else 'floor'}({float(p)!r}D * (__total - 1)) AS bigint)"
+
+    wanted = ", ".join(rank(p, up) for p in probs.values() for up in (False, True))
+    targets = (hist.selectExpr(*k, "__b", "__total", "__before",
+                               f"filter(array_distinct(array({wanted})), r -> r >= __before AND r < __before + __n) AS __ranks")
+               .where("size(__ranks) > 0"))
     members = (join_on(v, targets, [*keys, "__b"])
-               .groupBy(*keys, "__b", "__v", "__total", "__before", "__ranks").agg(F.count("*").alias("__c")))
-    last = F.col("__before") + F.sum("__c").over(_running([*keys, "__b"], "__v"))
-    picked = (members.withColumn("__last", last)
-              .withColumn("__rank", F.explode(F.filter("__ranks", lambda r: (r >= F.col("__last") - F.col("__c"))
-                                                       & (r < F.col("__last")))))
-              .select(*keys, "__total", "__rank", "__v"))
-    sides = []
-    for i, p in enumerate(probs.values()):
-        sides += [F.max(F.when(F.col("__rank") == rank(p, False), F.col("__v"))).alias(f"__lo{i}"),
-                  F.max(F.when(F.col("__rank") == rank(p, True), F.col("__v"))).alias(f"__hi{i}")]
-    wide = picked.groupBy(*keys, "__total").agg(*sides)
-    out = []
-    for i, (name, p) in enumerate(probs.items()):
-        pos = F.lit(float(p)) * (F.col("__total") - 1)
-        out.append((F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (pos - F.floor(pos))).alias(name))
-    return wide.select(*keys, *out)
+               .groupBy(*keys, "__b", "__v", "__total", "__before", "__ranks").agg(F.expr("count(*) AS __c")))
+    picked = (members.selectExpr("*", f"__before + sum(__c) {_over([*keys, '__b'], '__v')} AS __last")
+              .selectExpr(*k, "__total", "__v", "explode(filter(__ranks, r -> r >= __last - __c AND r < __last)) AS __rank"))
+    sides = [F.expr(f"max(CASE WHEN __rank = {rank(p, up)} THEN __v END) AS __{'hi' if up else 'lo'}{i}")
+             for i, p in enumerate(probs.values()) for up in (False, True)]
+    pos = [f"({float(p)!r}D * (__total - 1))" for p in probs.values()]
+    return picked.groupBy(*keys, "__total").agg(*sides).selectExpr(
+        *k, *[f"__lo{i} + (__hi{i} - __lo{i}) * ({q} - floor({q})) AS `{name}`" for i, (name, q) in enumerate(zip(probs, pos))])
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str = "avg_rank") -> DataFrame:
     """(keys, value, n, rank): one row per distinct value with the mean 1-based rank of its ties."""
     keys = list(keys)
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-              .withColumn("__b", value_bucket(F.col(value).cast("double"))))
-    hist = counts.groupBy(*keys, "__b").agg(F.sum("n").alias("__n"))
-    hist = hist.select(*keys, "__b", (F.sum("__n").over(_running(keys, "__b")) - F.col("__n")).alias("__before"))
+    k = [f"`{c}`" for c in keys]
+    counts = (df.where(f"`{value}` IS NOT NULL").groupBy(*keys, value).agg(F.expr("count(*) AS n"))
+              .selectExpr("*", f"{value_bucket(f'cast(`{value}` AS double)')} AS __b"))
+    hist = (counts.groupBy(*keys, "__b").agg(F.expr("sum(n) AS __n"))
+            .selectExpr(*k, "__b", f"sum(__n) {_over(keys, '__b')} - __n AS __before"))
     joined = join_on(counts, hist, [*keys, "__b"])
-    upto = F.col("__before") + F.sum("n").over(_running([*keys, "__b"], value))
-    return (joined.withColumn("__upto", upto)
-            .select(*keys, value, "n", (F.col("__upto") - (F.col("n") - 1) / 2).alias(out)))
+    return (joined.selectExpr("*", f"__before + sum(n) {_over([*keys, '__b'], f'`{value}`')} AS __upto")
+            .selectExpr(*k, f"`{value}`", "n", f"__upto - (n - 1) / 2 AS `{out}`"))
 
 
 def position_within(df: DataFrame, keys: Sequence[str], order_hash: Column, tie: str, out: str) -> DataFrame:
@@ -83,11 +80,11 @@ def position_within(df: DataFrame, keys: Sequence[str], order_hash: Column, tie:
     ever sees a whole group.
     """
     keys = list(keys)
-    tagged = df.withColumn("__h", order_hash).withColumn("__b", F.substring("__h", 1, 3))
-    hist = tagged.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
-    hist = hist.select(*keys, "__b", (F.sum("__n").over(_running(keys, "__b")) - F.col("__n")).alias("__before"))
-    here = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy("__h", tie)) - 1
-    return (join_on(tagged, hist, [*keys, "__b"]).withColumn(out, (F.col("__before") + here).cast("bigint"))
+    tagged = df.withColumn("__h", order_hash).selectExpr("*", "substring(__h, 1, 3) AS __b")
+    hist = (tagged.groupBy(*keys, "__b").agg(F.expr("count(*) AS __n"))
+            .selectExpr(*[f"`{c}`" for c in keys], "__b", f"sum(__n) {_over(keys, '__b')} - __n AS __before"))
+    here = f"row_number() OVER (PARTITION BY {_q([*keys, '__b'])} ORDER BY __h, `{tie}`) - 1"
+    return (join_on(tagged, hist, [*keys, "__b"]).selectExpr("*", f"cast(__before + {here} AS bigint) AS `{out}`")
             .drop("__h", "__b", "__before"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice.operators.sizing import join_on
@@ -37,43 +37,41 @@ def densify(df: DataFrame, spec: GridSpec, keys: Sequence[str], values: Sequence
     return join_on(full, df.select(*keys, "iy", "ix", *values), [*keys, "iy", "ix"], "left")
 
 
-def _mirrored(pos: str, n: int, half: int) -> Column:
+def _mirrored(pos: str, n: int, half: int) -> str:
     """All positions in [-half, n-1+half] at which the pixel `pos` shows when the edge is mirrored (d c b a | a b c d)."""
     turns = -(-half // (2 * n)) + 1
-    spots = []
-    for k in range(-turns, turns + 1):
-        spots += [F.col(pos) + 2 * n * k, -1 - F.col(pos) + 2 * n * k]
-    return F.filter(F.array(*spots), lambda p: (p >= -half) & (p <= n - 1 + half))
+    spots = ", ".join(f"{pos} + {2 * n * k}, -1 - {pos} + {2 * n * k}" for k in range(-turns, turns + 1))
+    return f"explode(filter(array({spots}), p -> p >= {-half} AND p <= {n - 1 + half}))"
 
 
 def _line_filter(df, keys, across, along, n, half, agg, value):
     """Apply `agg` over a centred frame of 2*half+1 pixels along one axis with mirrored edges."""
-    w = Window.partitionBy(*keys, across).orderBy("__p").rowsBetween(-half, half)
-    return (df.withColumn("__p", F.explode(_mirrored(along, n, half)))
-            .withColumn(value, agg(F.col(value)).over(w))
-            .where((F.col("__p") == F.col(along)))
-            .drop("__p"))
+    part = ", ".join(f"`{c}`" for c in [*keys, across])
+    keep = [f"`{c}`" for c in df.columns if c != value]
+    frame = f"OVER (PARTITION BY {part} ORDER BY __p ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)"
+    return (df.selectExpr("*", f"{_mirrored(along, n, half)} AS __p")
+            .selectExpr(*keep, "__p", f"{agg}(`{value}`) {frame} AS `{value}`").where(f"__p = {along}").drop("__p"))
 
 
 def box_mean(df: DataFrame, spec: GridSpec, size: int, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Mean over size x size pixels; input must be dense and filled."""
     out = df.select(*keys, "iy", "ix", value)
-    out = _line_filter(out, keys, "iy", "ix", spec.n_cols, size // 2, F.avg, value)
-    return _line_filter(out, keys, "ix", "iy", spec.n_rows, size // 2, F.avg, value)
+    out = _line_filter(out, keys, "iy", "ix", spec.n_cols, size // 2, "avg", value)
+    return _line_filter(out, keys, "ix", "iy", spec.n_rows, size // 2, "avg", value)
 
 
 def box_max(df: DataFrame, spec: GridSpec, size: int, value: str, keys: Sequence[str] = ()) -> DataFrame:
     out = df.select(*keys, "iy", "ix", value)
-    out = _line_filter(out, keys, "iy", "ix", spec.n_cols, size // 2, F.max, value)
-    return _line_filter(out, keys, "ix", "iy", spec.n_rows, size // 2, F.max, value)
+    out = _line_filter(out, keys, "iy", "ix", spec.n_cols, size // 2, "max", value)
+    return _line_filter(out, keys, "ix", "iy", spec.n_rows, size // 2, "max", value)
 
 
 def box_median(df: DataFrame, spec: GridSpec, size: int, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Median over size x size pixels (odd size): a bounded list per pixel, gathered axis by axis."""
     half = size // 2
     out = df.select(*keys, "iy", "ix", value)
-    out = _line_filter(out, keys, "iy", "ix", spec.n_cols, half, F.collect_list, value)
-    out = _line_filter(out, keys, "ix", "iy", spec.n_rows, half, F.collect_list, value)
+    out = _line_filter(out, keys, "iy", "ix", spec.n_cols, half, "collect_list", value)
+    out = _line_filter(out, keys, "ix", "iy", spec.n_rows, half, "collect_list", value)
     return out.withColumn(value, F.element_at(F.sort_array(F.flatten(value)), size * size // 2 + 1))
 
 
@@ -108,15 +106,13 @@ def gradient(df: DataFrame, value: str, axis: str, n: int, step_m: float, keys:
 
     `step_m` is signed: y decreases with iy.
     """
-    across = "iy" if axis == "ix" else "ix"
-    w = Window.partitionBy(*keys, across).orderBy(axis)
-    here, prev, nxt = F.col(value), F.lag(value).over(w), F.lead(value).over(w)
     if n < 2:
         return F.lit(None).cast("double")
-    inner = (nxt - prev) / (2 * step_m)
-    return (F.when(here.isNull(), F.lit(None).cast("double"))
-            .when(F.col(axis) == 0, (nxt - here) / step_m)
-            .when(F.col(axis) == n - 1, (here - prev) / step_m).otherwise(inner))
+    part = ", ".join(f"`{c}`" for c in [*keys, "iy" if axis == "ix" else "ix"])
+    w = f"OVER (PARTITION BY {part} ORDER BY {axis})"
+    prev, nxt = f"lag(`{value}`) {w}", f"lead(`{value}`) {w}"
+    return F.expr(f"""CASE WHEN `{value}` IS NULL THEN NULL WHEN {axis} = 0 THEN ({nxt} - `{value}`) / {step_m!r}D
+      WHEN {axis} = {n - 1} THEN (`{value}` - {prev}) / {step_m!r}D ELSE ({nxt} - {prev}) / {2 * step_m!r}D END""")
 
 
 def local_peaks(df: DataFrame, spec: GridSpec, size: int, quantile: float, value: str) -> DataFrame:

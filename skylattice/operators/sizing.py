@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SMALL_ROWS = 20_000
@@ -16,24 +15,19 @@ def is_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast hint for a side measured to be small; a larger side keeps its shuffle join."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
-
-
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which NULL keys match each other; the key columns appear once."""
     if not keys:
         raise ValueError("join_on needs at least one key")
-    renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
-    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
-    return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    cond = " AND ".join(f"`{k}` <=> `__r_{k}`" for k in keys)
+    return left.join(renamed, F.expr(cond), how).drop(*[f"__r_{k}" for k in keys])
 
 
-def value_bucket(x: Column) -> Column:
-    """Monotone bucket of a double that depends on the value only, about 0.05 % wide away from zero.
+def value_bucket(x: str) -> str:
+    """SQL text of a monotone bucket of a double that depends on the value only, about 0.05 % wide away from zero.
 
     Being a pure function of the value, it is the same in every scan and retry, so bucket histograms and
     bucket members computed in different stages always agree.
     """
-    return F.floor(F.signum(x) * F.log1p(F.abs(x) * F.lit(1e15)) * F.lit(2048.0)).cast("bigint")
+    return f"cast(floor(signum({x}) * log1p(abs({x}) * 1e15D) * 2048D) AS bigint)"

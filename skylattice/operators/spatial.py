@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice.functions.geodesy import clipped_length, in_corridor, in_ring
-from skylattice.operators.materialise import materialise
+from skylattice.operators.materialise import materialise, task_slots
 from skylattice.operators.sizing import is_small, join_on
 
 
@@ -83,13 +83,15 @@ def cover_fraction(polygons: DataFrame, ring: str, cells: DataFrame, size: float
                    cell_id: str = "cell_id") -> DataFrame:
     """Share of each cell covered by the union of the polygons (overlaps count once), by sub-point sampling.
 
-    Shuffles: (cx, cy, sub-point) of covered points only, combined on the map side.
+    Shuffle: (cx, cy) of the polygons' candidate cells; the sub-point union and the share need no further one.
     """
     xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
     cand = (polygons.select(F.col(ring).alias("ring"),
                             F.explode(F.sequence(F.floor(F.array_min(xs) / size), F.floor(F.array_max(xs) / size))).alias("cx"),
                             F.floor(F.array_min(ys) / size).alias("y0"), F.floor(F.array_max(ys) / size).alias("y1"))
             .select("ring", "cx", F.explode(F.sequence("y0", "y1")).alias("cy")))
+    # all work of a cell happens in one task from here on, spread over all cores
+    cand = cand.repartition(task_slots(cells.sparkSession), "cx", "cy")
     pts = cand.select("ring", "cx", "cy", F.explode(sub_points(size, per_side)).alias("s"))
     hit = pts.where(in_ring(F.col("cx") * size + F.col("s.dx"), F.col("cy") * size + F.col("s.dy"), F.col("ring")))
     covered = (hit.select("cx", "cy", F.col("s.k").alias("k")).distinct()

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.operators.sizing import join_on, small
+from skylattice.operators.sizing import join_on
 
 
 def wide_to_long(df: DataFrame, keep: Sequence[str], cols: Sequence[str], name: str, value: str) -> DataFrame:
@@ -26,7 +26,7 @@ def profile_by_prefix(profiles: DataFrame, prefixes: DataFrame, owners: tuple[st
     lengths = [r[0] for r in prefixes.select(F.length("prefix")).distinct().limit(64).collect()]
     heads = F.array_distinct(F.array(*[F.substring("klass", 1, n) for n in sorted(lengths)]))
     tagged = profiles.withColumn("prefix", F.explode(heads))
-    hit = tagged.join(small(prefixes), "prefix").where(F.col("klass").startswith(F.col("prefix")))
+    hit = tagged.join(prefixes, "prefix").where(F.col("klass").startswith(F.col("prefix")))
     hit = hit.dropDuplicates(["code", "owner", "activity", "klass", "year", "month"])
     latest = (hit.groupBy("code", "owner", "activity").agg(F.min(F.struct((-F.col("year")).alias("y"), "klass")).alias("__l"))
               .select("code", "owner", "activity", (-F.col("__l.y")).alias("year"), F.col("__l.klass").alias("klass")))

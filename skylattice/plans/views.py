@@ -9,6 +9,8 @@ nation    waypoints, grouped into clusters by region
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,10 +95,14 @@ MET = """met AS (SELECT event_id AS met_id, ts AS met_ts, k % 13 - 6 + value / 1
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events WHERE event_type = 'signup'))"""
 
 
+@lru_cache(maxsize=8)
+def _pixel_rows(spark: SparkSession, sf: str) -> int:
+    return table(spark, sf, "events").agg(F.max("user_id")).first()[0] // N_COLS + 1
+
+
 def grid(spark: SparkSession, sf: str) -> GridSpec:
-    """The pixel grid; its row count is configuration in production and read from the table bounds here."""
-    top = table(spark, sf, "events").agg(F.max("user_id")).first()[0]
-    return GridSpec(LAT_TOP, LON_LEFT, RES, top // N_COLS + 1, N_COLS)
+    """The pixel grid; its row count is configuration in production and read once from the table bounds here."""
+    return GridSpec(LAT_TOP, LON_LEFT, RES, _pixel_rows(spark, sf), N_COLS)
 
 
 # the dense pixel grid as SQL
