@@ -20,6 +20,7 @@ from skylattice.operators.sizing import join_on
 from skylattice.settings import MOLAR_MASS_NO2
 
 CHUNKS = 8
+WIDTH = 1.7
 # Search ranges of decay length, source offset and smoothing width (km).
 RANGES = {"x0": (2.0, 150.0), "mu": (-15.0, 15.0), "sigma": (1.0, 30.0)}
 
@@ -60,10 +61,11 @@ def _round(pts: DataFrame, keys: list[str], sloped: bool, shape: tuple[int, int,
 
 
 def fit_profiles(profiles: DataFrame, keys: Sequence[str], x: str = "along", y: str = "line_density", sloped: bool = True,
-                 rounds: int = 4, shape: tuple[int, int, int] = (8, 6, 6), along_max: float | None = 45.0) -> DataFrame:
+                 rounds: int = 6, shape: tuple[int, int, int] = (10, 8, 8), along_max: float | None = 45.0) -> DataFrame:
     """Best-fitting parameters, R2 and bound flags for every profile.
 
-    `rounds` = 1 evaluates the coarse grid only; each further round searches one coarse step around the best node.
+    `rounds` = 1 evaluates the coarse grid only; each further round searches
+    1.7 steps of the previous grid around the best node, so neighbouring basins stay in reach.
     """
     keys = list(keys)
     base = profiles.where(F.col(y).isNotNull())
@@ -79,10 +81,10 @@ def fit_profiles(profiles: DataFrame, keys: Sequence[str], x: str = "along", y:
         for p, n in zip(RANGES, shape):
             lo, hi, v = F.col(f"{p}_lo"), F.col(f"{p}_hi"), F.col(p)
             if p == "mu":
-                step = (hi - lo) / (n - 1)
+                step = WIDTH * (hi - lo) / (n - 1)
                 a, b = v - step, v + step
             else:
-                step = F.pow(hi / lo, F.lit(1.0 / (n - 1)))
+                step = F.pow(hi / lo, F.lit(WIDTH / (n - 1)))
                 a, b = v / step, v * step
             new += [F.greatest(F.lit(RANGES[p][0]), a).alias(f"{p}_lo"), F.least(F.lit(RANGES[p][1]), b).alias(f"{p}_hi")]
         best = _round(join_on(base, materialise(best.select(*keys, *new)), keys), keys, sloped, shape)

@@ -288,7 +288,7 @@ _NODES = """nd AS (SELECT k AS node, 2e0 * pow(150e0 / 2, (k // 36) / 7e0) AS x0
 def profile_fit_grid(spark, sf):
     """Coarse-grid fit of the peaked profile with flat background, one fit per wind regime."""
     w = regimes(spark, sf).select("regime", "overpass", F.lit(1.0).alias("w"))
-    fit = profile_fit.fit_profiles(rotate.line_density(rotated(spark, sf), w, ["regime"], FRAME), ["regime"], sloped=False, rounds=1)
+    fit = profile_fit.fit_profiles(rotate.line_density(rotated(spark, sf), w, ["regime"], FRAME), ["regime"], sloped=False, rounds=1, shape=(8, 6, 6))
     return rnd(fit.select("regime", "x0", "mu", "sigma", F.round("a", 0).alias("a"), "r2"), 6, "x0", "mu", "sigma", "r2")
 
 
@@ -301,7 +301,7 @@ def seasonal_fits(spark, sf, reps: int):
     wind = materialise(rotate.mean_inverse_wind(wt, w, ["season", "rep"]))
     fits = []
     for sloped in (True, False):
-        e = profile_fit.emissions(profile_fit.fit_profiles(lines, ["season", "rep"], sloped=sloped, rounds=3).join(wind, ["season", "rep"]))
+        e = profile_fit.emissions(profile_fit.fit_profiles(lines, ["season", "rep"], sloped=sloped, rounds=4).join(wind, ["season", "rep"]))
         fits.append(resample.interval(e, ["season"], "e_nox_kg_s", {"ci_lo": 0.025, "ci_med": 0.5, "ci_hi": 0.975}, "rel_sd",
                                       main_cols=["x0", "r2", "tau_h", "e_nox_kg_s", "e_nox_kt_yr"]).drop("estimate"))
     return profile_fit.choose_constrained(fits[0], fits[1], ["season"])
