@@ -38,7 +38,10 @@ def _full(tri: np.ndarray, p: int) -> np.ndarray:
 
 
 def weighted_least_squares(sums: DataFrame, p: int, keys: Sequence[str]) -> DataFrame:
-    """(keys, n, coef, se, chi2): coefficients, standard errors widened by sqrt(max(reduced chi2, 1))."""
+    """(keys, n, coef, se, chi2): coefficients, standard errors widened by sqrt(max(reduced chi2, 1)).
+
+    Groups whose system is not identifiable (too few rows, collinear regressors) get NULL coefficients.
+    """
     keys = list(keys)
     schema = T.StructType([f for f in sums.schema.fields if f.name in keys]
                           + [T.StructField("n", T.LongType()), T.StructField("coef", T.ArrayType(T.DoubleType())),
@@ -49,17 +52,20 @@ def weighted_least_squares(sums: DataFrame, p: int, keys: Sequence[str]) -> Data
             coef, se, chi = [], [], []
             for n, tri, xy, yy in zip(pdf["n"], pdf["xx"], pdf["xy"], pdf["yy"]):
                 a, b = _full(np.asarray(tri), p), np.asarray(xy)
-                try:
-                    c = np.linalg.solve(a, b)
-                    chi2 = max(yy - c @ b, 0.0) / max(n - p, 1)
-                    s = np.sqrt(np.maximum(np.diag(np.linalg.inv(a)) * max(chi2, 1.0), 0.0))
-                except np.linalg.LinAlgError:
-                    c, s, chi2 = np.full(p, np.nan), np.full(p, np.nan), np.nan
+                d = np.sqrt(np.diag(a))
+                if n < p or not (d > 0).all() or np.linalg.matrix_rank(a / np.outer(d, d), tol=1e-9) < p:
+                    coef.append([None] * p)
+                    se.append([None] * p)
+                    chi.append(None)
+                    continue
+                c = np.linalg.solve(a, b)
+                chi2 = max(yy - c @ b, 0.0) / max(n - p, 1)
+                s = np.sqrt(np.maximum(np.diag(np.linalg.inv(a)) * max(chi2, 1.0), 0.0))
                 coef.append(c.tolist())
                 se.append(s.tolist())
                 chi.append(chi2)
             out = pdf[[*keys, "n"]].copy()
-            out["coef"], out["se"], out["chi2"] = coef, se, chi
+            out["coef"], out["se"], out["chi2"] = coef, se, pd.array(chi, dtype="Float64")
             yield out
 
     return sums.select(*keys, "n", "xx", "xy", "yy").mapInPandas(solve, schema)

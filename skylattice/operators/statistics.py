@@ -150,12 +150,13 @@ def between_within(groups: DataFrame, estimate: str, sigma: str) -> DataFrame:
 
 def inverse_variance(df: DataFrame, est: str, se: str) -> DataFrame:
     """Weighted mean, its standard error, between-group reduced chi-square and the error inflated by it."""
-    w = 1 / (F.col(se) * F.col(se))
-    s = df.agg(F.sum(w).alias("sw"), F.sum(w * F.col(est)).alias("swb"), F.sum(w * F.col(est) * F.col(est)).alias("swbb"),
-               F.count("*").alias("n"))
-    beta = F.col("swb") / F.col("sw")
+    w = F.try_divide(F.lit(1.0), F.col(se) * F.col(se))
+    s = (df.where(F.col(est).isNotNull() & F.col(se).isNotNull())
+         .agg(F.sum(w).alias("sw"), F.sum(w * F.col(est)).alias("swb"), F.sum(w * F.col(est) * F.col(est)).alias("swbb"),
+              F.count("*").alias("n")))
+    beta = F.try_divide("swb", "sw")
     chi2 = F.try_divide(F.col("swbb") - F.col("sw") * beta * beta, F.col("n") - 1)
-    se0 = 1 / F.sqrt("sw")
+    se0 = F.try_divide(F.lit(1.0), F.sqrt("sw"))
     return s.select(beta.alias("beta"), se0.alias("beta_se"), chi2.alias("between_chi2"),
                     (se0 * F.greatest(F.lit(1.0), F.sqrt(F.greatest(chi2, F.lit(0.0))))).alias("beta_se_inflated"))
 

@@ -7,17 +7,20 @@ from skylattice.plans import CATALOGUE
 
 SF = "0.001"
 # long-running fits; covered by their own tests and by the comparison script
-SLOW = {"seasonal_emissions", "between_within_seasons", "fit_setting_sweep", "ablation_forest", "oof_wide", "false_positive_rate"}
+SLOW = {"error_field_variogram", "seasonal_emissions", "between_within_seasons", "fit_setting_sweep", "ablation_forest", "oof_wide", "false_positive_rate"}
+# the smallest scale has a single pixel row, so a north gradient is not identifiable there
+SCALE = {"plume_regression": "0.01", "plume_combined": "0.01"}
 
 
 @pytest.fixture(scope="module")
 def duck():
-    return connect(SF)
+    return {sf: connect(sf) for sf in {SF, *SCALE.values()}}
 
 
 @pytest.mark.parametrize("name", [n for n in CATALOGUE if n not in SLOW])
 def test_query(spark, duck, name):
-    bad, _ = differences(spark, duck, CATALOGUE[name], SF)
+    sf = SCALE.get(name, SF)
+    bad, _ = differences(spark, duck[sf], CATALOGUE[name], sf)
     assert not bad, "\n".join(bad)
 
 

@@ -105,6 +105,13 @@ def test_weighted_least_squares(spark):
     np.testing.assert_allclose(r["se"], np.sqrt(np.diag(np.linalg.inv(A)) * max(chi2, 1)), rtol=1e-9)
 
 
+def test_collinear_groups_get_null(spark):
+    df = spark.createDataFrame([(g, float(i), 2.0 * i if g else float(i * i), float(i)) for g in (0, 1) for i in range(6)], "g int, a double, b double, y double")
+    fit = regression.weighted_least_squares(regression.product_sums(df, [F.lit(1.0), F.col("a"), F.col("b")], F.col("y"), ["g"]), 3, ["g"])
+    got = {r["g"]: r["coef"] for r in fit.collect()}
+    assert got[1] == [None] * 3 and got[0] == pytest.approx([0, 1, 0], abs=1e-9)
+
+
 def test_draws_match_closed_form(spark):
     e = spark.createDataFrame([(1, 10.0, 10.0), (2, 20.0, 99.0)], "zone int, x double, other double")
     T = budget.Term
