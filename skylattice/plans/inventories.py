@@ -206,11 +206,11 @@ def feature_assembly(spark, sf):
 
 
 @query(f"""WITH {_FEAT}, s AS (SELECT cell_id, season, avg(no2) AS no2, avg(hcho) AS hcho, avg(sin(radians(wd850))) AS s, avg(cos(radians(wd850))) AS c, count(*) AS n_months FROM bs GROUP BY ALL)
-  SELECT cell_id, season, round(no2, 6) AS no2, round(hcho, 6) AS hcho, n_months, round(s / sqrt(s * s + c * c), 5) AS wd850_sin, round(c / sqrt(s * s + c * c), 5) AS wd850_cos FROM s""")
+  SELECT cell_id, season, round(no2, 7) AS no2, round(hcho, 9) AS hcho, n_months, round(s / sqrt(s * s + c * c), 5) AS wd850_sin, round(c / sqrt(s * s + c * c), 5) AS wd850_cos FROM s""")
 def season_features(spark, sf):
     """Season means with vector-averaged direction and month counts."""
     s = features.season_means(monthly_features(spark, sf), ["no2", "hcho"])
-    return rnd(rnd(s, 6, "no2", "hcho"), 5, "wd850_sin", "wd850_cos")
+    return rnd(rnd(rnd(s, 7, "no2"), 9, "hcho"), 5, "wd850_sin", "wd850_cos")
 
 
 @query(f"""WITH {_FEAT} SELECT bs.cell_id, round(avg(no2), 6) AS no2, any_value(p_type) AS klass, any_value(p_size) AS size FROM bs JOIN part ON cell_id = p_partkey GROUP BY 1""")
