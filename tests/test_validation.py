@@ -87,7 +87,7 @@ def test_spin_maps_and_source(spark):
 
 def test_leakage_guard():
     assert allowed_features(["hcho", "viirs_rad"], "label_fd") == ["hcho", "viirs_rad"]
-    for bad in (["no2"], ["ref_edgar_co2"]):
+    for bad in (["no2"], ["ref_inventory_co2"]):
         with pytest.raises(LeakageError):
             allowed_features(bad, "label_fd")
     assert allowed_features(["no2"], "label_fd", waive=["no2"]) == ["no2"]
