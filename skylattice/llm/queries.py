@@ -66,8 +66,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def _words(text: str, keep_marks: bool) -> str:
     """SQL list of the words of a text."""
-    split = f"list_filter(regexp_split_to_array({text}, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
-    return split if keep_marks else f"list_filter(list_transform({split}, w -> regexp_replace(w, '[!-/:-@\\[-`{{-~]', '', 'g')), w -> w <> '')"
+    split = f"regexp_split_to_array({text}, '[\\x20\\x09-\\x0D]+')"
+    word = "w" if keep_marks else "regexp_replace(w, '[!-/:-@\\[-`{-~]', '', 'g')"
+    return f"[{word} for w in {split} if {word} <> '']"
 
 
 def _shingle_sql(table: str, key: str, text: str, n: int, keep_marks: bool) -> str:
