@@ -6,7 +6,7 @@ their l-prefixes, of length n - ceil(t * n) + l. Each set chooses its own l: a l
 for l shared tokens before a pair is verified; for l and m the smaller of the two is asked for, which loses no pair.
 
 Equal sets are one node, whatever their number. Groups of near copies are not paired off: first, in a few rounds, each
-node is verified against one centre of another class, the node that stands for most of its token lists. Then only pairs of nodes of different
+node is verified against a few centres of other classes, the nodes that stand for most of its token lists. Then only pairs of nodes of different
 classes are generated; a token whose nodes are all of one class generates none. What these verified links join are the final
 classes, and they are exactly those of all links: a pair left out lies within a class.
 """
@@ -29,8 +29,13 @@ FREQUENT = 200_000
 LOCAL = 4
 #: Longest multi-match asked for, and the weight of a verification against reading one posting.
 LONGEST, VERIFY = 6, 16.0
-#: Most rounds with centres, and the share of verified pairs below which the next round is the exact one.
-ROUNDS, SETTLED = 6, 0.02
+#: Most rounds with centres; a round without a new link is the last. Centres of a token after the first round, and most
+#: centres that a node tries in a round.
+ROUNDS, CENTRES, TRIED = 3, 8, 12
+#: Cells of the hash space whose counts bound the overlap of two sets from above.
+CELLS = 64
+#: Tables of at most this many rows go to all tasks when texts are fetched; larger ones are joined by shuffle.
+SMALL_ROWS = 2_000_000
 
 
 def frequent_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,22 +83,46 @@ def _set_hash(values: np.ndarray) -> int:
     return int(mixed(np.array([(one ^ two * 0x9E3779B97F4A7C15 ^ len(values)) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0])
 
 
+def _cells(values: np.ndarray) -> bytes:
+    """How many values lie in each cell, up to 255."""
+    return np.minimum(np.bincount((values >> np.uint64(58)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
+def _possible(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose overlap can be large enough: it is at most the sum of the lesser counts of each cell.
+
+    A full cell bounds nothing, so that a pair with one stays. No pair that links is lost.
+    """
+    x, y = (about.select(F.col("node").alias(k), F.col("size").alias(f"n{k}"), F.col("cells").alias(f"c{k}")) for k in "ab")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ca, cb = (np.frombuffer(b"".join(batch.column(f"c{k}").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int64) for k in "ab")
+            most = np.minimum(ca, cb).sum(1)
+            sizes = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            open_end = ((ca == 255) | (cb == 255)).any(1)
+            yield batch.filter(pa.array(open_end | (100 * most >= percent * (sizes - most)))).select(["a", "b"])
+
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(bound, "a long, b long")
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return slim.withColumn("tkey", F.xxhash64("text"))
 
 
 def _prefix_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, tkey (hash of the text), node (hash of the set), n_shingles, m (matches asked for), prefix."""
+    """doc_id, tkey (hash of the text), node (hash of the set), n_shingles, m (matches asked for), cells, prefix."""
     frequent, counts = frequent_shingles(docs, n)
     spread = docs.sparkSession.sparkContext.broadcast((frequent, counts))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, times = spread.value
         for piece in pieces(batches, "text", SMALL_BYTES):
-            nodes, sizes, asked, prefixes = [], [], [], []
+            nodes, sizes, asked, cells, prefixes = [], [], [], [], []
             for values in set_shingles(piece.column(1), n):
                 sizes.append(len(values))
+                cells.append(_cells(values))
                 if len(values):
                     prefix, m = adaptive_prefix(values, percent, tokens, times)
                     nodes.append(_set_hash(values))
@@ -104,10 +133,10 @@ def _prefix_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 prefixes.append(prefix.view(np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes)))
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(asked, pa.int32()), lists],
-                                             ["doc_id", "tkey", "node", "n_shingles", "m", "prefix"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(asked, pa.int32()), pa.array(cells, pa.binary()), lists],
+                                             ["doc_id", "tkey", "node", "n_shingles", "m", "cells", "prefix"])
 
-    return materialise(docs.mapInArrow(read, "doc_id long, tkey long, node long, n_shingles long, m int, prefix array<long>"))
+    return materialise(docs.mapInArrow(read, "doc_id long, tkey long, node long, n_shingles long, m int, cells binary, prefix array<long>"))
 
 
 def _sizes_fit(a: str, b: str, percent: int) -> str:
@@ -178,29 +207,26 @@ def similarity_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
 def _labels(rows: DataFrame, table: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The label of every node that links with another, and all verified links."""
-    postings = (table.select(F.explode("prefix").alias("token"), "node", F.col("n_shingles").alias("size"), "m")
-                .groupBy("token", "node").agg(F.max("size").alias("size"), F.max("m").alias("m")))
-    postings = materialise(postings)
-    lists = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").drop("df")
-    shared = materialise(postings.join(lists, "token"))
-    about = table.where("n_shingles > 0").groupBy("node").agg(F.max("n_shingles").alias("size"), F.max("m").alias("m"), F.expr("min(struct(doc_id, tkey))").alias("rep"))
-    about = materialise(about)
+    postings = table.select(F.explode("prefix").alias("token"), "node", F.col("n_shingles").alias("size"), "m")
+    lists = postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
+    shared = materialise(postings.join(lists, "token").groupBy("token", "node").agg(F.max("size").alias("size"), F.max("m").alias("m")))
+    about = materialise(table.where("n_shingles > 0").groupBy("node").agg(F.max("n_shingles").alias("size"), F.max("m").alias("m"), F.expr("min(struct(doc_id, tkey))").alias("rep"), F.max("cells").alias("cells")))
     links, labels = None, None
     for r in range(ROUNDS):
         star = _star(shared, about, labels, r, percent)
         if star.isEmpty():
             break
         found = _verified(star, _bodies(rows, about, star), n, percent)
+        if found.isEmpty():
+            break
         links = found if links is None else materialise(links.unionByName(found))
         labels = components(links)
-        if found.count() < SETTLED * star.count():
-            break
     # exact round: tokens with nodes of more than one class, pairs across classes only
     open_lists = materialise(_open(shared, labels))
     a, b = (open_lists.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "m", "label")]) for s in "ab")
     pairs = a.join(b, "token").where(f"node_a < node_b AND label_a <> label_b AND {_sizes_fit('size_a', 'size_b', percent)}")
     pairs = pairs.groupBy("node_a", "node_b").agg(F.count("*").alias("shared"), F.min(F.least("m_a", "m_b")).alias("m")).where("shared >= m")
-    pairs = materialise(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    pairs = materialise(_possible(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), about, percent))
     if pairs.isEmpty():
         return (components(pairs) if labels is None else labels), links
     more = _verified(pairs, _bodies(rows, about, pairs), n, percent)
@@ -218,21 +244,24 @@ def _open(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _star(shared: DataFrame, about: DataFrame, labels: DataFrame | None, r: int, percent: int) -> DataFrame:
-    """At most one pair (a, b) for each node a: b is a node of another class that is the centre of most of a's tokens, if
-    sizes and matches allow a link. A token's centre is its node of the least hash in this round."""
+    """At most TRIED pairs (a, b) for each node a: the b are nodes of other classes that are the centres of most of a's tokens,
+    if sizes and matches allow a link. A token's centres are its nodes of the least hashes in this round."""
     lists = _open(shared, labels)
-    order = F.xxhash64("node", F.lit(r))
-    centres = lists.groupBy("token").agg(F.min(F.struct(order.alias("h"), F.col("node").alias("centre"), F.col("label").alias("clabel"))).alias("c")).select("token", "c.centre", "c.clabel")
+    number = 1 if r == 0 else CENTRES
+    least = [F.min(F.struct(F.xxhash64("node", F.lit(r * CENTRES + k)), F.col("node").alias("centre"), F.col("label").alias("clabel"))).alias(f"c{k}") for k in range(number)]
+    centres = lists.groupBy("token").agg(*least).select("token", F.explode(F.array_distinct(F.array(*[F.struct(f"c{k}.centre", f"c{k}.clabel") for k in range(number)]))).alias("c")).select("token", "c.centre", "c.clabel")
     star = lists.join(centres, "token").where("label <> clabel").groupBy("node", "centre").agg(F.count("*").alias("shared"), F.max("size").alias("size"), F.max("m").alias("m"))
     star = star.join(about.select(F.col("node").alias("centre"), F.col("size").alias("csize"), F.col("m").alias("cm")), "centre")
-    star = star.where(f"{_sizes_fit('size', 'csize', percent)} AND shared >= least(m, cm)").groupBy("node").agg(F.expr("max(struct(shared, centre))").alias("best"))
-    return materialise(star.select(F.col("node").alias("a"), F.col("best.centre").alias("b")))
+    star = star.where(f"{_sizes_fit('size', 'csize', percent)} AND shared >= least(m, cm)").groupBy("node").agg(F.expr(f"slice(sort_array(collect_list(struct(shared, centre)), false), 1, {TRIED})").alias("best"))
+    return materialise(_possible(star.select(F.col("node").alias("a"), F.explode("best.centre").alias("b")), about, percent))
 
 
 def _bodies(rows: DataFrame, about: DataFrame, pairs: DataFrame) -> DataFrame:
     """node, text of every node of the pairs: the text of its representative row."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(about.select("node", F.col("rep.doc_id").alias("rid"), F.col("rep.tkey").alias("rkey")), "node")
+    wanted = materialise(nodes.join(about.select("node", F.col("rep.doc_id").alias("rid"), F.col("rep.tkey").alias("rkey")), "node"))
+    if wanted.count() <= SMALL_ROWS:
+        wanted = F.broadcast(wanted)
     found = rows.join(wanted, F.expr("tkey = rkey AND doc_id <=> rid"))
     return materialise(found.select("node", "text").dropDuplicates(["node"]))
 
