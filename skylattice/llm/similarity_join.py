@@ -31,9 +31,9 @@ LOCAL = 4
 LONGEST, VERIFY = 6, 16.0
 #: Most rounds with centres; a round without a new link is the last. Centres of a token after the first round, and most
 #: centres that a node tries in a round.
-ROUNDS, CENTRES, TRIED = 3, 8, 12
+ROUNDS, CENTRES, TRIED = 2, 8, 6
 #: Cells of the hash space whose counts bound the overlap of two sets from above.
-CELLS = 64
+CELLS = 256
 #: Tables of at most this many rows go to all tasks when texts are fetched; larger ones are joined by shuffle.
 SMALL_ROWS = 2_000_000
 
@@ -85,7 +85,7 @@ def _set_hash(values: np.ndarray) -> int:
 
 def _cells(values: np.ndarray) -> bytes:
     """How many values lie in each cell, up to 255."""
-    return np.minimum(np.bincount((values >> np.uint64(58)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+    return np.minimum(np.bincount((values >> np.uint64(56)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
 
 
 def _possible(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
