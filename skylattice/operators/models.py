@@ -113,11 +113,11 @@ def ridge_oof(df: DataFrame, features: Sequence[str], label: str, fold: str, key
 
 
 # ---------------------------------------------------------------- pyspark.ml estimators
-def estimator(kind: str, trees: int | None = None, seed: int = 42):
+def estimator(kind: str, trees: int | None = None, seed: int = 42, max_depth: int = 30):
     """Random forest, boosted trees or ridge regression by name."""
     if kind == "rf":
         return RandomForestRegressor(numTrees=trees or 500, minInstancesPerNode=5, featureSubsetStrategy="0.5", seed=seed,
-                                     maxDepth=12, featuresCol="scaled", labelCol="__y", predictionCol="pred")
+                                     maxDepth=max_depth, featuresCol="scaled", labelCol="__y", predictionCol="pred")
     if kind == "gbt":
         return GBTRegressor(maxIter=trees or 400, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, seed=seed,
                             featuresCol="scaled", labelCol="__y", predictionCol="pred")

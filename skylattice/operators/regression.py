@@ -72,8 +72,8 @@ def weighted_least_squares(sums: DataFrame, p: int, keys: Sequence[str]) -> Data
 
 
 # ---------------------------------------------------------------- plume scaling
-def predicted_enhancement(soundings: DataFrame, emitters: DataFrame, keys: Sequence[str], sigma0_km: float = 2.0,
-                          spread: float = 0.15, reach_km: float = 150.0, bin_km: float = 50.0) -> DataFrame:
+def predicted_enhancement(soundings: DataFrame, emitters: DataFrame, keys: Sequence[str], reach_km: float,
+                          sigma0_km: float = 2.0, spread: float = 0.15, bin_km: float = 50.0) -> DataFrame:
     """Column enhancement (ppm) at each sounding summed over all upwind emitters.
 
     soundings(keys, x, y, u, v, psurf), emitters(x, y, rate kg/s); positions in km. Emitters at one position are

@@ -1,4 +1,4 @@
-"""Size checks and NULL-safe joins shared by the operators."""
+"""NULL-safe joins and value buckets shared by the operators."""
 
 from __future__ import annotations
 
@@ -7,14 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 20_000
-
-
-def is_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
-    """True if `df` has at most `max_rows` rows; reads no more than one row beyond the bound."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which NULL keys match each other; the key columns appear once."""
     if not keys:

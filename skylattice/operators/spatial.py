@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skylattice.functions.geodesy import clipped_length, in_corridor, in_ring
 from skylattice.operators.materialise import materialise, task_slots
-from skylattice.operators.sizing import is_small, join_on
+from skylattice.operators.sizing import join_on
 
 
 # ---------------------------------------------------------------- lines
@@ -166,15 +166,6 @@ def region_cells(lattice: DataFrame, corridor: DataFrame, centre: tuple[float, f
 
 
 # ---------------------------------------------------------------- nearest points
-def _nearest_small(df, pts, cols, x, y):
-    packed = pts.agg(F.sort_array(F.collect_list(F.struct("__ord", "__x", "__y", *cols))).alias("__pts"))
-    d2 = lambda p: (F.col(x) - p["__x"]) * (F.col(x) - p["__x"]) + (F.col(y) - p["__y"]) * (F.col(y) - p["__y"])
-    best = F.array_min(F.transform("__pts", lambda p: F.struct(d2(p).alias("d2"), p["__ord"].alias("o"), p.alias("p"))))
-    tagged = df.withColumn("__k", F.lit(0)).join(F.broadcast(packed.withColumn("__k", F.lit(0))), "__k", "left")
-    return (tagged.withColumn("__b", best)
-            .select(*df.columns, F.sqrt("__b.d2").alias("nearest_dist"), *[F.col("__b.p")[c].alias(c) for c in cols]))
-
-
 def _nearest_tree(df, pts, cols, x, y):
     """Nearest point by descending a tree of square bins, four times finer per level.
 
@@ -183,7 +174,7 @@ def _nearest_tree(df, pts, cols, x, y):
     are distributed, and only the points of the last bins are compared. One equi-join per level, no pair of far
     rows. Distinct query positions only.
     """
-    spots = df.select(F.col(x).alias("qx"), F.col(y).alias("qy")).where("qx IS NOT NULL AND qy IS NOT NULL").distinct()
+    spots = df.select(F.col(x).alias("qx"), F.col(y).alias("qy")).where("qx IS NOT NULL AND qy IS NOT NULL AND NOT isnan(qx) AND NOT isnan(qy)").distinct()
     x0, x1, y0, y1, n = pts.agg(F.min("__x"), F.max("__x"), F.min("__y"), F.max("__y"), F.count("*")).first()
     if x0 is None:
         return df.select("*", F.lit(None).cast("double").alias("nearest_dist"),
@@ -215,14 +206,14 @@ def _nearest_tree(df, pts, cols, x, y):
 
 
 def nearest_point(df: DataFrame, points: DataFrame, x: str = "x", y: str = "y", px: str = "x", py: str = "y",
-                  cols: Sequence[str] = (), order: str | None = None, max_small: int = 500) -> DataFrame:
+                  cols: Sequence[str] = (), order: str | None = None) -> DataFrame:
     """Add `nearest_dist` and `cols` of the nearest point; ties go to the smallest `order`.
 
-    A point set measured to be small travels as one packed row; a larger one is searched through a tree of bins.
+    Point sets of any size are searched through a tree of bins. Points with a NULL or NaN coordinate are nobody's nearest, and
+    rows with one get NULL for the distance and the columns.
     """
-    pts = points.select(F.col(order or px).alias("__ord"), F.col(px).alias("__x"), F.col(py).alias("__y"), *cols)
-    if is_small(pts, max_small):
-        return _nearest_small(df, pts, list(cols), x, y)
+    pts = points.select(F.col(order or px).alias("__ord"), F.col(px).cast("double").alias("__x"), F.col(py).cast("double").alias("__y"), *cols)
+    pts = pts.where("__x IS NOT NULL AND __y IS NOT NULL AND NOT isnan(__x) AND NOT isnan(__y)")
     return _nearest_tree(df, pts, list(cols), x, y)
 
 
@@ -237,7 +228,7 @@ def nearest_on_lattice(points: DataFrame, cells: DataFrame, spacing: float, x: s
     direct = materialise(tagged.join(keyed, ["__ix", "__iy"], "left").drop("__ix", "__iy"))
     found = direct.where(F.col(out).isNotNull())
     missed = direct.where(F.col(out).isNull()).drop(out)
-    searched = nearest_point(missed, cells, x, y, "__cx", "__cy", [out], order=out, max_small=0).drop("nearest_dist")
+    searched = nearest_point(missed, cells, x, y, "__cx", "__cy", [out], order=out).drop("nearest_dist")
     return found.unionByName(searched)
 
 

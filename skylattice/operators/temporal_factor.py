@@ -21,11 +21,11 @@ def profile_by_prefix(profiles: DataFrame, prefixes: DataFrame, owners: tuple[st
     year of each activity (smallest class on ties), normalised, averaged; the first owner's rows win over the second's.
 
     profiles(owner, activity, klass, year, month, value), one value per key; prefixes(code, prefix). The prefix table is a small
-    constant list, joined on the equal leading characters for each prefix length in use.
+    constant list, joined on
+    the equal leading characters; every leading part of a class is tried.
     """
-    lengths = [r[0] for r in prefixes.select(F.length("prefix")).distinct().limit(64).collect()]
-    heads = F.array_distinct(F.array(*[F.substring("klass", 1, n) for n in sorted(lengths)]))
-    tagged = profiles.withColumn("prefix", F.explode(heads))
+    heads = F.expr("transform(sequence(1, greatest(1, length(klass))), n -> substring(klass, 1, n))")
+    tagged = profiles.withColumn("prefix", F.explode(F.array_distinct(heads)))
     hit = tagged.join(prefixes, "prefix").where(F.col("klass").startswith(F.col("prefix")))
     hit = hit.dropDuplicates(["code", "owner", "activity", "klass", "year", "month"])
     latest = (hit.groupBy("code", "owner", "activity").agg(F.min(F.struct((-F.col("year")).alias("y"), "klass")).alias("__l"))

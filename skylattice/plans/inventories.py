@@ -44,10 +44,10 @@ def inventory_scan(spark, sf):
     return i.groupBy("species", "year", "sector").agg(F.count("*").alias("n"), F.round(F.sum(missing_if_sentinel("value", 1.0)), 2).alias("total"))
 
 
-@query(f"WITH {v.INV}, {_FRAC} SELECT species, year, sector, round(total, 3) AS total FROM tt")
+@query(f"WITH {v.INV}, {_FRAC} SELECT species, year, sector, round(total, 6) AS total FROM tt")
 def region_totals(spark, sf):
     """Area-weighted totals within the circle per species, year and sector."""
-    return rnd(city_totals(spark, sf), 3, "total")
+    return rnd(city_totals(spark, sf), 6, "total")  # beyond the five decimals of the exact sums, where no tie can occur
 
 
 _SEC = """sc AS (SELECT sector, sum(CASE WHEN species = 'NOx' THEN total END) AS den, sum(CASE WHEN species = 'CO2' THEN total END) AS num, sum(CASE WHEN species = 'CO' THEN total END) AS tracer FROM tt GROUP BY 1),

@@ -13,8 +13,9 @@ class FingerprintMismatch(RuntimeError):
 
 
 def row_digest(cols: Sequence[Column]) -> Column:
-    """md5 of the row's text form; NULL is written as \\N so it differs from an empty text."""
-    return F.md5(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("\\N")) for c in cols]))
+    """md5 of the row's text form. Separators and backslashes of a text are escaped and NULL is \\N, so that different rows differ."""
+    plain = lambda c: F.replace(F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+    return F.md5(F.concat_ws("|", *[F.coalesce(plain(c), F.lit("\\N")) for c in cols]))
 
 
 def fingerprint(df: DataFrame, cols: Sequence[Column] | None = None) -> DataFrame:

@@ -81,7 +81,7 @@ def test_nearest_tree_equals_brute_force(spark, clustered):
     q = rng.uniform(-200, 200, (150, 2))
     pts = spark.createDataFrame(pd.DataFrame({"px": p[:, 0], "py": p[:, 1], "i": np.arange(len(p))}))
     qs = spark.createDataFrame(pd.DataFrame({"id": np.arange(150), "x": q[:, 0], "y": q[:, 1]}))
-    got = spatial.nearest_point(qs, pts, "x", "y", "px", "py", ["i"], order="i", max_small=0).orderBy("id").toPandas()
+    got = spatial.nearest_point(qs, pts, "x", "y", "px", "py", ["i"], order="i").orderBy("id").toPandas()
     d = np.hypot(q[:, None, 0] - p[None, :, 0], q[:, None, 1] - p[None, :, 1])
     np.testing.assert_allclose(got.nearest_dist, d.min(1), rtol=1e-9)
     assert got.i.tolist() == d.argmin(1).tolist()
@@ -124,3 +124,22 @@ def test_fences_keep_constant_series_and_boundaries(spark):
     f = qc.iqr_filter(df, "temporal", k=3.0)
     assert [r["value"] for r in f.where("is_outlier").collect()] == []  # q3 + 3 * iqr = 8 stays
     assert qc.removed_fraction(f).first()["removed_fraction"] == 0.0
+
+
+def test_nearest_point_ignores_missing_coordinates(spark):
+    from skylattice.operators import spatial
+
+    nan = float("nan")
+    points = spark.createDataFrame([("a", 0.0, 0.0), ("b", 10.0, 0.0), ("c", None, 1.0), ("d", nan, 1.0)], "name string, px double, py double")
+    rows = spark.createDataFrame([(1, 1.0, 0.0), (2, 9.0, 0.0), (3, None, 0.0), (4, nan, 0.0)], "id long, x double, y double")
+    got = {r["id"]: (r["name"], r["nearest_dist"]) for r in spatial.nearest_point(rows, points, px="px", py="py", cols=["name"], order="name").collect()}
+    assert got == {1: ("a", 1.0), 2: ("b", 1.0), 3: (None, None), 4: (None, None)}
+
+
+def test_row_digest_separates_rows(spark):
+    from pyspark.sql import functions as F
+
+    from skylattice.sources.freeze import row_digest
+
+    rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("\\N", "x"), (None, "x"), ("a\\", "b"), ("a", "\\b")], "p string, q string")
+    assert rows.select(row_digest([F.col("p"), F.col("q")]).alias("d")).distinct().count() == 6
