@@ -1,7 +1,7 @@
 """Token ids in Arrow files of fixed-size lists.
 
 Documents are ranged by id; each task tokenizes its range in order and writes one Arrow file. Its record batches hold
-SEQUENCES sequences of LENGTH ids and masks as fixed-size lists, so that sequence s of a file is found by arithmetic and its
+SEQUENCES sequences of LENGTH ids (16 bits where the vocabulary allows) and mask bits as fixed-size lists, so that sequence s of a file is found by arithmetic and its
 buffers are used without copying. A text's ids run on from sequence to sequence; only the end of a file is padded, with mask 0.
 The document index (Parquet, beside the files) names the file of the attempt that succeeded; files of lost attempts are
 never read.
@@ -135,11 +135,12 @@ def _tokenizer(path: str) -> WordTokenizer:
 class _Writer:
     """Fills fixed-size sequences and writes them in batches to one Arrow file."""
 
-    def __init__(self, folder: str, name: str, length: int, end_id: int):
+    def __init__(self, folder: str, name: str, length: int, end_id: int, kind: str):
         self.fs, root = pafs.FileSystem.from_uri(folder)
         self.fs.create_dir(root, recursive=True)
         self.length, self.end_id, self.total = length, end_id, 0
-        lists = pa.list_(pa.field("item", pa.uint32(), False), length), pa.list_(pa.field("item", pa.uint8(), False), length)
+        self.kind = np.dtype(kind)
+        lists = pa.list_(pa.field("item", pa.from_numpy_dtype(self.kind), False), length), pa.list_(pa.field("item", pa.bool_(), False), length)
         self.schema = pa.schema([pa.field("input_ids", lists[0], False), pa.field("attention_mask", lists[1], False)])
         self.stream = self.fs.open_output_stream(f"{root}/{name}")
         self.file = pa.ipc.new_file(self.stream, self.schema)
@@ -147,8 +148,7 @@ class _Writer:
         self.held = 0
 
     def _put(self, ids: np.ndarray, real: int) -> None:
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:real] = 1
+        mask, ids = np.arange(len(ids)) < real, ids.astype(self.kind)
         cols = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=f.type) for x, f in zip((ids, mask), self.schema, strict=True)]
         self.file.write_batch(pa.RecordBatch.from_arrays(cols, schema=self.schema))
 
@@ -179,10 +179,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     follow each other. Other columns are ignored. An empty table gives an index without rows and no file.
     """
 
+    kind = "uint16" if max(Tokenizer.from_file(tokenizer).get_vocab_size() - 1, end_id) < 1 << 16 else "uint32"
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, name, writer = TaskContext.get().partitionId(), f"{uuid.uuid4().hex}.arrow", None
         for piece in pieces(batches, "text"):
-            writer = writer or _Writer(f"{folder}/files", name, length, end_id)
+            writer = writer or _Writer(f"{folder}/files", name, length, end_id, kind)
             ids, starts = _tokenizer(tokenizer).encode(piece.column(1))
             starts = starts + np.arange(len(starts))
             at = writer.total
@@ -214,9 +216,9 @@ class TokenFile:
         return self.held[1]
 
     def sequence(self, s: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence `s` of the file."""
+        """Ids and mask of sequence `s` of the file; the ids are a view, the mask's bits are unpacked."""
         batch, row = self.batch(s // SEQUENCES), s % SEQUENCES
-        return tuple(batch.column(i).flatten().to_numpy()[row * self.length : (row + 1) * self.length] for i in (0, 1))
+        return tuple(batch.column(i).flatten().slice(row * self.length, self.length).to_numpy(zero_copy_only=i == 0) for i in (0, 1))
 
     def ids(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids from `start` on, in one view for each batch they lie in."""
