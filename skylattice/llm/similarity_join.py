@@ -4,6 +4,9 @@ A text's set holds its distinct word shingles. Sets are ordered by one global or
 places come last, by their counted frequency, all others by their hash. Two sets that link share at least l of the tokens of
 their l-prefixes, of length n - ceil(t * n) + l. Each set chooses its own l: a longer prefix costs more postings, but asks
 for l shared tokens before a pair is verified; for l and m the smaller of the two is asked for, which loses no pair.
+A posting carries the token's position. Two sets that must share o tokens share l of them at positions up to n - o + l in
+both, so that tokens further back join no pair; and sketches of the parities of hashed cells bound the difference of two
+sets from below, inside the same join.
 
 Equal sets are one node, whatever their number. Groups of near copies are not paired off: first, in a few rounds, each
 node is verified against a few centres of other classes, the nodes that stand for most of its token lists. Then only pairs of nodes of different
@@ -31,9 +34,11 @@ LOCAL = 4
 LONGEST, VERIFY = 6, 16.0
 #: Most rounds with centres; a round without a new link is the last. Centres of a token after the first round, and most
 #: centres that a node tries in a round.
-ROUNDS, CENTRES, TRIED = 2, 8, 6
+ROUNDS, CENTRES, TRIED = 3, 8, 6
 #: Cells of the hash space whose counts bound the overlap of two sets from above.
 CELLS = 256
+#: Columns of the parities of the cells.
+ODD = tuple(f"odd{k}" for k in range(4))
 #: Tables of at most this many rows go to all tasks when texts are fetched; larger ones are joined by shuffle.
 SMALL_ROWS = 2_000_000
 
@@ -83,9 +88,30 @@ def _set_hash(values: np.ndarray) -> int:
     return int(mixed(np.array([(one ^ two * 0x9E3779B97F4A7C15 ^ len(values)) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0])
 
 
-def _cells(values: np.ndarray) -> bytes:
-    """How many values lie in each cell, up to 255."""
-    return np.minimum(np.bincount((values >> np.uint64(56)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+def _cells(values: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """How many values lie in each cell, up to 255; and a bit for each cell, set where the number is odd, in four longs."""
+    counts = np.bincount((values >> np.uint64(56)).astype(np.int64), minlength=CELLS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes(), np.packbits(counts % 2 == 1).view(np.int64)
+
+
+def _needed(a: str, b: str, percent: int) -> str:
+    """Shingles that sets of these sizes share at least if they link."""
+    return f"(({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent})"
+
+
+def _places_fit(a: str, b: str, percent: int) -> str:
+    """Whether a shared token counts for a pair: it is among the first size - needed + matches of both sides.
+
+    a and b are patterns of column names, such as "{}_a".
+    """
+    (pa_, na, ma), (pb, nb, mb) = ([k.format(c) for c in ("pos", "size", "m")] for k in (a, b))
+    need, match = _needed(na, nb, percent), f"least({ma}, {mb})"
+    return f"{pa_} + {need} <= {na} + {match} AND {pb} + {need} <= {nb} + {match}"
+
+
+def _apart(a: str, b: str) -> str:
+    """A lower bound of the number of shingles in just one of two sets: cells whose counts differ in parity."""
+    return " + ".join(f"bit_count({a.format(f'odd{k}')} ^ {b.format(f'odd{k}')})" for k in range(4))
 
 
 def _possible(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
@@ -112,17 +138,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _prefix_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, tkey (hash of the text), node (hash of the set), n_shingles, m (matches asked for), cells, prefix."""
+    """doc_id, tkey (hash of the text), node (hash of the set), n_shingles, m (matches asked for), cells, odd0 to odd3 (their parities), prefix."""
     frequent, counts = frequent_shingles(docs, n)
     spread = docs.sparkSession.sparkContext.broadcast((frequent, counts))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, times = spread.value
         for piece in pieces(batches, "text", SMALL_BYTES):
-            nodes, sizes, asked, cells, prefixes = [], [], [], [], []
+            nodes, sizes, asked, cells, odd, prefixes = [], [], [], [], [], []
             for values in set_shingles(piece.column(1), n):
                 sizes.append(len(values))
-                cells.append(_cells(values))
+                counts, parities = _cells(values)
+                cells.append(counts)
+                odd.append(parities)
                 if len(values):
                     prefix, m = adaptive_prefix(values, percent, tokens, times)
                     nodes.append(_set_hash(values))
@@ -133,10 +161,11 @@ def _prefix_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 prefixes.append(prefix.view(np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes)))
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(asked, pa.int32()), pa.array(cells, pa.binary()), lists],
-                                             ["doc_id", "tkey", "node", "n_shingles", "m", "cells", "prefix"])
+            bits = [pa.array(np.ascontiguousarray(column)) for column in np.array(odd).T]
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(asked, pa.int32()), pa.array(cells, pa.binary()), *bits, lists],
+                                             ["doc_id", "tkey", "node", "n_shingles", "m", "cells", *ODD, "prefix"])
 
-    return materialise(docs.mapInArrow(read, "doc_id long, tkey long, node long, n_shingles long, m int, cells binary, prefix array<long>"))
+    return materialise(docs.mapInArrow(read, f"doc_id long, tkey long, node long, n_shingles long, m int, cells binary, {', '.join(f'{c} long' for c in ODD)}, prefix array<long>"))
 
 
 def _sizes_fit(a: str, b: str, percent: int) -> str:
@@ -207,10 +236,10 @@ def similarity_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
 def _labels(rows: DataFrame, table: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The label of every node that links with another, and all verified links."""
-    postings = table.select(F.explode("prefix").alias("token"), "node", F.col("n_shingles").alias("size"), "m")
+    postings = table.select(F.posexplode("prefix").alias("pos", "token"), "node", F.col("n_shingles").alias("size"), "m").withColumn("pos", F.col("pos") + 1)
     lists = postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
-    shared = materialise(postings.join(lists, "token").groupBy("token", "node").agg(F.max("size").alias("size"), F.max("m").alias("m")))
-    about = materialise(table.where("n_shingles > 0").groupBy("node").agg(F.max("n_shingles").alias("size"), F.max("m").alias("m"), F.expr("min(struct(doc_id, tkey))").alias("rep"), F.max("cells").alias("cells")))
+    shared = materialise(postings.join(lists, "token").groupBy("token", "node").agg(F.max("size").alias("size"), F.max("m").alias("m"), F.min("pos").alias("pos")))
+    about = materialise(table.where("n_shingles > 0").groupBy("node").agg(F.max("n_shingles").alias("size"), F.max("m").alias("m"), F.expr("min(struct(doc_id, tkey))").alias("rep"), F.max("cells").alias("cells"), *[F.max(c).alias(c) for c in ODD]))
     links, labels = None, None
     for r in range(ROUNDS):
         star = _star(shared, about, labels, r, percent)
@@ -222,9 +251,10 @@ def _labels(rows: DataFrame, table: DataFrame, n: int, percent: int) -> tuple[Da
         links = found if links is None else materialise(links.unionByName(found))
         labels = components(links)
     # exact round: tokens with nodes of more than one class, pairs across classes only
-    open_lists = materialise(_open(shared, labels))
-    a, b = (open_lists.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "m", "label")]) for s in "ab")
-    pairs = a.join(b, "token").where(f"node_a < node_b AND label_a <> label_b AND {_sizes_fit('size_a', 'size_b', percent)}")
+    open_lists = materialise(_open(shared, labels).join(about.select("node", *ODD), "node"))
+    a, b = (open_lists.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "pos", "size", "m", "label", *ODD)]) for s in "ab")
+    near = f"{_apart('{}_a', '{}_b')} <= size_a + size_b - 2 * {_needed('size_a', 'size_b', percent)}"
+    pairs = a.join(b, "token").where(f"node_a < node_b AND label_a <> label_b AND {_sizes_fit('size_a', 'size_b', percent)} AND {_places_fit('{}_a', '{}_b', percent)} AND {near}")
     pairs = pairs.groupBy("node_a", "node_b").agg(F.count("*").alias("shared"), F.min(F.least("m_a", "m_b")).alias("m")).where("shared >= m")
     pairs = materialise(_possible(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), about, percent))
     if pairs.isEmpty():
@@ -244,16 +274,20 @@ def _open(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _star(shared: DataFrame, about: DataFrame, labels: DataFrame | None, r: int, percent: int) -> DataFrame:
-    """At most TRIED pairs (a, b) for each node a: the b are nodes of other classes that are the centres of most of a's tokens,
-    if sizes and matches allow a link. A token's centres are its nodes of the least hashes in this round."""
+    """At most TRIED pairs (a, b) for each node a: the b are nodes of other classes that are centres of a's tokens and by
+    their parities closest to a, if sizes and matches allow a link. A token's centres are its nodes of the
+    least hashes in this round; every other one is taken among those with the fewest rarer tokens, which differ least from the rest."""
     lists = _open(shared, labels)
     number = 1 if r == 0 else CENTRES
-    least = [F.min(F.struct(F.xxhash64("node", F.lit(r * CENTRES + k)), F.col("node").alias("centre"), F.col("label").alias("clabel"))).alias(f"c{k}") for k in range(number)]
-    centres = lists.groupBy("token").agg(*least).select("token", F.explode(F.array_distinct(F.array(*[F.struct(f"c{k}.centre", f"c{k}.clabel") for k in range(number)]))).alias("c")).select("token", "c.centre", "c.clabel")
-    star = lists.join(centres, "token").where("label <> clabel").groupBy("node", "centre").agg(F.count("*").alias("shared"), F.max("size").alias("size"), F.max("m").alias("m"))
-    star = star.join(about.select(F.col("node").alias("centre"), F.col("size").alias("csize"), F.col("m").alias("cm")), "centre")
-    star = star.where(f"{_sizes_fit('size', 'csize', percent)} AND shared >= least(m, cm)").groupBy("node").agg(F.expr(f"slice(sort_array(collect_list(struct(shared, centre)), false), 1, {TRIED})").alias("best"))
-    return materialise(_possible(star.select(F.col("node").alias("a"), F.explode("best.centre").alias("b")), about, percent))
+    least = [F.min(F.struct(F.col("pos") if k % 2 == 0 else F.lit(0), F.xxhash64("node", F.lit(r * CENTRES + k)), *[F.col(c).alias(f"{c}_c") for c in ("node", "label", "pos", "size", "m")])).alias(f"c{k}") for k in range(number)]
+    parts = [F.struct(*[f"c{k}.{c}_c" for c in ("node", "label", "pos", "size", "m")]) for k in range(number)]
+    centres = lists.groupBy("token").agg(*least).select("token", F.explode(F.array_distinct(F.array(*parts))).alias("c")).select("token", "c.*")
+    star = lists.join(centres, "token").where(f"label <> label_c AND {_sizes_fit('size', 'size_c', percent)} AND {_places_fit('{}', '{}_c', percent)}")
+    star = star.groupBy("node", "node_c").agg(F.count("*").alias("shared"), F.max("size").alias("size"), F.max("size_c").alias("size_c"), F.min(F.least("m", "m_c")).alias("m")).where("shared >= m")
+    star = star.join(about.select("node", *ODD), "node").join(about.select(*[F.col(c).alias(f"{c}_c") for c in ("node", *ODD)]), "node_c")
+    star = star.withColumn("apart", F.expr(_apart("{}", "{}_c"))).where(f"apart <= size + size_c - 2 * {_needed('size', 'size_c', percent)}")
+    star = star.groupBy("node").agg(F.expr(f"slice(sort_array(collect_list(struct(apart, node_c))), 1, {TRIED})").alias("best"))
+    return materialise(_possible(star.select(F.col("node").alias("a"), F.explode("best.node_c").alias("b")), about, percent))
 
 
 def _bodies(rows: DataFrame, about: DataFrame, pairs: DataFrame) -> DataFrame:
