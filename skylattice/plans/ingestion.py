@@ -66,9 +66,8 @@ def incremental_ingest(spark, sf):
     schema = e.schema
     for part in ("first", "again"):
         e.write.mode("append").parquet(f"{base}/landing/{part}")
-        s = ingest.watch_files(spark, f"{base}/landing/*", schema)
-        s = ingest.without_redelivery(s, "event_id", "ts", "60 days").withColumn("day", F.to_date("ts"))
-        ingest.ingest(s, f"{base}/stored", f"{base}/checkpoint", "day").awaitTermination()
+        s = ingest.watch_files(spark, f"{base}/landing/*", schema).withColumn("day", F.to_date("ts"))
+        ingest.ingest(s, f"{base}/stored", f"{base}/checkpoint", "day", key="event_id").awaitTermination()
     t = spark.read.parquet(f"{base}/stored")
     return t.groupBy("day").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 

@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from skylattice.functions.calendar import epoch_micros
 from skylattice.operators.materialise import shared_folder
 
 
@@ -19,25 +19,37 @@ def watch_files(spark: SparkSession, folder: str, schema, pattern: str | None =
     return reader.parquet(folder)
 
 
-def without_redelivery(stream: DataFrame, key: str, ts: str, horizon: str = "7 days") -> DataFrame:
-    """Drop rows delivered again within the horizon; state is bounded by the watermark.
+def undelivered(batch: DataFrame, stored: DataFrame | None, key: str, day: str) -> DataFrame:
+    """The rows of `batch` whose key is not among the stored rows of their day, each key once.
 
-    Watermarks need a zoned timestamp, so the zone-free event time is read as UTC for that purpose only.
+    A row delivered again has the day it had before, so only the stored days that the batch touches are read, and rows of
+    any age are taken. Rows without a key cannot be recognised and all stay.
     """
-    timed = stream.withColumn("__event_time", F.timestamp_micros(epoch_micros(ts)))
-    return timed.withWatermark("__event_time", horizon).dropDuplicatesWithinWatermark([key]).drop("__event_time")
+    once = batch.where(F.col(key).isNotNull()).dropDuplicates([day, key]).unionByName(batch.where(F.col(key).isNull()))
+    if stored is None:
+        return once
+    days = batch.select(day).distinct()
+    known = stored.select(F.col(day).alias("__day"), F.col(key).alias("__key"))
+    known = known.join(days, F.expr(f"__day <=> `{day}`"), "left_semi")
+    return once.join(known, F.expr(f"`{key}` = __key AND `{day}` <=> __day"), "left_anti")
 
 
-def ingest(stream: DataFrame, out: str, checkpoint: str, day: str) -> StreamingQuery:
-    """Write all available rows, one folder per (micro-batch, day).
+def ingest(stream: DataFrame, out: str, checkpoint: str, day: str, key: str | None = None) -> StreamingQuery:
+    """Write all available rows, one folder per (micro-batch, day); with `key`, rows delivered again are left out.
 
-    A repeated micro-batch overwrites exactly the folders it wrote before, so a lost executor or driver never
-    duplicates rows; the checkpoint records finished files, including empty ones.
+    A repeated micro-batch overwrites exactly the folder it wrote before and compares itself with earlier batches only, so a
+    lost executor or driver neither duplicates nor loses rows; the checkpoint records finished files, including empty ones.
+    The table and the checkpoint belong together.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", day).parquet(out))
+        if key is not None:
+            stored = None
+            if batch_id > 0:
+                schema = T.StructType([*batch.schema.fields, T.StructField("batch_id", T.LongType())])
+                stored = batch.sparkSession.read.schema(schema).parquet(out).where(F.col("batch_id") < batch_id)
+            batch = undelivered(batch, stored, key, day)
+        batch.write.mode("overwrite").partitionBy(day).parquet(f"{out.rstrip('/')}/batch_id={batch_id}")
 
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -79,4 +91,4 @@ def append_log(batch: DataFrame, path: str, done_path: str, keys: Sequence[str],
     scanned.select(*keys).distinct().write.mode("append").parquet(done_path)
 
 
-__all__ = ["append_log", "daily_counts", "ingest", "latest_counts", "pending", "shared_folder", "watch_files", "without_redelivery"]
+__all__ = ["append_log", "daily_counts", "ingest", "latest_counts", "pending", "shared_folder", "undelivered", "watch_files"]

@@ -113,6 +113,20 @@ def test_fingerprint_gate(spark, tmp_path):
         freeze.open_frozen(spark, str(tmp_path / "t"), "0", "0")
 
 
+def test_ingest_keeps_late_rows_and_drops_repeated_ones(spark, tmp_path):
+    schema = "id int, ts timestamp_ntz, v int"
+    deliveries = [[(1, "2024-03-01", 1), (2, "2024-03-02", 2), (None, "2024-03-02", 9)],
+                  [(2, "2024-03-02", 2), (3, "2023-01-05", 3), (None, "2024-03-02", 9), (4, "2024-03-02", 4), (4, "2024-03-02", 4)],
+                  [(3, "2023-01-05", 3), (5, None, 5)], [(5, None, 5)]]
+    for i, rows in enumerate(deliveries):
+        spark.createDataFrame([(str(a) if a else None, b, c) for a, b, c in rows], "id string, ts string, v int").selectExpr("int(id) AS id", "to_timestamp_ntz(ts) AS ts", "v").write.parquet(f"{tmp_path}/in/{i}")
+        s = ingest.watch_files(spark, f"{tmp_path}/in/*", schema).withColumn("day", F.to_date("ts"))
+        ingest.ingest(s, f"{tmp_path}/out", f"{tmp_path}/check", "day", key="id").awaitTermination()
+    got = sorted((r["v"], str(r["day"])) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    # the row a year late is there; rows without an id are all there
+    assert got == [(1, "2024-03-01"), (2, "2024-03-02"), (3, "2023-01-05"), (4, "2024-03-02"), (5, "None"), (9, "2024-03-02"), (9, "2024-03-02")]
+
+
 def test_append_log_retry_is_harmless(spark, tmp_path):
     rows = spark.createDataFrame([("g1", 1), ("g1", 2)], "granule string, v int")
     keys = spark.createDataFrame([("g1",), ("g2",)], "granule string")  # g2 was scanned and held nothing
