@@ -16,10 +16,15 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, F.expr(cond), how).drop(*[f"__r_{k}" for k in keys])
 
 
-def value_bucket(x: str) -> str:
-    """SQL text of a monotone bucket of a double that depends on the value only, about 0.05 % wide away from zero.
+#: Pieces into which each level of buckets cuts a bucket of the level before; a power of two, so that the levels nest exactly.
+PIECES = 2048
 
-    Being a pure function of the value, it is the same in every scan and retry, so bucket histograms and
-    bucket members computed in different stages always agree.
+
+def value_bucket(x: str, level: int = 1) -> str:
+    """SQL text of a monotone bucket of a double that depends on the value only.
+
+    Away from zero a bucket of level 1 is about 0.05 % wide; each further level cuts every bucket into PIECES. Being a pure
+    function of the value, it is the same in every scan and retry, so bucket histograms and bucket members computed in
+    different stages always agree.
     """
-    return f"cast(floor(signum({x}) * log1p(abs({x}) * 1e15D) * 2048D) AS bigint)"
+    return f"cast(floor(signum({x}) * log1p(abs({x}) * 1e15D) * {float(PIECES ** level)!r}D) AS bigint)"

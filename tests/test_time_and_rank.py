@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skylattice.functions.hashing import digest
 from skylattice.operators.asof import asof_join
 from skylattice.operators.quantiles import average_ranks, exact_quantiles, position_within, shuffle_within
+from skylattice.operators.sizing import value_bucket
 
 T0 = datetime(2024, 1, 1, 12)
 
@@ -55,6 +56,20 @@ def test_quantiles_of_constant_and_whole_table(spark):
     assert exact_quantiles(df, [], "c", {"q": 0.9}).first()["q"] == 7.0
 
 
+def test_quantiles_and_ranks_of_values_far_from_zero(spark):
+    rng = np.random.default_rng(2)
+    x = 95_000 + 20 * rng.random(20_000)
+    x[:50] = x[0]
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    probs = {"a": 0.001, "b": 0.5, "c": 0.75, "d": 1.0}
+    np.testing.assert_allclose(list(exact_quantiles(df, [], "x", probs).first().asDict().values()), np.quantile(x, list(probs.values())), rtol=1e-15)
+    got = average_ranks(df, [], "x").toPandas().sort_values("x").avg_rank.to_numpy()
+    np.testing.assert_array_equal(got, np.unique(pd.Series(x).rank().to_numpy()))
+    # no finer bucket holds more than a small share of the values, though they lie in few coarse ones
+    coarse, fine = (df.selectExpr(f"{value_bucket('x', level)} AS b").groupBy("b").count().agg(F.max("count")).first()[0] for level in (1, 2))
+    assert coarse > 5_000 and fine < 200
+
+
 def test_average_ranks(spark):
     x = [3.0, 1.0, 3.0, -2.0, 3.0, 0.0, 1.0, None]
     got = {r["x"]: r["avg_rank"] for r in average_ranks(spark.createDataFrame([(v,) for v in x], "x double"), [], "x").collect()}
