@@ -68,10 +68,12 @@ def _fit_from_sums(m: np.ndarray, n: float, alpha: float) -> np.ndarray:
 
 
 def ridge_oof(df: DataFrame, features: Sequence[str], label: str, fold: str, keys: Sequence[str] = (),
-              alphas: Sequence[float] = PENALTIES) -> DataFrame:
+              alphas: Sequence[float] = PENALTIES, predict: DataFrame | None = None) -> DataFrame:
     """Out-of-fold predictions `pred`: each fold is predicted from all others; blocks must lie in one fold.
 
     With several penalties, each training set picks its own by leaving out its folds one after another.
+    `predict` holds other rows to predict with the same models, of the keys that it has; for keys that it lacks, each of its
+    rows is predicted once for every value.
     Shuffles: (keys, fold) product sums; one row per (keys, fold) afterwards.
     """
     keys, features = list(keys), list(features)
@@ -109,7 +111,8 @@ def ridge_oof(df: DataFrame, features: Sequence[str], label: str, fold: str, key
     pred = F.col("__b")[0]
     for i, c in enumerate(features, start=1):
         pred = pred + F.col("__b")[i] * F.col(c)
-    return join_on(df, coef, [*keys, fold], "left").withColumn("pred", pred).drop("__b")
+    rows = df if predict is None else predict
+    return join_on(rows, coef, [*[k for k in keys if k in rows.columns], fold], "left").withColumn("pred", pred).drop("__b")
 
 
 # ---------------------------------------------------------------- pyspark.ml estimators
@@ -127,14 +130,18 @@ def estimator(kind: str, trees: int | None = None, seed: int = 42, max_depth: in
 
 
 def ml_oof(df: DataFrame, features: Sequence[str], label: str, fold: str, folds: Sequence, kind: str = "rf", trees: int | None = None,
-           keep: Sequence[str] = ()) -> DataFrame:
-    """Out-of-fold predictions from a pyspark.ml pipeline, one distributed fit per fold."""
+           keep: Sequence[str] = (), predict: DataFrame | None = None) -> DataFrame:
+    """Out-of-fold predictions from a pyspark.ml pipeline, one distributed fit per fold.
+
+    The models are fitted on the rows of `df`; those of `predict`, or else of `df`, are predicted.
+    """
     base = df.withColumn("__y", F.col(label).cast("double"))
+    rows = base if predict is None else predict
 
     def one(f) -> DataFrame:
         pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="__x"),
                                 StandardScaler(inputCol="__x", outputCol="scaled", withMean=True, withStd=True), estimator(kind, trees)])
-        return pipe.fit(base.where(F.col(fold) != f)).transform(base.where(F.col(fold) == f)).select(*keep, fold, label, "pred")
+        return pipe.fit(base.where(F.col(fold) != f)).transform(rows.where(F.col(fold) == f)).select(*keep, fold, label, "pred")
 
     with ThreadPoolExecutor(max_workers=4) as pool:  # the fits are independent jobs
         return reduce(DataFrame.unionByName, pool.map(one, folds))
@@ -142,14 +149,17 @@ def ml_oof(df: DataFrame, features: Sequence[str], label: str, fold: str, folds:
 
 def ablation(df: DataFrame, groups: dict[str, Sequence[str]], label: str, fold: str, folds: Sequence, cell: str, kind: str = "rf",
              trees: int | None = None) -> DataFrame:
-    """Skill of the full feature set, of every set with one group dropped, and of all features shuffled."""
+    """Skill of the full feature set, of every set with one group dropped, and of models fitted on shuffled features.
+
+    The control's training rows are shuffled within their folds; the rows it predicts keep their real features.
+    """
     every = [c for g in groups.values() for c in g]
     sets = {"all": every, **{f"without {n}": [c for c in every if c not in g] for n, g in groups.items()}}
     out = None
     shuffled = shuffle_within(df, [fold], cell, every, "control")
     for name, feats in [*sets.items(), ("shuffled", every)]:
         src = shuffled if name == "shuffled" else df
-        s = skill_split(ml_oof(src, feats, label, fold, folds, kind, trees, keep=[cell]), cell, label, "pred").withColumn("feature_set", F.lit(name))
+        s = skill_split(ml_oof(src, feats, label, fold, folds, kind, trees, keep=[cell], predict=df), cell, label, "pred").withColumn("feature_set", F.lit(name))
         out = s if out is None else out.unionByName(s)
     return out
 
@@ -199,10 +209,14 @@ def row_shuffles(df: DataFrame, group: Sequence[str], row_id: str, within: Seque
 
 
 def permutation_scores(observed: DataFrame, nulls: DataFrame, features: Sequence[str], label: str, fold: str, cell: str,
-                       score: str = "spatial_r2", alphas: Sequence[float] = (1.0,), keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, rep, score): observed table as rep 0 and all null tables in one job."""
+                       score: str = "spatial_r2", alphas: Sequence[float] = (1.0,), keys: Sequence[str] = (), train_only: bool = False) -> DataFrame:
+    """(keys, rep, score): observed table as rep 0 and all null tables in one job.
+
+    With `train_only` the null tables give training rows only, and the observed rows are predicted (row shuffles); else each
+    null table is predicted itself (maps that stay realistic: season orders, rotations).
+    """
     both = observed.withColumn("rep", F.lit(0)).unionByName(nulls)
-    oof = ridge_oof(both, features, label, fold, [*keys, "rep"], alphas)
+    oof = ridge_oof(both, features, label, fold, [*keys, "rep"], alphas, observed if train_only else None)
     return skill_split(oof, cell, label, "pred", [*keys, "rep"]).select(*keys, "rep", F.col(score).alias("score"))
 
 

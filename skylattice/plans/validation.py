@@ -287,7 +287,7 @@ def permutation_test_rows(spark, sf):
     """Row-shuffle permutation test of one feature group."""
     t = model_table(spark, sf)
     null = models.row_shuffles(t, ["size"], "cell_id", ["fold"], 19, 42).select("rep", *t.columns)
-    s = models.permutation_scores(t, null, ["dist", "x", "y", "size"], "target", "fold", "cell_id", "spatial_r2")
+    s = models.permutation_scores(t, null, ["dist", "x", "y", "size"], "target", "fold", "cell_id", "spatial_r2", train_only=True)
     return models.permutation_test(s)
 
 
@@ -345,7 +345,7 @@ def false_positive_rate(spark, sf):
     out = materialise(out)
     cols = out.columns
     null = models.row_shuffles(out, ["size"], "cell_id", ["seed", "fold"], 19, 7).select("rep", *cols)
-    s = models.permutation_scores(out, null, ["dist", "x", "y", "size"], "null_label", "fold", "cell_id", "spatial_r2", keys=["seed"])
+    s = models.permutation_scores(out, null, ["dist", "x", "y", "size"], "null_label", "fold", "cell_id", "spatial_r2", keys=["seed"], train_only=True)
     p = models.permutation_test(s, ["seed"])
     return p.agg(F.count("*").alias("n_tests"), F.count_if("significant").alias("false_alarms"), F.avg(F.col("significant").cast("double")).alias("rate"))
 
