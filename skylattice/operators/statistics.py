@@ -86,9 +86,20 @@ def pair_correlations(df: DataFrame, cols: Sequence[str], keys: Sequence[str] =
                     F.split_part("__pair", F.lit("|"), F.lit(2)).alias("b"), out))
 
 
-def spearman_pairs(df: DataFrame, cols: Sequence[str], out: str = "rho") -> DataFrame:
-    """Spearman correlation of every pair; columns must be complete (ranks are then shared by all pairs)."""
-    return pair_correlations(ranked(df.select(*cols), cols), cols, out=out)
+def spearman_pairs(df: DataFrame, cols: Sequence[str], out: str = "rho", complete: bool = False) -> DataFrame:
+    """Spearman correlation of every pair (a, b), with ranks over the rows where both are present.
+
+    `complete` shares each column's ranks among its pairs, which is the same where nothing is missing; a NULL then fails the job.
+    A pair without common rows is absent.
+    """
+    if complete:
+        full = df.select(*[F.expr(f"coalesce(`{c}`, raise_error('{c} is not complete'))").alias(c) for c in cols])
+        return pair_correlations(ranked(full, cols), cols, out=out)
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in combinations(cols, 2)]
+    both = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where("x IS NOT NULL AND y IS NOT NULL")
+    for c in ("x", "y"):
+        both = join_on(both, average_ranks(both, ["a", "b"], c, f"r{c}").drop("n"), ["a", "b", c])
+    return both.groupBy("a", "b").agg(F.corr("rx", "ry").alias(out))
 
 
 def strong_pairs(corr: DataFrame, value: str = "rho", at_least: float = 0.8) -> DataFrame:

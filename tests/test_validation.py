@@ -70,6 +70,42 @@ def test_ridge_equals_direct_solution(spark):
     assert statistics.skill(tuned, "y", "pred").first()["r2"] > 0.3
 
 
+def test_spearman_over_common_rows(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame(rng.integers(0, 20, (300, 3)).astype(float), columns=list("abc"))
+    pdf["b"] += pdf["a"]
+    assert_pairs(statistics.spearman_pairs(spark.createDataFrame(pdf), list("abc"), complete=True), pdf)
+    pdf = pdf.mask(rng.random(pdf.shape) < 0.3)
+    holes = spark.createDataFrame([tuple(None if np.isnan(x) else x for x in r) for r in pdf.to_numpy().tolist()], "a double, b double, c double")
+    assert_pairs(statistics.spearman_pairs(holes, list("abc")), pdf)
+    with pytest.raises(Exception, match="is not complete"):
+        statistics.spearman_pairs(holes, list("abc"), complete=True).collect()
+
+
+def assert_pairs(got, pdf):
+    want = pdf.rank().corr() if not pdf.isna().any().any() else pd.DataFrame({a: {b: pdf[[a, b]].dropna().rank().corr().iloc[0, 1] for b in pdf if b != a} for a in pdf})
+    rows = got.collect()
+    assert len(rows) == 3
+    for r in rows:
+        assert r["rho"] == pytest.approx(want.loc[r["b"], r["a"]], abs=1e-12)
+
+
+def test_row_shuffles_touch_training_rows_only(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=400)
+    df = spark.createDataFrame(pd.DataFrame({"cell": np.arange(400), "fold": np.arange(400) % 4, "x": x, "y": 3 * x + 0.1 * rng.normal(size=400)}))
+    null = df.drop("x").join(df.select(F.expr("399 - cell").alias("cell"), "x"), "cell").withColumn("rep", F.lit(1)).select("rep", *df.columns)
+    got = {r["rep"]: r["score"] for r in models.permutation_scores(df, null, ["x"], "y", "fold", "cell", "r2", train_only=True).collect()}
+    x2, y = x[::-1], np.array([r["y"] for r in df.orderBy("cell").collect()])
+    pred = np.empty(400)
+    for k in range(4):
+        tr = np.arange(400) % 4 != k
+        z = (x2[tr] - x2[tr].mean()) / x2[tr].std()
+        b = z @ (y[tr] - y[tr].mean()) / (z @ z + 1) / x2[tr].std()
+        pred[~tr] = y[tr].mean() + b * (x[~tr] - x2[tr].mean())
+    assert got[0] > 0.99 and got[1] == pytest.approx(1 - ((y - pred) ** 2).sum() / ((y - y.mean()) ** 2).sum(), abs=1e-9)
+
+
 def test_permutation_p_counts_ties(spark):
     s = spark.createDataFrame([(0, 0.5), (1, 0.5), (2, 0.1), (3, 0.7), (4, 0.2), (5, 0.0)], "rep int, score double")
     r = models.permutation_test(s).first()
