@@ -123,13 +123,15 @@ def usable_overpasses(spark, sf):
 
 
 @query(f"""WITH {v.CUBE}, d AS (SELECT CAST(ts AS DATE) AS day, count(value) AS nv, count(*) AS na FROM cube GROUP BY 1),
-  spine AS (SELECT strftime(s, '%Y-%m') AS month FROM (SELECT unnest(generate_series(TIMESTAMP '2023-10-01', TIMESTAMP '2024-05-01', INTERVAL 1 MONTH)) AS s)),
+  spine AS (SELECT strftime(s, '%Y-%m') AS month FROM (SELECT unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS s FROM (SELECT least(TIMESTAMP '2023-10-01', date_trunc('month', min(ts))) AS a, greatest(TIMESTAMP '2024-05-01', date_trunc('month', max(ts))) AS b FROM events))),
   m AS (SELECT strftime(day, '%Y-%m') AS month, count(CASE WHEN nv > 0 THEN 1 END) AS a, count(CASE WHEN nv / na >= 6e-1 THEN 1 END) AS u FROM d GROUP BY 1)
   SELECT month, coalesce(a, 0) AS days_any, coalesce(u, 0) AS days_usable FROM spine LEFT JOIN m USING (month)""")
 def monthly_coverage(spark, sf):
-    """Days with any valid pixel and usable days per month; months without data count 0."""
-    spine = (spark.range(1).select(F.explode(cal.month_starts(F.lit("2023-10-01"), F.lit("2024-06-01"))).alias("s"))
-             .select(cal.month_key("s").alias("month")))
+    """Days with any valid pixel and usable days per month of the season and of the data; months without data count 0."""
+    day = F.to_date("ts")
+    ends = v.table(spark, sf, "events").agg(F.least(F.lit("2023-10-01").cast("date"), F.min(day)).alias("a"),
+                                            F.greatest(F.lit("2024-06-01").cast("date"), F.add_months(F.trunc(F.max(day), "month"), 1)).alias("b"))
+    spine = ends.select(F.explode(cal.month_starts("a", "b")).alias("s")).select(cal.month_key("s").alias("month"))
     return coverage.monthly_usable_days(v.screened(spark, sf), "ts", "value", 0.6, spine)
 
 
