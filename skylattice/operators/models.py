@@ -203,9 +203,9 @@ def season_mapping(df: DataFrame, season: str, orders: Sequence[Sequence[str]],
 
 
 def row_shuffles(df: DataFrame, group: Sequence[str], row_id: str, within: Sequence[str], reps: int, seed: int) -> DataFrame:
-    """`reps` copies of the table with the group's rows shuffled inside `within`."""
+    """`reps` copies of the table with the group's rows shuffled inside `within`, in each copy in another order."""
     copies = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    return shuffle_within(copies, ["rep", *within], row_id, group, seed)
+    return shuffle_within(copies, ["rep", *within], row_id, group, F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string")))
 
 
 def permutation_scores(observed: DataFrame, nulls: DataFrame, features: Sequence[str], label: str, fold: str, cell: str,

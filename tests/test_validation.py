@@ -106,6 +106,13 @@ def test_row_shuffles_touch_training_rows_only(spark):
     assert got[0] > 0.99 and got[1] == pytest.approx(1 - ((y - pred) ** 2).sum() / ((y - y.mean()) ** 2).sum(), abs=1e-9)
 
 
+def test_every_row_shuffle_is_another_one(spark):
+    df = spark.range(200).select("id", (F.col("id") % 2).alias("fold"), F.col("id").alias("v"))
+    r = models.row_shuffles(df, ["v"], "id", ["fold"], 5, 42)
+    assert r.where("v % 2 <> fold").count() == 0
+    assert r.groupBy("rep").agg(F.expr("md5(to_json(sort_array(collect_list(struct(id, v)))))").alias("d")).select("d").distinct().count() == 5
+
+
 def test_permutation_p_counts_ties(spark):
     s = spark.createDataFrame([(0, 0.5), (1, 0.5), (2, 0.1), (3, 0.7), (4, 0.2), (5, 0.0)], "rep int, score double")
     r = models.permutation_test(s).first()
