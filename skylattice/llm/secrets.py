@@ -1,9 +1,9 @@
 """Secret scans with a recursive decoding worklist.
 
 A text is a layer. Percent escapes and Unicode escapes of a layer give a new layer, and so does each base64 run that
-decodes to text or to a compressed stream. Layers are scanned and unwrapped until no new one appears; a layer that has been
-seen is not scanned again, which ends cycles. Each decoded layer keeps a map to its parent, so that what is found in it is
-reported as a span of the original text.
+decodes to text or to a compressed stream. Layers are scanned and unwrapped until no new one appears; a layer that is its
+own ancestor is not scanned again, which ends cycles. Each decoded layer keeps a map to its parent, so that what is found
+in it is reported as a span of the original text, at every place where the layer occurs.
 """
 
 from __future__ import annotations
@@ -156,21 +156,48 @@ def _runs(text: str) -> Iterator[tuple[str, Back]]:
             yield new, back
 
 
+def _children(layer: str) -> Iterator[tuple[str, Back]]:
+    yield from (x for x in (_replaced(layer, _PERCENT, _percent), _replaced(layer, _ESCAPE, _escape)) if x)
+    yield from _runs(layer)
+
+
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def all_spans(text: str) -> set[Span]:
-    """The base spans of the text and the mapped spans of all layers under it."""
-    found = base_spans(text)
-    seen, work = {text}, [(text, lambda a, b: (a, b))]
-    while work:
-        layer, up = work.pop()
-        children = [x for x in (_replaced(layer, _PERCENT, _percent), _replaced(layer, _ESCAPE, _escape)) if x]
-        for new, back in [*children, *_runs(layer)]:
-            if new in seen:
-                continue
-            seen.add(new)
-            over = lambda a, b, up=up, back=back: up(*back(a, b))
-            found |= {(kind, *over(a, b)) for kind, a, b in base_spans(new)}
-            work.append((new, over))
-    return found
+    """The base spans of the text and the mapped spans of all layers under it.
+
+    The spans of a layer's text are worked out once and mapped through every place where the layer occurs. A layer that
+    is its own ancestor ends a cycle; what was found under such an end is not kept for other places.
+    """
+    known: dict[bytes, set[Span]] = {}
+    depth = {_digest(text): 0}
+    # key, children still to come, spans so far, map to the parent, smallest depth of an ancestor met again
+    stack: list[list] = [[_digest(text), _children(text), base_spans(text), None, 1]]
+    while True:
+        frame = stack[-1]
+        child = next(frame[1], None)
+        if child is not None:
+            new, back = child
+            key = _digest(new)
+            if key in known:
+                frame[2] |= {(kind, *back(a, b)) for kind, a, b in known[key]}
+            elif key in depth:
+                frame[4] = min(frame[4], depth[key])
+            else:
+                depth[key] = len(stack)
+                stack.append([key, _children(new), base_spans(new), back, len(stack) + 1])
+            continue
+        key, _, spans, back, met = stack.pop()
+        if not stack:
+            return spans
+        del depth[key]
+        if met >= len(stack):
+            known[key] = spans
+        else:
+            stack[-1][4] = min(stack[-1][4], met)
+        stack[-1][2] |= {(kind, *back(a, b)) for kind, a, b in spans}
 
 
 def ordered(spans: set[Span]) -> str:

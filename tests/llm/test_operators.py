@@ -248,6 +248,26 @@ def test_secrets():
     assert secrets.all_spans("x%2525" * 5) == set()
 
 
+def test_equal_secrets_at_two_places():
+    secret = "api_key=QwErTyUiOp123456"
+    for coded in (base64.b64encode(secret.encode()).decode(), base64.b64encode(gzip.compress(secret.encode(), mtime=0)).decode(), "%61" + secret[1:]):
+        text = f"first {coded} , then {coded} ."
+        places = [m.start() for m in re.finditer(re.escape(coded), text)]
+        assert len(places) == 2 and {a for _, a, _ in secrets.all_spans(text)} == set(places)
+    # the same inner layer inside two different outer layers
+    inner = base64.b64encode(secret.encode()).decode()
+    outer = [base64.b64encode(f"{k} {inner} !".encode()).decode() for k in ("one", "two")]
+    text = " ; ".join(outer)
+    assert {any(text.index(o) <= a < b <= text.index(o) + len(o) for _, a, b in secrets.all_spans(text)) for o in outer} == {True}
+
+
+def test_layers_within_themselves_end(monkeypatch):
+    turns = {"a": "b", "b": "a"}
+    monkeypatch.setattr(secrets, "_children", lambda t: iter([(turns[t], lambda a, b: (a, b))]))
+    monkeypatch.setattr(secrets, "base_spans", lambda t: {("hex", ord(t), ord(t) + 1)})
+    assert secrets.all_spans("a") == {("hex", 97, 98), ("hex", 98, 99)}
+
+
 def test_secret_scan(spark, docs, odd):
     got = {r.doc_id: r for r in secrets.scan(docs).collect()}
     for d, text in docs.select("doc_id", "text").collect():
