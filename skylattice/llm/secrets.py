@@ -9,7 +9,6 @@ in it is reported as a span of the original text, at every place where the layer
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -17,6 +16,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate, chain
 from urllib.parse import unquote_to_bytes
 
 import numpy as np
@@ -32,10 +32,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Lines of a run but the last end with the run; breaks may be escaped, lines indented or quoted.
+_WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}+[\x20\t]*+(?:\\r)?(?:\\n|\r?\n|\r)[\x20\t>]*+)+[A-Za-z0-9+/_-]++={0,2}")
+_LINE = re.compile(r"(?:^|(?<=[\x20\t>\r\n])|(?<=\\n))[A-Za-z0-9+/_-]+")
+_CUT = re.compile(r"[/_-]")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
-#: A compressed run that unpacks to more bytes than this is not unpacked: the guard against decompression bombs.
-MAX_UNPACKED = 64 << 20
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
+#: What bytes have in which anything can be found.
+_WORTH = re.compile(rb"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{14}|[0-9a-f]{16}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}")
+#: Unpacked streams are read in parts of STEP bytes and scanned in windows with an overlap, so that memory has a bound.
+STEP, WINDOW, OVERLAP = 1 << 16, 16 << 20, 1 << 20
 
 Span = tuple[str, int, int]
 Back = Callable[[int, int], tuple[int, int]]
@@ -99,61 +106,148 @@ def _escape(run: str) -> str | None:
         return None
 
 
-def _unpacked(data: bytes) -> bytes | None:
-    """The content of a gzip, zlib, bzip2 or xz stream."""
-    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
-        opener = zlib.decompressobj(47)
-        try:
-            out = opener.decompress(data, MAX_UNPACKED)
-        except zlib.error:
-            return None
-        return None if opener.unconsumed_tail or not out else out
-    for magic, kind in ((b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ\x00", lzma.LZMADecompressor)):
-        if data.startswith(magic):
-            try:
-                opener = kind()
-                out = opener.decompress(data, MAX_UNPACKED)
-            except (OSError, EOFError, lzma.LZMAError, ValueError):
-                return None
-            return out if opener.eof else None
-    return None
+def _opener(head: bytes):
+    """A decompressor for what starts like a gzip, zlib, bzip2 or xz stream."""
+    if head[:2] == b"\x1f\x8b" or (len(head) > 2 and head[0] & 15 == 8 and head[0] >> 4 < 8 and (head[0] << 8 | head[1]) % 31 == 0):
+        return zlib.decompressobj(47)
+    return bz2.BZ2Decompressor() if head[:3] == b"BZh" else lzma.LZMADecompressor() if head[:6] == b"\xfd7zXZ\x00" else None
+
+
+def _unpacked(opener, chunks: Iterator[bytes], ends: list[int] | None = None) -> Iterator[bytes]:
+    """The content of a stream and of those that follow it at once, in parts of at most STEP bytes, as far as it can be read.
+
+    `ends` gets the places where the streams of the first chunk end.
+    """
+    for chunk in chunks:
+        for at in range(0, len(chunk), STEP):
+            data = chunk[at : at + STEP]
+            while len(data) or (opener and not getattr(opener, "needs_input", True)):
+                opener = opener or _opener(bytes(data[:6]))
+                if opener is None:
+                    return
+                try:
+                    out = opener.decompress(data, STEP)
+                except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+                    return
+                if out:
+                    yield out
+                if opener.eof:
+                    data, opener = opener.unused_data, None
+                    if ends is not None:
+                        ends.append(min(at + STEP, len(chunk)) - len(data))
+                else:
+                    data = getattr(opener, "unconsumed_tail", b"")
+    if hasattr(opener, "unconsumed_tail") and (out := opener.flush()):
+        yield out
+
+
+def _windows(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The bytes in windows of WINDOW; each starts with the last OVERLAP bytes of the one before."""
+    held, fresh = bytearray(), False
+    for chunk in chunks:
+        held += chunk
+        fresh = True
+        while len(held) >= WINDOW:
+            yield bytes(held[:WINDOW])
+            fresh = len(held) > WINDOW
+            del held[: WINDOW - OVERLAP]
+    if fresh:
+        yield bytes(held)
 
 
 def _as_text(data: bytes) -> str | None:
-    """The bytes as text if they are UTF-8 without control characters."""
+    """The bytes as text: UTF-8, else a character for each byte, in which the ASCII parts are still read; None where nothing can be found."""
+    if not _WORTH.search(data):
+        return None
     try:
-        text = data.decode()
+        return data.decode()
     except UnicodeDecodeError:
-        return None
-    return text if text and text.translate({9: 32, 10: 32, 13: 32}).isprintable() else None
+        return data.decode("latin-1")
+
+
+def _streams(data: bytes, heads: frozenset[bytes], places: Iterator[int] = ()) -> Iterator[tuple[int, str]]:
+    """Texts within the compressed streams of `data`, and where the stream starts; weak marks count at `places` only."""
+    after = 0
+    for at in sorted({*places, *(m.start() for m in _MAGIC.finditer(data))}):
+        # what stands within a stream that was read belongs to it
+        opener = _opener(data[at : at + 6]) if at >= after else None
+        if opener is not None:
+            ends = []
+            yield from ((at, t) for t in _contents(_unpacked(opener, iter((memoryview(data)[at:],)), ends), heads | {data[at : at + STEP]}))
+            after = at + max(ends, default=0)
+
+
+def _contents(chunks: Iterator[bytes], heads: frozenset[bytes]) -> Iterator[str]:
+    """Texts of unpacked bytes, window by window; `heads` are the starts of the streams around it, which end cycles."""
+    first = bytearray()
+    for chunk in chunks:
+        first += chunk
+        if len(first) >= STEP:
+            break
+    head = bytes(first[:STEP])
+    if not head or head in heads:
+        return
+    opener = _opener(head)
+    if opener is not None:
+        # a stream within the stream is read through; what may only look like one is also read as it is below
+        inner = _unpacked(opener, chain((bytes(first),), chunks))
+        start = next(inner, None)
+        if start is not None:
+            yield from _contents(chain((start,), inner), heads | {head})
+            if len(head) == STEP or _MAGIC.match(head):
+                return
+    for window in _windows(chain((bytes(first),), chunks)):
+        text = _as_text(window)
+        if text is not None:
+            yield text
+        yield from (t for _, t in _streams(window, heads))
+
+
+def _decoded(body: str) -> bytes:
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
 
 
 def _runs(text: str) -> Iterator[tuple[str, Back]]:
-    """Layers from base64 runs, and from compressed streams within them."""
+    """Layers from base64 runs, and from compressed streams within them.
+
+    A run may go on over line breaks; its lines are also read one by one. Each run is read in all four alignments, so that
+    characters that stand before the encoded part do not hide it.
+    """
     for m in _RUN.finditer(text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        start, end, whole = m.start(), m.end(), False
+        yield from _layers(text, [m.start()], [m[0].rstrip("=")], m.end())
+    for m in _WRAPPED.finditer(text):
+        lines = [(m.start() + x.start(), x[0]) for x in _LINE.finditer(m[0])]
+        yield from _layers(text, [p for p, _ in lines], [x for _, x in lines], m.end())
+
+
+def _layers(text: str, at: list[int], lines: list[str], end: int) -> Iterator[tuple[str, Back]]:
+    """Layers from a run that stands in `lines` at the places `at` and ends at `end` with its padding."""
+    run = "".join(lines)
+    firsts = list(accumulate(map(len, lines[:-1]), initial=0))
+
+    def spot(i: int) -> int:
+        """The place in the text of character i of the run."""
+        k = bisect_right(firsts, i) - 1
+        return at[k] + i - firsts[k]
+
+    # encoded parts may start at these, also after the letter of an escaped line break
+    cuts = {0, *firsts, *(m.end() for m in _CUT.finditer(run)), *([1] if at[0] and text[at[0] - 1] == "\\" else [])}
+    for o in range(4):
+        data = _decoded(run[o:])
         new = _as_text(data)
-        while new is None and (data := _unpacked(data)):
-            new, whole = _as_text(data), True
-        if new is None:
-            continue
-        if whole:
-            yield new, lambda a, b, s=start, e=end: (s, e)
-        else:
-            plain = new.isascii()
+        if new is not None:
+            # the number of bytes before each character; a character of the other texts is a byte
+            sizes = None if len(new) == len(data) else list(accumulate((len(c.encode()) for c in new), initial=0))
 
-            def back(a: int, b: int, s: int = start, e: int = end, t: str = new, plain: bool = plain) -> tuple[int, int]:
-                i, j = (a, b) if plain else (len(t[:a].encode()), len(t[:b].encode()))
-                return s + i // 3 * 4, min(e, s + -(-j // 3) * 4)
+            def back(a: int, b: int, o: int = o, sizes: list[int] | None = sizes) -> tuple[int, int]:
+                i, j = (sizes[a], sizes[b]) if sizes else (a, b)
+                last = o + -(-j // 3) * 4
+                return spot(o + i // 3 * 4), end if last > len(run) else spot(last - 1) + 1
 
             yield new, back
+        for p, found in _streams(data, frozenset(), (c // 4 * 3 for c in cuts if c % 4 == o and c < len(run))):
+            yield found, lambda a, b, s=spot(o + p // 3 * 4), e=end: (s, e)
 
 
 def _children(layer: str) -> Iterator[tuple[str, Back]]:

@@ -1,8 +1,10 @@
 """Each operator against brute force on small tables, and its behaviour on odd rows."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import zlib
 from collections import defaultdict
@@ -268,6 +270,60 @@ def test_layers_within_themselves_end(monkeypatch):
     assert secrets.all_spans("a") == {("hex", 97, 98), ("hex", 98, 99)}
 
 
+SECRET = "api_key=QwErTyUiOp123456"
+
+
+@pytest.mark.parametrize("mark", ["\u00a0", "\u3000", "\u200b", "\ufeff", "\f", "\x1b", "\x00"])
+def test_layers_with_unprintable_characters(mark):
+    coded = base64.b64encode(f"note{mark} {SECRET} end".encode()).decode()
+    assert [s[0] for s in secrets.all_spans(f"see {coded} .")] == ["assign"]
+
+
+@pytest.mark.parametrize("stop", ["\n", "\r\n", "\n  ", "\n> ", "\\n"])
+@pytest.mark.parametrize("width", [64, 76])
+def test_secrets_in_wrapped_runs(width, stop):
+    word = lambda k: hashlib.sha256(str(k).encode()).hexdigest()[:9]
+    for pad in range(0, 120, 7):
+        data = ("z" * pad + " " + SECRET + " " + " ".join(map(word, range(40)))).encode()
+        for coded in (base64.b64encode(data).decode(), base64.b64encode(gzip.compress(data, mtime=0)).decode(), base64.b64encode(zlib.compress(data)).decode()):
+            lines = [coded[i : i + width] for i in range(0, len(coded), width)]
+            text = "mail:" + stop + stop.join(lines) + stop + "."
+            found = secrets.all_spans(text)
+            if coded[:2] in ("eJ", "H4"):
+                assert any(k == "assign" and a == text.index(lines[0]) for k, a, _ in found)
+                continue
+            # where the secret's characters are, line breaks apart
+            place = lambda i: text.index(lines[i // width]) + i % width
+            first, last = (pad + 1) // 3 * 4, -(-(pad + 1 + len(SECRET)) // 3) * 4
+            assert ("assign", place(first), place(last - 1) + 1) in found
+
+
+@pytest.mark.parametrize("front", ["x/", "name-", "key_", "a", "ab", "abc", "abcd", "very/long-path_to/"])
+def test_runs_with_characters_in_front(front):
+    for data in (SECRET.encode(), gzip.compress(SECRET.encode(), mtime=0), bz2.compress(SECRET.encode()), lzma.compress(SECRET.encode())):
+        text = f"in {front}{base64.urlsafe_b64encode(data).decode().rstrip('=')} ."
+        assert any(k == "assign" and 3 <= a <= 3 + len(front) for k, a, _ in secrets.all_spans(text))
+    if front[-1] in "/-_":
+        text = f"in {front}{base64.b64encode(zlib.compress(SECRET.encode())).decode()} ."
+        assert any(k == "assign" for k, _, _ in secrets.all_spans(text))
+    # a whole number of groups and one character more
+    assert secrets.all_spans("in " + base64.b64encode(SECRET.encode()).decode() + "A") == {("assign", 3, 35)}
+
+
+def test_streams_of_any_size(monkeypatch):
+    text = "in " + base64.b64encode(gzip.compress(b" " * (65 << 20) + SECRET.encode() + b" ")).decode()
+    assert secrets.all_spans(text) == {("assign", 3, len(text))}
+    monkeypatch.setattr(secrets, "WINDOW", 1 << 18)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 14)
+    for pack in (gzip.compress, bz2.compress, lzma.compress, lambda d: gzip.compress(bz2.compress(d)), lambda d: gzip.compress(gzip.compress(d))):
+        text = "in " + base64.b64encode(pack(b" " * (1 << 20) + SECRET.encode() + b" ")).decode()
+        assert secrets.all_spans(text) == {("assign", 3, len(text))}
+    # over the border of two windows, and after another stream
+    for at in range(secrets.WINDOW - 24, secrets.WINDOW + 1, 4):
+        assert secrets.all_spans(base64.b64encode(gzip.compress(b" " * at + SECRET.encode())).decode())
+    assert secrets.all_spans(base64.b64encode(zlib.compress(b"nothing") + zlib.compress(SECRET.encode())).decode())
+
+
 def test_secret_scan(spark, docs, odd):
     got = {r.doc_id: r for r in secrets.scan(docs).collect()}
     for d, text in docs.select("doc_id", "text").collect():
