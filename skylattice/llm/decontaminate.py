@@ -6,11 +6,15 @@ size, each with a one-permutation MinHash of more bins than an item has shingles
 fills a large part of one window, and the two agree in some bin. An agreeing bin makes a candidate, and the share of the
 item's shingles that the whole text holds decides. Texts stay where they are read: there is no shuffle.
 
+Items of at most SHORT shingles have too few bins for that. They are found by their shingles themselves: a text that holds
+enough of n shingles holds one of any n - enough + 1 of them, so the rarest ones of each item make all candidates.
+
 Items are fetched in blocks of at most BLOCK, and each block goes to all tasks, so that what is sent has a fixed bound.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -25,6 +29,7 @@ from skylattice.llm.words import SMALL_BYTES, pieces, set_shingles, shingles
 SHINGLE = 5
 CONTAINMENT = 0.8
 BLOCK = 20_000
+SHORT = 8
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BITS = 20
 
@@ -50,15 +55,36 @@ def _spot(values: np.ndarray) -> np.ndarray:
 class ItemIndex:
     """The MinHash index of one block of test items."""
 
-    def __init__(self, ids: list, texts: list[str | None]):
-        self.ids = ids
+    def __init__(self, ids: list, texts: list[str | None], threshold: float = CONTAINMENT):
+        self.ids, self.threshold = ids, threshold
         self.sets = set_shingles(pa.array(texts, pa.string()), SHINGLE, bare=True)
         by_size: dict[int, list[int]] = {}
         for i, s in enumerate(self.sets):
-            if len(s):
-                by_size.setdefault(max(8, 1 << int(len(s) - 1).bit_length()), []).append(i)
+            if len(s) > SHORT:
+                by_size.setdefault(1 << int(len(s) - 1).bit_length(), []).append(i)
+        self.short = self._short([i for i, s in enumerate(self.sets) if 0 < len(s) <= SHORT])
         self.classes = [self._class(size, members) for size, members in sorted(by_size.items())]
 
+    def enough(self, i: int) -> int:
+        """The least number of an item's shingles that makes a match."""
+        return max(1, math.ceil(self.threshold * len(self.sets[i]) - 1e-9))
+
+    def _short(self, members: list[int]) -> SizeClass:
+        """For each of the items the shingles of which a matching text holds at least one: those that the fewest items have."""
+        shown, counts = np.unique(np.concatenate([self.sets[i] for i in members] or [np.zeros(0, np.uint64)]), return_counts=True)
+        keys = []
+        for i in members:
+            own = self.sets[i]
+            keys.append(own[np.argsort(counts[np.searchsorted(shown, own)], kind="stable")][: max(0, len(own) - self.enough(i) + 1)])
+        values = np.concatenate(keys or [np.zeros(0, np.uint64)])
+        return self._sorted(SHORT, values, np.repeat(np.array(members, np.int64), [len(k) for k in keys]))
+
+    def _sorted(self, size: int, values: np.ndarray, items: np.ndarray) -> SizeClass:
+        order = np.argsort(values, kind="stable")
+        present = np.zeros(1 << _BITS, bool)
+        present[_spot(values)] = True
+        return SizeClass(size, values[order], items[order], present)
+
     def _class(self, size: int, members: list[int]) -> SizeClass:
         found = []
         for i in members:
@@ -66,18 +92,21 @@ class ItemIndex:
             np.minimum.at(low, (self.sets[i] % np.uint64(4 * size)).astype(np.int64), self.sets[i])
             low = low[low != _NONE]
             found.append((low, np.full(len(low), i)))
-        values, items = np.concatenate([v for v, _ in found]), np.concatenate([i for _, i in found])
-        order = np.argsort(values, kind="stable")
-        present = np.zeros(1 << _BITS, bool)
-        present[_spot(values)] = True
-        return SizeClass(size, values[order], items[order], present)
+        return self._sorted(size, np.concatenate([v for v, _ in found]), np.concatenate([i for _, i in found]))
 
     def candidates(self, grams: np.ndarray, starts: np.ndarray) -> set[tuple[int, int]]:
-        """(text, item) whose sketches agree in a bin of some window; `grams` of text i are starts[i] to starts[i + 1]."""
+        """(text, item) that share a short item's key or whose sketches agree in a bin of some window.
+
+        `grams` of text i are starts[i] to starts[i + 1].
+        """
         pairs: set[tuple[int, int]] = set()
         counts = np.diff(starts)
         text = np.repeat(np.arange(len(counts)), counts)
         place = np.arange(len(grams)) - np.repeat(starts[:-1], counts)
+        seen = np.flatnonzero(self.short.present[_spot(grams)])
+        first, last = np.searchsorted(self.short.values, grams[seen], "left"), np.searchsorted(self.short.values, grams[seen], "right")
+        for t, a, b in {(int(text[seen[k]]), int(first[k]), int(last[k])) for k in np.flatnonzero(last > first)}:
+            pairs.update((t, i) for i in self.short.items[a:b].tolist())
         for c in self.classes:
             blocks = np.concatenate(([0], np.cumsum(-(-counts // c.size))))
             low = np.full(int(blocks[-1]) * c.bins, _NONE)
@@ -96,24 +125,24 @@ class ItemIndex:
                 pairs.update((int(owner[row[k]]), int(i)) for i in c.items[first[k] : last[k]])
         return pairs
 
-    def matches(self, texts: pa.Array, threshold: float) -> list[tuple[int, int, int]]:
-        """(text, item, shingles found) with found >= threshold * shingles of the item."""
+    def matches(self, texts: pa.Array) -> list[tuple[int, int, int]]:
+        """(text, item, shingles found) with found >= threshold * shingles of the item, and at least one."""
         sets = list(shingles(texts, SHINGLE, bare=True))
         starts = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int64)
         grams = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         out = []
         for t, i in sorted(self.candidates(grams, starts)):
             found = int(np.isin(self.sets[i], sets[t]).sum())
-            if found >= threshold * len(self.sets[i]) - 1e-9:
+            if found >= self.enough(i):
                 out.append((t, i, found))
         return out
 
 
-def item_blocks(items: DataFrame, block: int = BLOCK) -> Iterator[ItemIndex]:
+def item_blocks(items: DataFrame, block: int = BLOCK, threshold: float = CONTAINMENT) -> Iterator[ItemIndex]:
     """Indexes of the items in blocks, in the order of item_id; the driver holds one block at a time."""
     rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text").toLocalIterator()
     while some := list(islice(rows, block)):
-        yield ItemIndex([r[0] for r in some], [r[1] for r in some])
+        yield ItemIndex([r[0] for r in some], [r[1] for r in some], threshold)
 
 
 def contaminated_pairs(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT, block: int = BLOCK) -> DataFrame:
@@ -126,11 +155,11 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, threshold: float = CON
     schema = "doc_id long, item_id long, n_shingles long, n_found long, containment double"
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     out = None
-    for index in item_blocks(items, block):
+    for index in item_blocks(items, block, threshold):
 
         def search(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
             for piece in pieces(batches, "text", SMALL_BYTES):
-                ids, rows = piece.column(0).to_pylist(), index.matches(piece.column(1), threshold)
+                ids, rows = piece.column(0).to_pylist(), index.matches(piece.column(1))
                 data = [(ids[t], index.ids[i], len(index.sets[i]), n, n / len(index.sets[i])) for t, i, n in rows]
                 cols = list(zip(*data, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 4 + [pa.float64()], strict=True)],
@@ -143,12 +172,12 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, threshold: float = CON
 
 def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT, block: int = BLOCK) -> DataFrame:
     """The rows of `docs`, all columns unchanged, that contain no test item in the sense of `contaminated_pairs`."""
-    for index in item_blocks(items, block):
+    for index in item_blocks(items, block, threshold):
 
         def clean(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
             for piece in pieces(batches, "text", SMALL_BYTES):
                 keep = np.ones(piece.num_rows, bool)
-                keep[[t for t, _, _ in index.matches(piece.column("text"), threshold)]] = False
+                keep[[t for t, _, _ in index.matches(piece.column("text"))]] = False
                 yield piece.filter(pa.array(keep))
 
         docs = docs.mapInArrow(clean, docs.schema)

@@ -112,6 +112,18 @@ def test_decontamination_finds_short_items_in_long_texts(spark, odd):
     assert decontaminate.contaminated_pairs(odd, items.limit(0)).count() == 0 and decontaminate.decontaminated(odd.limit(0), items).count() == 0
 
 
+def test_short_items_in_long_texts_are_all_found(spark):
+    draw = np.random.default_rng(5)
+    words = lambda n: " ".join(f"w{i}" for i in draw.integers(0, 1 << 40, n))
+    items = [(k, words(5 + k % 9)) for k in range(540)]
+    texts = [(k, f"{words(200)} {t} {words(204 - len(t.split()))}") for k, t in items]
+    # items of eight shingles of which the text lacks the last, and of five shingles without two
+    parts = [(1000, words(12)), (1001, words(9))]
+    texts += [(1000, f"{words(50)} {parts[0][1].rsplit(' ', 1)[0]} {words(60)}"), (1001, f"{words(50)} {parts[1][1].rsplit(' ', 2)[0]} {words(60)}")]
+    found = decontaminate.contaminated_pairs(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items + parts, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.n_found == r.n_shingles) for r in found.collect()} == {(k, k, True) for k, _ in items} | {(1000, 1000, False)}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var a="</p>";</script></head><body><header><h1>Site</h1></header>
 <div id="nav-menu"><ul><li>a<li>b</ul></div><div class="wrap"><div class="body-text"><h2>Title {0}</h2><p>Some &amp; text {0} <b>bold</b>x<br>y<p>Second &nbsp; {0}
 <ul><li>one {0}<li>two</ul></div><div class="sidebar">sb {0}</div></div><form><p>Search</p></form><section class="comments"><p>nice {0}</p></section>
