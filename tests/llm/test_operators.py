@@ -139,6 +139,20 @@ def test_wrappers(spark):
     assert wrappers.main_text(df.limit(0)).count() == 0
 
 
+def test_layouts_of_one_host(spark):
+    pages = [(i, f"http://h.com/{i}", f"<body><article><p>Long text of article {i}</p></article></body>") for i in range(8)]
+    pages += [(10 + i, f"http://h.com/p/{i}", f"<div class=menu>m</div><div id=text><p>Plain page {i}</p></div>") for i in range(3)]
+    # no marks at all: most pages have one container, few another; and one page that was read five times
+    pages += [(20 + i, f"http://g.com/{i}", f"<div class=big><p>{'Much text ' * 9}{i}</p></div>") for i in range(9)]
+    pages += [(30, "http://g.com/x", "<div class=menu>m</div><div class=other><p>Other layout</p></div>")]
+    pages += [(40 + i, "http://k.com/", "<div class=footer>f</div><div class=big><p>Same page</p></div>") for i in range(5)]
+    pages += [(50, "no host", "<main>Marked</main>"), (51, "no host", "<div><p>Without marks</p></div>")]
+    pages += [(60, "http://n.com/", "<div class='content no-sidebar'><p>Beside nothing</p></div>"), (61, "http://o.com/", "<div id=page-with-comments><p>Words</p><div class=comments>c</div></div>")]
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in (3, 11, 30, 44, 50, 51, 60, 61)] == ["Long text of article 3", "Plain page 1", "Other layout", "Same page", "Marked", "Without marks", "Beside nothing", "Words"]
+    assert got[25] == ("Much text " * 9 + "5")
+
+
 def test_wrapper_alignment():
     a, _ = wrappers.fold("html ul li li li /ul p".split())
     b, _ = wrappers.fold("html ul li /ul h1 p p".split())
