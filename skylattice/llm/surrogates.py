@@ -1,6 +1,7 @@
 """Surrogates for personal data, in DataFrame and SQL functions only.
 
-Detected entities are e-mail addresses, IPv4 addresses, payment-card and telephone numbers, and names after a title. Each is
+Detected entities are e-mail addresses, IPv4 addresses, payment-card and telephone numbers, and names after titles, whose given
+names and surnames are then also replaced wherever the same text mentions them without a title. Each is
 one or more units (type, normal form); a unit's surrogate is a keyed hash of both, of the same type and format: cards keep
 their first digit and a valid check digit, telephone numbers their country code and layout, addresses their case and
 punctuation, names their title, gender and script. Equal units get equal surrogates wherever they stand.
@@ -18,7 +19,11 @@ from pyspark.sql import functions as F
 from skylattice.operators.materialise import materialise
 
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Señorita|Госпожа|Κυρία"
-MALE = "Mr|Herr|Monsieur|Señor|Господин|Κύριος"
+MALE = "Mr|Sir|Herr|Monsieur|Señor|Господин|Κύριος"
+TITLES = f"{FEMALE}|{MALE}|Dr|Doctor|Doktor|Docteur|Prof|Professor|Professeur|Mx|Rev|Доктор|Профессор"
+NAME = r"\p{Lu}\p{L}*+(?:['-](?!s(?!\p{L}))\p{L}++)*+"
+#: The words of a text and what is between them, for mentions of its names.
+WORDS = r"\p{L}++(?:['-](?!s(?!\p{L}))\p{L}++)*+|[^\p{L}]++"
 PATTERN = "|".join([
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
@@ -26,10 +31,12 @@ PATTERN = "|".join([
     r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])",
     r"(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])",
     r"(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
-    rf"(?<!\p{{L}})(?:{FEMALE}|{MALE})\.? \p{{Lu}}[\p{{L}}'-]*+(?: \p{{Lu}}[\p{{L}}'-]*+)?",
+    r"(?<![0-9.])[0-9]{3}\.[0-9]{3}\.[0-9]{4}(?![0-9]|\.[0-9])",
+    r"(?<![0-9.,:/-])0[0-9]{1,4}[ /-][0-9]{5,8}(?![0-9])",
+    rf"(?<!\p{{L}})(?:(?:{TITLES})\.? )++{NAME}(?: {NAME})?",
 ])
 #: What a text with an entity has; cheap to look for.
-HINT = rf"@|[0-9][0-9.() -]{{5}}|(?:{FEMALE}|{MALE})"
+HINT = rf"@|[0-9][0-9.() /-]{{5}}|(?:{TITLES})"
 #: From this attempt on surrogates also grow in length, so that short formats cannot run out.
 GROWING = 4
 _SYLLABLES = {"cyrillic": "ба ве ги до жу за ки ло ма не ро са ти фо ха ше", "greek": "βα γε δι ζο θυ κα λε μι νο πυ ρα σε τι φο χα ψε", "latin": "ba ce di fo gu ha je ki lo mu na pe ri so tu ve"}
@@ -44,19 +51,24 @@ def _draw(key: str, unit: str, attempt: str, i: str) -> str:
     return f"cast(conv(substr(sha2(concat_ws('|', {_text(key)}, {unit}.type, {unit}.norm, cast({attempt} AS string), cast({i} AS string)), 256), 1, 12), 16, 10) AS bigint)"
 
 
+def _titles(e: str) -> str:
+    """SQL of the titles before a name, with the blanks after them."""
+    return f"regexp_extract({e}, '^(?:(?:{TITLES})[.]? )+', 0)"
+
+
 def _units(e: str) -> str:
     """SQL array of the units of an entity."""
     digits = f"regexp_replace({e}, '[^0-9]', '')"
     country = f"regexp_extract({e}, '^[+]([0-9]+)(?=[ .(-])', 1)"
     one = lambda kind, norm: f"array(named_struct('type', {kind}, 'norm', {norm}))"
-    gender = f"CASE WHEN {e} rlike '^({FEMALE})[. ]' THEN 'given_f' ELSE 'given_m' END"
-    words = f"split({e}, ' ')"
+    gender = f"CASE WHEN {e} rlike '(^| )({FEMALE})[. ]' THEN 'given_f' WHEN {e} rlike '(^| )({MALE})[. ]' THEN 'given_m' ELSE 'given_n' END"
+    words = f"split(substr({e}, length({_titles(e)}) + 1), ' ')"
     return f"""CASE WHEN contains({e}, '@') THEN {one("'email'", f"lower({e})")}
-        WHEN {e} rlike '^[^0-9+(]' THEN CASE WHEN size({words}) > 2
-            THEN array(named_struct('type', {gender}, 'norm', lower({words}[1])), named_struct('type', 'surname', 'norm', lower({words}[2])))
-            ELSE {one("'surname'", f"lower({words}[1])")} END
-        WHEN {e} rlike '^[0-9]+[.]' THEN {one("'ip'", e)}
-        WHEN {e} rlike '^[0-9]{{4}}' THEN {one("'card'", digits)}
+        WHEN {e} rlike '^[^0-9+(]' THEN CASE WHEN size({words}) > 1
+            THEN array(named_struct('type', {gender}, 'norm', lower({words}[0])), named_struct('type', 'surname', 'norm', lower({words}[1])))
+            ELSE {one("'surname'", f"lower({words}[0])")} END
+        WHEN {e} rlike '^[0-9]+([.][0-9]+){{3}}$' THEN {one("'ip'", e)}
+        WHEN {e} rlike '^[0-9]{{4}}' AND length({digits}) >= 13 THEN {one("'card'", digits)}
         ELSE {one("'phone'", f"concat({country}, '/', substr({digits}, length({country}) + 1))")} END"""
 
 
@@ -87,14 +99,18 @@ def _normal_surrogate(key: str, u: str, a: str) -> str:
     return f"CASE {u}.type WHEN 'email' THEN {email} WHEN 'ip' THEN {ip} WHEN 'card' THEN {card} WHEN 'phone' THEN {phone} ELSE {names} END"
 
 
+def _cased(word: str, new: str) -> str:
+    return f"CASE WHEN length({word}) > 1 AND {word} = upper({word}) THEN upper({new}) ELSE initcap({new}) END"
+
+
 def _formatted(e: str, s: str) -> str:
     """SQL of the surrogates `s` (array, one for each unit) in the format of the entity `e`."""
     cased = f"""array_join(transform(sequence(1, length({s}[0])), i -> CASE WHEN i <= length(substring_index({e}, '@', 1)) AND substr({e}, i, 1) rlike '[A-Z]' THEN upper(substr({s}[0], i, 1)) ELSE substr({s}[0], i, 1) END), '')"""
     digits = f"replace({s}[0], '/', '')"
     laid = f"""array_join(transform(sequence(1, length({e})), i -> CASE WHEN substr({e}, i, 1) rlike '[0-9]' THEN substr({digits}, length(regexp_replace(substr({e}, 1, i), '[^0-9]', '')), 1) ELSE substr({e}, i, 1) END), '')"""
-    word = lambda k: f"CASE WHEN length(split({e}, ' ')[{k}]) > 1 AND split({e}, ' ')[{k}] = upper(split({e}, ' ')[{k}]) THEN upper({s}[{k} - 1]) ELSE initcap({s}[{k} - 1]) END"
-    named = f"concat(split({e}, ' ')[0], ' ', {word(1)}, CASE WHEN size({s}) > 1 THEN concat(' ', {word(2)}) ELSE '' END)"
-    return f"CASE WHEN contains({e}, '@') THEN {cased} WHEN {e} rlike '^[^0-9+(]' THEN {named} WHEN {e} rlike '^[0-9]+[.]' THEN {s}[0] ELSE {laid} END"
+    words = f"split(substr({e}, length({_titles(e)}) + 1), ' ')"
+    named = f"concat({_titles(e)}, {_cased(f'{words}[0]', f'{s}[0]')}, CASE WHEN size({s}) > 1 THEN concat(' ', {_cased(f'{words}[1]', f'{s}[1]')}) ELSE '' END)"
+    return f"CASE WHEN contains({e}, '@') THEN {cased} WHEN {e} rlike '^[^0-9+(]' THEN {named} WHEN {e} rlike '^[0-9]+([.][0-9]+){{3}}$' THEN {s}[0] ELSE {laid} END"
 
 
 def _with_entities(docs: DataFrame) -> DataFrame:
@@ -126,7 +142,7 @@ def unit_surrogates(docs: DataFrame, key: str) -> DataFrame:
 def with_surrogates(docs: DataFrame, key: str = "change-this-key") -> DataFrame:
     """One row per row of `docs`: doc_id, text with surrogates, n_entities.
 
-    Null texts stay null and have no entities. Rows with equal or null ids are rewritten one by one, equal texts alike. Other
+    A text's names are also replaced where they stand without a title; only detected entities are counted. Null texts stay null and have no entities. Rows with equal or null ids are rewritten one by one, equal texts alike. Other
     columns are ignored. The same key gives the same surrogates as long as no attempt changes.
     """
     table = unit_surrogates(docs, key)
@@ -140,8 +156,14 @@ def with_surrogates(docs: DataFrame, key: str = "change-this-key") -> DataFrame:
         # a text's own units: bounded by its length
         held = held.groupBy(F.col("doc_id").alias("hid"), F.col("tkey").alias("hkey")).agg(F.expr("map_from_entries(collect_set(struct(concat(type, ':', norm), attempt)))").alias("late"))
         rows = rows.join(materialise(held), F.expr("tkey = hkey AND doc_id <=> hid"), "left")
-    surrogates = f"transform({_units('e')}, u -> {_normal_surrogate(key, 'u', 'coalesce(late[concat(u.type, \":\", u.norm)], 0)')})".replace('":"', "':'")
-    formed = rows.withColumn("made", F.expr(f"transform(transform(entities, e -> named_struct('e', e, 's', {surrogates})), x -> {_formatted('x.e', 'x.s')})"))
+    surrogates = f"transform(x.u, u -> {_normal_surrogate(key, 'u', 'coalesce(late[concat(u.type, \":\", u.norm)], 0)')})".replace('":"', "':'")
+    drawn = rows.withColumn("drawn", F.expr(f"transform(transform(entities, e -> named_struct('e', e, 'u', {_units('e')})), x -> named_struct('e', x.e, 'u', x.u, 's', {surrogates}))"))
+    # the names of the text, for mentions without a title; a name that is given and surname keeps the first of both
+    drawn = drawn.withColumn("names", F.expr("filter(flatten(transform(drawn, x -> arrays_zip(x.u, x.s))), z -> z.u.type IN ('surname', 'given_f', 'given_m', 'given_n'))"))
+    formed = drawn.withColumn("made", F.expr(f"transform(drawn, x -> {_formatted('x.e', 'x.s')})"))
+    formed = formed.withColumn("own", F.expr("map_from_arrays(array_distinct(transform(names, z -> z.u.norm)), transform(array_distinct(transform(names, z -> z.u.norm)), n -> filter(names, z -> z.u.norm = n)[0].s))"))
     pieces = formed.withColumn("pieces", F.when(F.expr("size(entities) > 0"), F.split("text", PATTERN, -1)))
-    text = F.when(F.expr("size(entities) = 0"), F.col("text")).otherwise(F.expr("array_join(transform(pieces, (p, k) -> concat(p, coalesce(get(made, k), ''))), '')"))
+    mention = f"array_join(transform(regexp_extract_all(p, {_text(WORDS)}, 0), w -> CASE WHEN substr(w, 1, 1) <> lower(substr(w, 1, 1)) AND own[lower(w)] IS NOT NULL THEN {_cased('w', 'own[lower(w)]')} ELSE w END), '')"
+    piece = f"CASE WHEN size(names) > 0 THEN {mention} ELSE p END"
+    text = F.when(F.expr("size(entities) = 0"), F.col("text")).otherwise(F.expr(f"array_join(transform(pieces, (p, k) -> concat({piece}, coalesce(get(made, k), ''))), '')"))
     return pieces.select("doc_id", text.alias("text"), F.size("entities").cast("long").alias("n_entities"))

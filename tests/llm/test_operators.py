@@ -185,6 +185,19 @@ def test_surrogates(spark, odd):
     assert surrogates.with_surrogates(odd.limit(0)).count() == 0
 
 
+def test_mentions_titles_and_national_numbers(spark):
+    rows = [(1, "Mr John Smith came. Smith said that John's dog, SMITH's own, is no blacksmith; smith."), (2, "Herr Dr. Weber, Prof. Ada King and Sir Isaac Newton: King, Ada and Weber's Newton"), (3, "Call 555.123.4567 or 030 1234567, not 1.2.3.4 ."), (4, "Smith and John have no title here; Mr O'Neil-Day has: O'Neil-Day.")]
+    got = {r.doc_id: r.text for r in surrogates.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    m = re.fullmatch(r"Mr (\w+) (\w+) came\. (\w+) said that (\w+)'s dog, (\w+)'s own, is no blacksmith; smith\.", got[1])
+    assert m[1] == m[4] != "John" and m[2] == m[3] != "Smith" and m[5] == m[2].upper()
+    m = re.fullmatch(r"Herr Dr\. (\w+), Prof\. (\w+) (\w+) and Sir (\w+) (\w+): (\w+), (\w+) and (\w+)'s (\w+)", got[2])
+    assert m.groups()[5:] == (m[3], m[2], m[1], m[5]) and not set(m.groups()) & {"Weber", "Ada", "King", "Isaac", "Newton"}
+    a, b, c = re.fullmatch(r"Call (\d{3}\.\d{3}\.\d{4}) or (\d{3} \d{7}), not (\d+\.\d+\.\d+\.\d+) \.", got[3]).groups()
+    assert a != "555.123.4567" and b != "030 1234567" and c != "1.2.3.4"
+    m = re.fullmatch(r"Smith and John have no title here; Mr (\w+) has: (\w+)\.", got[4])
+    assert m[1] == m[2]
+
+
 def tokenizer():
     public = pytest.importorskip("public_tokenizers")
     return public.path("word_bpe_49k.json")
