@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skylattice.llm import decontaminate, mixing, quality, repeats, secrets, similarity_join, surrogates, token_files, url_rules, wrappers
+from skylattice.llm import anchors, decontaminate, mixing, quality, repeats, secrets, similarity_join, surrogates, token_files, turns, url_rules, whitening, wrappers
 from skylattice.operators.materialise import shared_folder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -59,8 +59,21 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.document_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.damage_and_repair(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_benchmark_decontamination, op3_html_extraction, op4_surrogates, op5_token_files, op6_url_filters, op7_similarity_join, op8_secret_scans, op9_repeated_passages, op10_source_mixing)
+    f.__name__: f for f in (op1_quality_rules, op2_benchmark_decontamination, op3_html_extraction, op4_surrogates, op5_token_files, op6_url_filters, op7_similarity_join, op8_secret_scans, op9_repeated_passages, op10_source_mixing,
+                          op11_embedding_whitening, op12_substring_dedup, op13_conversation_repair)
 }
 
 
@@ -120,4 +133,15 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(reach.y) AS component_id
 FROM documents AS d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach ON reach.x = d.doc_id GROUP BY d.doc_id, n.n
 """
 
-SQL: dict[str, str] = {"op2_benchmark_decontamination": OP2_SQL, "op6_url_filters": OP6_SQL, "op7_similarity_join": OP7_SQL}
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_words("coalesce(text, '')", True)} AS ws FROM documents),
+w AS (SELECT rid, i, array_to_string(list_slice(ws, i, i + {anchors.LENGTH - 1}), ' ') AS s
+  FROM (SELECT rid, ws, unnest(generate_series(1, len(ws) - {anchors.LENGTH - 1})) AS i FROM d WHERE len(ws) >= {anchors.LENGTH})),
+again AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT rid, i + k AS i FROM (SELECT rid, i FROM w JOIN again USING (s)), range({anchors.LENGTH}) AS r(k)),
+words AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM words ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+"""
+
+SQL: dict[str, str] = {"op2_benchmark_decontamination": OP2_SQL, "op6_url_filters": OP6_SQL, "op7_similarity_join": OP7_SQL, "op12_substring_dedup": OP12_SQL}

@@ -96,14 +96,14 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MARK = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 
-def hashed_words(texts: pa.Array, bare: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(texts: pa.Array, bare: bool = False, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts in order, and where each text's words start, without making the words.
 
-    A-Z are folded. With `bare` all letters are folded, ASCII marks are dropped from the words, and words of marks alone
+    A-Z are folded, unless `fold` is false. With `bare` all letters are folded, ASCII marks are dropped from the words, and words of marks alone
     vanish. A word's hash is a polynomial of scrambled bytes.
     """
     texts = pc.fill_null(texts, "")
-    texts = pc.utf8_lower(texts) if bare else pc.ascii_lower(texts)
+    texts = pc.utf8_lower(texts) if bare else pc.ascii_lower(texts) if fold else texts
     offsets = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     if offsets[0] == offsets[-1]:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)

@@ -29,4 +29,4 @@ def test_stages(spark, tmp_path):
 
 def test_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert len(names) == 10 and "pipeline" in entry.queries()
+    assert len(names) == 13 and "pipeline" in entry.queries()
