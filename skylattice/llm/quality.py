@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,23 +27,28 @@ TRUSTED_LIMIT = 100_000
 MIN_SCORE = -0.2
 SYMBOLS = "[#*$%&|<>]"
 WHITE = " \t\n\x0b\x0c\r"
-_RUNS = re.compile(r"\w+|[^\w\s]+")
+#: Words are joined by line ends, which are runs of their own.
+_RUNS = re.compile(r"\w+|\n|[^\w\s]+")
+_END = np.uint64(xxhash.xxh64_intdigest("\n", 1))
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-@lru_cache(1 << 18)
-def _run_hashes(word: str) -> tuple[int, ...]:
-    """Hashes of the word's runs of word characters and of marks, in lower case."""
-    return tuple(xxhash.xxh64_intdigest(r, 1) for r in _RUNS.findall(word.lower()))
+def _runs(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of word characters and of marks of each word, in lower case, and where each word's runs start.
+
+    Nothing outlives the call: worker processes are used again, and what they remembered would add up over a session.
+    """
+    found = pa.array(_RUNS.findall("".join(f"{w}\n" for w in vocabulary).lower()), pa.string()).dictionary_encode()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(r, 1) for r in found.dictionary.to_pylist()), np.uint64, len(found.dictionary))
+    codes = found.indices.to_numpy()
+    end = hashes[codes] == _END
+    return hashes[codes[~end]], np.concatenate(([0], np.cumsum(~end)[end]))
 
 
 def _grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the unigrams and bigrams of each text, and where each text's grams start."""
-    runs = list(map(_run_hashes, words.vocabulary))
-    size = np.fromiter(map(len, runs), np.int64, len(runs))
-    offset = np.concatenate(([0], np.cumsum(size)))
-    flat = np.fromiter(chain.from_iterable(runs), np.uint64, int(offset[-1]))
-    length = size[words.codes]
+    flat, offset = _runs(words.vocabulary)
+    length = np.diff(offset)[words.codes]
     total = np.concatenate(([0], np.cumsum(length)))
     tokens = flat[np.repeat(offset[words.codes] - total[:-1], length) + np.arange(total[-1])]
     starts = total[words.starts]
