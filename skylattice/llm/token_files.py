@@ -30,8 +30,8 @@ from skylattice.llm.words import pieces, split_words
 
 LENGTH = 2048
 SEQUENCES = 64
-#: Word pieces remembered by a worker process; beyond that it starts afresh.
-REMEMBERED = 1_000_000
+#: Word pieces remembered within a task, about 40 MB; beyond that it starts afresh.
+REMEMBERED = 1 << 17
 #: The pattern of word pieces for which _KIND gives the same cuts, but for words with apostrophes.
 RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Kinds of UTF-8 bytes in lower-cased plain words: 0 line end, 1 letter (with the two bytes of U+00DF to U+00FF), 2 digit, 3 mark.
@@ -60,9 +60,9 @@ class WordTokenizer:
             vocabulary = spec["model"]["vocab"]
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.row: dict[str, int] = {}
         self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
@@ -72,7 +72,7 @@ class WordTokenizer:
     def _rows(self, parts: list[str]) -> np.ndarray:
         """Rows of the remembered pieces; `parts` are single pieces of the file's pattern."""
         if len(self.row) > REMEMBERED:
-            self._forget()
+            self.forget()
         fresh = [p for p in parts if p not in self.row]
         if fresh:
             ids = self._encode(" ".join(fresh))
@@ -127,7 +127,7 @@ class WordTokenizer:
         return ids.astype(np.uint32), total[words.starts]
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
@@ -194,6 +194,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                                              ["doc_id", "part", "file", "offset", "n_tokens"])
         if writer:
             writer.close()
+            # the worker process is used again, by other stages too
+            _tokenizer(tokenizer).forget()
 
     ordered = (docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
                .withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie"))
