@@ -274,7 +274,7 @@ def asof_forward_by_key(spark, sf):
     o = e.where(F.col("event_type") == "purchase").select("event_id", "ts", "user_id")
     c = e.where(F.col("event_type") == "click").select(F.col("event_id").alias("click_id"), F.col("ts").alias("click_ts"), "user_id")
     return asof_join(o, c, "ts", "click_ts", by=["user_id"], right_cols=["click_id"], right_order="click_id", direction="forward",
-                     tolerance_s=172800, bin_s=86400).select("event_id", "click_id")
+                     tolerance_s=172800).select("event_id", "click_id")
 
 
 @query(f"""WITH {v.MET}, m AS (SELECT date_trunc('hour', met_ts) AS h, avg(u) AS u, avg(v) AS v FROM met GROUP BY 1),

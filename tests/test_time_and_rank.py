@@ -26,6 +26,28 @@ def test_asof_ties_and_tolerance(spark):
     assert got == {1: 12, 2: 20, 3: None, 4: 40}
 
 
+@pytest.mark.parametrize("direction", ["nearest", "backward", "forward"])
+@pytest.mark.parametrize("times", ["one key and one bin", "far apart and negative", "one time"])
+def test_asof_of_hot_keys_and_times(spark, direction, times):
+    rng = np.random.default_rng(5)
+    draw = {"one key and one bin": lambda n: rng.integers(0, 60_000, n), "far apart and negative": lambda n: rng.integers(-(1 << 60), 1 << 60, n), "one time": lambda n: np.full(n, 77)}[times]
+    l, r = draw(2000).tolist(), sorted(set(draw(500).tolist()))
+    left = spark.createDataFrame([(i, t) for i, t in enumerate(l)] + [(-1, None)], "l int, t long")
+    right = spark.createDataFrame([(t, i) for i, t in enumerate(r)] + [(None, 9)], "s long, r int")
+    df = asof_join(left, right, "t", "s", right_cols=["r"], right_order="r", direction=direction)
+    got = {x.l: x.r for x in df.collect()}
+    want = {-1: None}
+    for i, t in enumerate(l):
+        at = np.searchsorted(r, t, side="right") - 1
+        prev, nxt = (at if at >= 0 else None), (at if at >= 0 and r[at] == t else at + 1 if at + 1 < len(r) else None)
+        near = prev if nxt is None or (prev is not None and t - r[prev] <= r[nxt] - t) else nxt
+        want[i] = {"backward": prev, "forward": nxt, "nearest": near}[direction]
+    assert got == {k: None if v is None else int(v) for k, v in want.items()}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # the windows and joins are dealt by key and bin; no task gets all rows
+    assert "SinglePartition" not in plan
+
+
 @pytest.mark.parametrize("direction", ["nearest", "backward", "forward"])
 @pytest.mark.parametrize("tol", [None, 900])
 def test_asof_against_pandas(spark, direction, tol):
@@ -36,7 +58,7 @@ def test_asof_against_pandas(spark, direction, tol):
                          tolerance=None if tol is None else pd.Timedelta(f"{tol}s"))
     schema = "k int, l_ts timestamp_ntz, l int"
     got = asof_join(spark.createDataFrame(l, schema), spark.createDataFrame(r, "k int, r_ts timestamp_ntz, r int"),
-                    "l_ts", "r_ts", by=["k"], right_cols=["r"], right_order="r", direction=direction, tolerance_s=tol, bin_s=600).toPandas()
+                    "l_ts", "r_ts", by=["k"], right_cols=["r"], right_order="r", direction=direction, tolerance_s=tol).toPandas()
     a = want.sort_values("l").r.fillna(-1).astype(int).tolist()
     assert got.sort_values("l").r.fillna(-1).astype(int).tolist() == a
 
