@@ -14,12 +14,13 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skylattice.functions.hashing import digest
+from skylattice.operators.isotonic import decreasing_fit
 from skylattice.operators.quantiles import shuffle_within
 from skylattice.operators.regression import _full, product_sums
 from skylattice.operators.sizing import join_on
@@ -165,15 +166,8 @@ def ablation(df: DataFrame, groups: dict[str, Sequence[str]], label: str, fold:
 
 
 def isotonic_detrend(df: DataFrame, y: str, dist: str, train: Column, out: str = "residual") -> DataFrame:
-    """Subtract a decreasing isotonic fit of y on distance, fitted on the training rows; clipped outside their range.
-
-    Equal distances are averaged with their counts first, so the fit sees one weighted point per distance.
-    """
-    pts = (df.where(train & F.col(y).isNotNull()).groupBy(F.col(dist).cast("double").alias("features"))
-           .agg(F.avg(y).alias("label"), F.count("*").cast("double").alias("weight")))
-    model = IsotonicRegression(isotonic=False, weightCol="weight").fit(pts)
-    fitted = model.transform(df.withColumn("features", F.col(dist).cast("double")))
-    return fitted.withColumn(out, F.col(y) - F.col("prediction")).drop("features", "prediction")
+    """Subtract a decreasing isotonic fit of y on distance, fitted on the training rows; clipped outside their range."""
+    return decreasing_fit(df, y, dist, train, "__fit").withColumn(out, F.col(y) - F.col("__fit")).drop("__fit")
 
 
 # ---------------------------------------------------------------- permutation tests

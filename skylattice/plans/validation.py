@@ -154,11 +154,13 @@ def spatial_blocks(spark, sf):
     return folds.spatial_blocks(v.cells(spark, sf), 7).groupBy("block_id").agg(F.count("*").alias("n_cells"))
 
 
-@query(f"""WITH RECURSIVE {_BLK}, o AS (SELECT block_id, n, row_number() OVER (ORDER BY n DESC, md5('42:' || block_id), block_id) AS rn FROM bk),
+_DEALT = f"""{_BLK}, o AS (SELECT block_id, n, row_number() OVER (ORDER BY n DESC, md5('42:' || block_id), block_id) AS rn FROM bk),
   r AS (SELECT CAST(0 AS BIGINT) AS rn, CAST('' AS VARCHAR) AS block_id, CAST(0 AS BIGINT) AS n, CAST(-1 AS INTEGER) AS fold, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS l
     UNION ALL SELECT o.rn, o.block_id, o.n, CAST(list_position(r.l, list_min(r.l)) - 1 AS INTEGER),
-      list_transform(range(1, 6), lambda i: r.l[i] + CASE WHEN i = list_position(r.l, list_min(r.l)) THEN o.n ELSE 0 END) FROM r JOIN o ON o.rn = r.rn + 1)
-  SELECT block_id, n AS n_cells, fold FROM r WHERE rn > 0""")
+      list_transform(range(1, 6), lambda i: r.l[i] + CASE WHEN i = list_position(r.l, list_min(r.l)) THEN o.n ELSE 0 END) FROM r JOIN o ON o.rn = r.rn + 1)"""
+
+
+@query(f"WITH RECURSIVE {_DEALT} SELECT block_id, n AS n_cells, fold FROM r WHERE rn > 0")
 def balanced_folds(spark, sf):
     """Blocks dealt largest first to the least-loaded fold."""
     b = folds.spatial_blocks(v.cells(spark, sf), 7)
@@ -234,7 +236,14 @@ def ablation_forest(spark, sf):
     return models.ablation(d, {"position": ["x", "y", "dist"], "size": ["size"], "brand": ["brand"]}, "target", "fold", list(range(5)), "cell_id", "rf", trees=5)
 
 
-@query()
+_MODEL = f"""{_DEALT}, mt AS (SELECT cell_id, x, y, size, brand, dist, fold, label / 1e1 + size / 5 - dist / 3 AS target
+    FROM (SELECT *, sqrt((x - 25) * (x - 25) + (y - 20) * (y - 20)) AS dist, CAST(floor(x / 7) AS BIGINT) || '_' || CAST(floor(y / 7) AS BIGINT) AS block_id FROM cells) JOIN (SELECT block_id, fold FROM r WHERE rn > 0) USING (block_id))"""
+
+
+@query(f"""WITH RECURSIVE {_MODEL}, t AS (SELECT dist AS x, avg(target) AS y, count(*) AS w FROM mt WHERE fold <> 0 GROUP BY 1), p AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS sw, sum(w * y) OVER (ORDER BY x) AS sy, w, w * y AS wy FROM t),
+  m AS (SELECT a.i AS a, b.i AS b, (b.sy - a.sy + a.wy) / (b.sw - a.sw + a.w) AS av FROM p a JOIN p b ON a.i <= b.i), g AS (SELECT a, b AS i, max(av) OVER (PARTITION BY a ORDER BY b DESC) AS top FROM m),
+  f AS (SELECT x, i, min(top) AS f FROM g JOIN p USING (i) GROUP BY ALL), q AS (SELECT mt.*, lo.f AS f0, lo.x AS x0, hi.f AS f1, hi.x AS x1 FROM mt ASOF LEFT JOIN f lo ON mt.dist >= lo.x ASOF LEFT JOIN f hi ON mt.dist <= hi.x)
+  SELECT cell_id, fold, round(target - coalesce(f0 + (f1 - f0) * coalesce((dist - x0) / nullif(x1 - x0, 0), 0), f0, f1), 6) AS residual FROM q""")
 def isotonic_detrend(spark, sf):
     """Label minus a decreasing isotonic fit on distance, fitted outside one fold."""
     d = models.isotonic_detrend(model_table(spark, sf), "target", "dist", F.col("fold") != 0)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skylattice.operators import features, folds, models, nulls, statistics
+from skylattice.operators.isotonic import decreasing_blocks
 from skylattice.operators.models import LeakageError, allowed_features
 from skylattice.sources import freeze
 from skylattice.streaming import ingest
@@ -45,6 +46,28 @@ def test_direction_mean_points_north(spark):
     assert (r["wd850_sin"], r["wd850_cos"], r["a"], r["n_months"]) == (pytest.approx(0, abs=1e-12), pytest.approx(1, abs=1e-12), 2.0, 2)
 
 
+@pytest.mark.parametrize("shape", ["noise", "rising", "falling", "steps and one outlier"])
+@pytest.mark.parametrize("chunk", [1 << 16, 4])
+def test_isotonic_blocks_against_the_min_max_formula(spark, shape, chunk):
+    """Chunks of four points, so that blocks grow over many borders."""
+    rng = np.random.default_rng(2)
+    n = 60
+    y = {"noise": rng.normal(size=n) - np.arange(n) / 20, "rising": np.arange(n) * 1.0, "falling": -np.arange(n) * 1.0, "steps and one outlier": np.append(np.repeat([5.0, 5.0, 1.0], 20)[:-1], 90.0)}[shape]
+    w = rng.integers(1, 4, n)
+    sw, sy = np.concatenate(([0], np.cumsum(w))), np.concatenate(([0], np.cumsum(w * y)))
+    mean = lambda a, b: (sy[b + 1] - sy[a]) / (sw[b + 1] - sw[a])
+    want = [min(max(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+    points = spark.createDataFrame([(float(3 * i), int(w[i]), float(y[i])) for i in range(n)], "x double, weight int, y double").repartition(5)
+    blocks = sorted((r.x_low, r.x_high, r.y) for r in decreasing_blocks(points, chunk).collect())
+    got = [next(v for low, high, v in blocks if low <= 3 * i <= high) for i in range(n)]
+    assert np.allclose(got, want) and all(a[2] > b[2] for a, b in zip(blocks, blocks[1:]))
+
+
+def test_isotonic_of_nothing(spark):
+    d = spark.createDataFrame([(1.0, 2.0, False), (None, 3.0, True), (2.0, None, True)], "dist double, y double, train boolean")
+    assert {r.residual for r in models.isotonic_detrend(d, "y", "dist", F.col("train")).collect()} == {None}
+
+
 def test_isotonic_pools_violators_and_clips(spark):
     d = spark.createDataFrame([(1.0, 10.0, True), (2.0, 6.0, True), (3.0, 8.0, True), (3.0, 6.0, True), (4.0, 1.0, True), (9.0, 0.0, False)], "dist double, y double, train boolean")
     r = {x["dist"]: x["y"] - x["residual"] for x in models.isotonic_detrend(d, "y", "dist", F.col("train")).collect()}
