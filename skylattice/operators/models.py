@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 
 from skylattice.functions.hashing import digest
 from skylattice.operators.isotonic import decreasing_fit
-from skylattice.operators.quantiles import shuffle_within
+from skylattice.operators.materialise import materialise
+from skylattice.operators.quantiles import position_within, shuffle_within
 from skylattice.operators.regression import _full, product_sums
 from skylattice.operators.sizing import join_on
 from skylattice.operators.statistics import skill_split
@@ -78,12 +79,21 @@ def ridge_oof(df: DataFrame, features: Sequence[str], label: str, fold: str, key
     Shuffles: (keys, fold) product sums; one row per (keys, fold) afterwards.
     """
     keys, features = list(keys), list(features)
-    p = len(features) + 2
+    coef = ridge_coefficients(fold_sums(df, features, label, fold, keys), len(features) + 2, fold, keys, alphas)
+    return ridge_predictions(df if predict is None else predict, coef, features, fold, keys)
+
+
+def fold_sums(df: DataFrame, features: Sequence[str], label: str, fold: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, fold, xx): packed product sums over [1, features.., label] of the rows with a label."""
     x = [F.lit(1.0), *[F.col(c) for c in features], F.col(label)]
-    use = df.where(F.col(label).isNotNull())
-    sums = product_sums(use, x, F.lit(0.0), [*keys, fold]).select(*keys, fold, "xx")
+    return product_sums(df.where(F.col(label).isNotNull()), x, F.lit(0.0), [*keys, fold]).select(*keys, fold, "xx")
+
+
+def ridge_coefficients(sums: DataFrame, p: int, fold: str, keys: Sequence[str] = (), alphas: Sequence[float] = PENALTIES) -> DataFrame:
+    """(keys, fold, __b, alpha): the model of all other folds, from the `fold_sums` of p columns."""
+    keys = list(keys)
     packed = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(fold).alias("f"), F.col("xx").alias("xx")))).alias("parts"))
-    schema = _ridge_schema(df, keys, fold, True)
+    schema = _ridge_schema(sums, keys, fold, True)
     grid = [float(a) for a in alphas]
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,11 +118,14 @@ def ridge_oof(df: DataFrame, features: Sequence[str], label: str, fold: str, key
         b = np.append(_fit_from_sums(rest, rest[0, 0], alpha), -1.0)
         return float(b @ held @ b)
 
-    coef = packed.mapInPandas(solve, schema)
+    return packed.mapInPandas(solve, schema)
+
+
+def ridge_predictions(rows: DataFrame, coef: DataFrame, features: Sequence[str], fold: str, keys: Sequence[str] = ()) -> DataFrame:
+    """The rows with `pred`; for keys that they lack, each row is predicted once for every value."""
     pred = F.col("__b")[0]
     for i, c in enumerate(features, start=1):
         pred = pred + F.col("__b")[i] * F.col(c)
-    rows = df if predict is None else predict
     return join_on(rows, coef, [*[k for k in keys if k in rows.columns], fold], "left").withColumn("pred", pred).drop("__b")
 
 
@@ -214,6 +227,78 @@ def permutation_scores(observed: DataFrame, nulls: DataFrame, features: Sequence
     return skill_split(oof, cell, label, "pred", [*keys, "rep"]).select(*keys, "rep", F.col(score).alias("score"))
 
 
+def shuffled_sums(df: DataFrame, base: Sequence[str], group: Sequence[str], label: str, fold: str, row_id: str, reps: int, seed: int, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, rep, fold, xx) over [1, base.., group.., label], with the group's rows shuffled together inside each fold, in `reps` ways.
+
+    A shuffle changes neither the sums of the other columns nor those of the group with itself: these come from one pass over
+    the rows. Only the products of the group with the other columns are summed for every replicate, from copies that
+    hold the group alone. The orders are those of `row_shuffles` within (keys, fold).
+    """
+    keys, base, group = list(keys), list(base), list(group)
+    known = df.where(F.col(label).isNotNull())
+    fixed = fold_sums(known, [*base, *group], label, fold, keys)
+    others = [*base, label]
+    receivers = position_within(known.select(*keys, fold, row_id, *others), [*keys, fold], digest(row_id), row_id, "__p").drop(row_id)
+    copies = known.select(*keys, fold, row_id, *group).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    order = digest(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string")), F.lit("donor"), F.col(row_id))
+    donors = position_within(copies, ["rep", *keys, fold], order, row_id, "__p").drop(row_id)
+    mixed = join_on(donors, receivers.withColumnsRenamed({c: f"__o{i}" for i, c in enumerate(others)}), [*keys, fold, "__p"])
+    cross = [F.sum(F.col(g).cast("double") * F.col(f"__o{i}").cast("double")) for g in group for i in range(len(others))]
+    sums = join_on(mixed.groupBy(*keys, "rep", fold).agg(F.array(*cross).alias("__c")), fixed, [*keys, fold])
+    return sums.select(*keys, "rep", fold, F.array(*_blocks(len(base), len(group))).alias("xx"))
+
+
+def _blocks(nb: int, ng: int) -> list[Column]:
+    """The packed triangle over [1, base.., group.., label], with the group's products with base and label from `__c`."""
+    p, out = nb + ng + 2, []
+    for i in range(p):
+        for j in range(i, p):
+            inside = [nb < k <= nb + ng for k in (i, j)]
+            if i == 0 or inside[0] == inside[1]:
+                out.append(F.col("xx")[len(out)])
+            else:
+                g, o = (i, j) if inside[0] else (j, i)
+                out.append(F.col("__c")[(g - nb - 1) * (nb + 1) + (o - 1 if o <= nb else nb)])
+    return out
+
+
+def row_permutation_scores(df: DataFrame, base: Sequence[str], group: Sequence[str], label: str, fold: str, cell: str, reps: int, seed: int,
+                           score: str = "spatial_r2", alphas: Sequence[float] = PENALTIES, keys: Sequence[str] = (), dist: str | None = None, folds: Sequence = ()) -> DataFrame:
+    """(keys, rep, score) of a ridge: rep 0 is the observed table, the others have the group's training rows shuffled.
+
+    The rows that are predicted keep their values, and every replicate tunes its own penalty. With `dist` the target of each
+    of the `folds` is the residual of a decreasing isotonic fit on the distance over the rows outside that fold.
+    """
+    keys, features = list(keys), [*base, *group]
+    own = F.lit(True)
+    if dist is not None:
+        df = materialise(residual_targets(df, label, dist, fold, folds))
+        label, keys, own = "__residual", [*keys, "held"], F.col(fold) == F.col("held")
+    sums = fold_sums(df, features, label, fold, keys).withColumn("rep", F.lit(0)).unionByName(shuffled_sums(df, base, group, label, fold, cell, reps, seed, keys))
+    coef = ridge_coefficients(sums, len(features) + 2, fold, [*keys, "rep"], alphas)
+    pred = ridge_predictions(df.where(own), coef, features, fold, [*keys, "rep"])
+    keys = [k for k in keys if k != "held"]
+    return skill_split(pred, cell, label, "pred", [*keys, "rep"]).select(*keys, "rep", F.col(score).alias("score"))
+
+
+def residual_targets(df: DataFrame, y: str, dist: str, fold: str, folds: Sequence) -> DataFrame:
+    """Every row once for each held-out fold `held`, with `__residual`: y less the isotonic fit over the rows outside that fold."""
+    return reduce(DataFrame.unionByName, [isotonic_detrend(df, y, dist, F.col(fold) != f, "__residual").withColumn("held", F.lit(f)) for f in folds])
+
+
+def forest_permutation_scores(df: DataFrame, base: Sequence[str], group: Sequence[str], label: str, fold: str, folds: Sequence, cell: str, reps: int, seed: int,
+                              kind: str = "rf", trees: int | None = None, score: str = "spatial_r2") -> DataFrame:
+    """(rep, score) as in `row_permutation_scores`, with tree models; each replicate's folds are fitted as parallel jobs."""
+    features = [*base, *group]
+    null = materialise(row_shuffles(df, group, cell, [fold], reps, seed).select("rep", cell, fold, label, *features))
+    out = []
+    for rep in range(reps + 1):
+        train = df if rep == 0 else null.where(F.col("rep") == rep).drop("rep")
+        pred = ml_oof(train, features, label, fold, folds, kind, trees, keep=[cell], predict=df)
+        out.append(skill_split(pred, cell, label, "pred").select(F.lit(rep).alias("rep"), F.col(score).alias("score")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def permutation_test(scores: DataFrame, keys: Sequence[str] = (), level: float = 0.05) -> DataFrame:
     """Observed score, null mean / sd / max, effect, one-sided p = (1 + #{null >= observed}) / (R + 1)."""
     keys = list(keys)

@@ -295,9 +295,14 @@ def permutation_test_seasons(spark, sf):
 def permutation_test_rows(spark, sf):
     """Row-shuffle permutation test of one feature group."""
     t = model_table(spark, sf)
-    null = models.row_shuffles(t, ["size"], "cell_id", ["fold"], 19, 42).select("rep", *t.columns)
-    s = models.permutation_scores(t, null, ["dist", "x", "y", "size"], "target", "fold", "cell_id", "spatial_r2", train_only=True)
-    return models.permutation_test(s)
+    return models.permutation_test(models.row_permutation_scores(t, ["dist", "x", "y"], ["size"], "target", "fold", "cell_id", 99, 42, alphas=[1.0]))
+
+
+@query()
+def permutation_test_residual(spark, sf):
+    """Row-shuffle test on the residual of an isotonic fit on distance, refitted and tuned outside every fold."""
+    t = model_table(spark, sf)
+    return models.permutation_test(models.row_permutation_scores(t, ["x", "y"], ["size"], "target", "fold", "cell_id", 99, 42, dist="dist", folds=range(5)))
 
 
 _SPIN = f"""{v.CELLS}, ang AS (SELECT rep, radians(20 + 320e0 / 3 * (rep - 1) + 10 * (CAST('0x' || substr(md5('42:' || rep), 1, 8) AS BIGINT) + 5e-1) / 4294967296e0 - 5) AS a FROM (SELECT unnest(range(1, 5)) AS rep)),
@@ -348,13 +353,11 @@ def false_positive_rate(spark, sf):
     t = model_table(spark, sf)
     c = v.cells(spark, sf)
     out = None
-    for seed in (1, 2, 3):
+    for seed in range(1, 6):
         n = nulls.noise_labels(t, c, "cell_id", "cell_id", seed, 2.0).withColumn("seed", F.lit(seed))
         out = n if out is None else out.unionByName(n)
     out = materialise(out)
-    cols = out.columns
-    null = models.row_shuffles(out, ["size"], "cell_id", ["seed", "fold"], 19, 7).select("rep", *cols)
-    s = models.permutation_scores(out, null, ["dist", "x", "y", "size"], "null_label", "fold", "cell_id", "spatial_r2", keys=["seed"], train_only=True)
+    s = models.row_permutation_scores(out, ["dist", "x", "y"], ["size"], "null_label", "fold", "cell_id", 19, 7, alphas=[1.0], keys=["seed"])
     p = models.permutation_test(s, ["seed"])
     return p.agg(F.count("*").alias("n_tests"), F.count_if("significant").alias("false_alarms"), F.avg(F.col("significant").cast("double")).alias("rate"))
 

@@ -7,7 +7,7 @@ from skylattice.plans import CATALOGUE
 
 SF = "0.001"
 # long-running fits; covered by their own tests and by the comparison script
-SLOW = {"error_field_variogram", "seasonal_emissions", "between_within_seasons", "fit_setting_sweep", "ablation_forest", "oof_wide", "false_positive_rate"}
+SLOW = {"error_field_variogram", "seasonal_emissions", "between_within_seasons", "fit_setting_sweep", "ablation_forest", "oof_wide", "false_positive_rate", "permutation_test_residual"}
 # the smallest scale has a single pixel row, so a north gradient is not identifiable there
 SCALE = {"plume_regression": "0.01", "plume_combined": "0.01"}
 

@@ -136,6 +136,50 @@ def test_every_row_shuffle_is_another_one(spark):
     assert r.groupBy("rep").agg(F.expr("md5(to_json(sort_array(collect_list(struct(id, v)))))").alias("d")).select("d").distinct().count() == 5
 
 
+def model_rows(spark, n=160, effect=3.0):
+    rng = np.random.default_rng(4)
+    x, g, h = rng.normal(size=n), rng.normal(size=n), rng.normal(size=n)
+    y = x + effect * g + 0.3 * rng.normal(size=n)
+    return spark.createDataFrame([(i, i % 2, float(i % 23), float(x[i]), float(g[i]), float(h[i]), None if i == 7 else float(y[i])) for i in range(n)],
+                                 "id int, fold int, dist double, x double, g double, h double, y double")
+
+
+def test_shuffled_sums_equal_those_of_shuffled_tables(spark):
+    df = model_rows(spark).where("y IS NOT NULL").withColumn("k", F.col("id") % 3)
+    got = {(r["k"], r["rep"], r["fold"]): r["xx"] for r in models.shuffled_sums(df, ["x", "dist"], ["g", "h"], "y", "fold", "id", 3, 42, ["k"]).collect()}
+    tables = models.row_shuffles(df, ["g", "h"], "id", ["k", "fold"], 3, 42)
+    want = {(r["k"], r["rep"], r["fold"]): r["xx"] for r in models.fold_sums(tables, ["x", "dist", "g", "h"], "y", "fold", ["k", "rep"]).collect()}
+    assert set(got) == set(want) and len(got) == 18 and all(np.allclose(got[k], want[k]) for k in got)
+
+
+def test_row_permutation_scores_equal_those_of_shuffled_tables(spark):
+    df = model_rows(spark)
+    got = {r["rep"]: r["score"] for r in models.row_permutation_scores(df, ["x"], ["g"], "y", "fold", "id", 4, 1, "r2").collect()}
+    known = df.where("y IS NOT NULL")
+    null = models.row_shuffles(known, ["g"], "id", ["fold"], 4, 1).select("rep", *df.columns)
+    want = {r["rep"]: r["score"] for r in models.permutation_scores(known, null, ["x", "g"], "y", "fold", "id", "r2", models.PENALTIES, train_only=True).collect()}
+    assert set(got) == set(range(5)) and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in got)
+
+
+def test_permutation_on_isotonic_residuals(spark):
+    """The residual of every fold comes from the rows outside it; a planted effect is found, an empty one is not."""
+    df = model_rows(spark).where("y IS NOT NULL")
+    targets = {(r["held"], r["id"]): r["__residual"] for r in models.residual_targets(df, "y", "dist", "fold", [0, 1]).collect()}
+    for f in (0, 1):
+        alone = models.isotonic_detrend(df, "y", "dist", F.col("fold") != f)
+        assert all(targets[f, r["id"]] == pytest.approx(r["residual"]) for r in alone.collect())
+    p = {g: models.permutation_test(models.row_permutation_scores(df, ["x"], [g], "y", "fold", "id", 99, 3, dist="dist", folds=[0, 1])).first() for g in ("g", "h")}
+    assert p["g"]["p_value"] == pytest.approx(0.01) and p["g"]["significant"] and p["g"]["n_perm"] == 99
+    assert p["h"]["p_value"] > 0.05 and abs(p["h"]["effect"]) < 0.05
+
+
+def test_forest_permutation_of_a_planted_and_an_empty_effect(spark):
+    df = model_rows(spark).where("y IS NOT NULL")
+    p = {g: models.permutation_test(models.forest_permutation_scores(df, ["x"], [g], "y", "fold", [0, 1], "id", 4, 3, trees=5, score="r2"), level=0.2).first() for g in ("g", "h")}
+    assert p["g"]["p_value"] == pytest.approx(0.2) and p["g"]["effect"] > 0.5
+    assert abs(p["h"]["effect"]) < 0.3
+
+
 def test_permutation_p_counts_ties(spark):
     s = spark.createDataFrame([(0, 0.5), (1, 0.5), (2, 0.1), (3, 0.7), (4, 0.2), (5, 0.0)], "rep int, score double")
     r = models.permutation_test(s).first()
