@@ -32,8 +32,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Lines of a run but the last end with the run; breaks may be escaped, lines indented or quoted.
-_WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}+[\x20\t]*+(?:\\r)?(?:\\n|\r?\n|\r)[\x20\t>]*+)+[A-Za-z0-9+/_-]++={0,2}")
+#: Lines of a run but the last end with the run; breaks may be escaped, lines indented or quoted. A run is tried from its start only.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+[\x20\t]*+(?:\\r)?(?:\\n|\r?\n|\r)[\x20\t>]*+)+[A-Za-z0-9+/_-]++={0,2}")
 _LINE = re.compile(r"(?:^|(?<=[\x20\t>\r\n])|(?<=\\n))[A-Za-z0-9+/_-]+")
 _CUT = re.compile(r"[/_-]")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")

@@ -1,8 +1,10 @@
 """Whitening, anchored repeats and conversation repair against brute force written apart from the operators."""
 
+import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -11,7 +13,7 @@ import numpy as np
 import pytest
 from compare import connect, rows
 
-from skylattice.llm import anchors, queries, turns, whitening
+from skylattice.llm import anchors, queries, secrets, similarity_join, turns, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -268,3 +270,25 @@ def test_repair_of_one_long_conversation(spark):
     assert all(got[c] == plain_row(c, short[c]) for c in short)
     audit, n = got[7][7], sum(2 if (k := zlib.crc32(f"7:{t}".encode()) % 20) == 3 else k != 0 for t in range(400))
     assert sum(e != "I" for e in audit) == n and got[7][6] > 0
+
+
+# ---------------------------------------------------------------- earlier operators
+def test_long_base64_runs_take_time_in_proportion():
+    """Megabytes without a line break, as an inline image has them, with a secret at the end that is found."""
+    took = []
+    hidden = base64.b64encode(b"password = correcthorsebattery").decode()
+    for size in (500_000, 2_000_000):
+        body = base64.b64encode(random.Random(1).randbytes(size)).decode()
+        text = f"data:image/png;base64,{body} and {hidden}"
+        start = time.perf_counter()
+        spans = secrets.all_spans(text)
+        took.append(time.perf_counter() - start)
+        assert any(kind == "assign" and a >= len(text) - len(hidden) for kind, a, _ in spans)
+    assert took[1] < 12 * took[0] + 1 and took[1] < 60
+
+
+def test_one_of_each_with_clashing_names(spark):
+    rows_ = [(1, "one two three four five six seven"), (2, "one two three four five six seven"), (2, "one two three four five six seven"), (3, None), (None, ""), (4, "other words stand here now and then")]
+    table = spark.createDataFrame([(d, t, 1, 2, 3, 4, 5, 6) for d, t in rows_], "doc_id long, text string, single int, wkey int, wid int, __class int, __KEEP int, tkey int")
+    kept = similarity_join.one_of_each(table)
+    assert kept.columns == table.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "None"]
