@@ -16,7 +16,7 @@ classes, and they are exactly those of all links: a pair left out lies within a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -305,7 +305,8 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     Rows without a set (null texts, texts without words) all stay, as do rows of a class that has no id.
     """
-    spark_rows = docs.withColumn("__class", F.struct(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("tkey"), F.col("doc_id").cast("long").alias("doc_id")))
+    own, kind = _unused(docs.columns, "__class"), _unused(docs.columns, "__keep")
+    spark_rows = docs.withColumn(own, F.struct(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("tkey"), F.col("doc_id").cast("long").alias("doc_id")))
     rows = _keyed(docs)
     table = _prefix_table(rows, n, percent)
     labels, _ = _labels(rows, table, n, percent)
@@ -314,8 +315,14 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     winners = named.groupBy("label").agg(F.min("rep").alias("rep")).select(F.col("rep.rep.tkey").alias("wkey"), F.col("rep.rep.doc_id").alias("wid"))
     empty = table.where("n_shingles = 0").select(F.col("tkey").alias("wkey"), F.col("doc_id").alias("wid")).distinct()
     keep = materialise(winners.withColumn("single", F.lit(True)).unionByName(empty.withColumn("single", F.lit(False))))
-    kept = spark_rows.join(keep, F.expr("__class.tkey = wkey AND __class.doc_id <=> wid"))
+    kept = spark_rows.join(keep.select(F.struct(*keep.columns).alias(kind)), F.expr(f"`{own}`.tkey = `{kind}`.wkey AND `{own}`.doc_id <=> `{kind}`.wid"))
     # equal rows of one winner: a number within (id, text), which are few; rows without a set keep all
-    single = kept.where("single").drop("single", "wkey", "wid")
-    single = single.dropDuplicates(["__class"])
-    return single.unionByName(kept.where("NOT single").drop("single", "wkey", "wid")).drop("__class")
+    single = kept.where(f"`{kind}`.single").drop(kind).dropDuplicates([own])
+    return single.unionByName(kept.where(f"NOT `{kind}`.single").drop(kind)).drop(own)
+
+
+def _unused(columns: Sequence[str], name: str) -> str:
+    """The name, lengthened until no column has it in any case."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
