@@ -266,16 +266,32 @@ def lag_sums(df: DataFrame, z: str, max_dist: float, width: float, keys: Sequenc
             .agg(F.sum("half_sq").alias("half_sq"), F.sum("n_pairs").alias("n_pairs")))
 
 
-def kernel_sum(df: DataFrame, w: str, sigma: float, keys: Sequence[str] = (), out: str = "field", cut: float = 4.0) -> DataFrame:
-    """Per location: sum of w over all rows within cut*sigma, weighted by exp(-d*d / (2*sigma*sigma))."""
+#: Sigmas beyond which a Gaussian weight is below the rounding of a double.
+NEGLIGIBLE = 8.6
+
+
+def kernel_sum(df: DataFrame, w: str, sigma: float, keys: Sequence[str] = (), out: str = "field", spacing: float = 1.0) -> DataFrame:
+    """Per location of a lattice: sum of w over all rows, weighted by exp(-d*d / (2*sigma*sigma)).
+
+    The kernel is the product of one along x and one along y, so each location's sum is spread along its row of the lattice and
+    the row sums along the columns; every shuffle is keyed by lattice points, and no pair of locations and no bin is formed.
+    Weights below the rounding of a double are left out, no others. Coordinates off the lattice of the given spacing, whose
+    origin is the least x and y, fail the job.
+    """
     keys = list(keys)
-    reach = cut * sigma
-    loc = df.groupBy(*keys, "x", "y").agg(F.sum(w).alias("w"))
-    a = loc.select(*keys, F.col("x").alias("x1"), F.col("y").alias("y1"),
-                   F.floor(F.col("x") / reach).alias("bx"), F.floor(F.col("y") / reach).alias("by"))
-    nine = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    b = loc.select("*", _near_bins(reach, nine).alias("o")).select("*", "o.*").drop("o")
-    d2 = (F.col("x") - F.col("x1")) * (F.col("x") - F.col("x1")) + (F.col("y") - F.col("y1")) * (F.col("y") - F.col("y1"))
-    return (a.join(b, [*keys, "bx", "by"]).withColumn("d2", d2).where(F.col("d2") <= reach * reach)
-            .groupBy(*keys, F.col("x1").alias("x"), F.col("y1").alias("y"))
-            .agg(F.sum(F.col("w") * F.exp(-F.col("d2") / (2 * sigma * sigma))).alias(out)))
+    reach = math.ceil(NEGLIGIBLE * sigma / spacing)
+    loc = df.where("x IS NOT NULL AND y IS NOT NULL").groupBy(*keys, "x", "y").agg(F.sum(F.col(w).cast("double")).alias("__w"))
+    origin = loc.agg(F.min("x").alias("__x0"), F.min("y").alias("__y0"))
+    at = loc.join(F.broadcast(origin))
+    for c, i in (("x", "__i"), ("y", "__j")):
+        steps = (F.col(c) - F.col(f"__{c}0")) / spacing
+        at = at.withColumn(i, F.when(F.abs(steps - F.round(steps)) > 1e-6, F.raise_error(F.concat(F.lit(f"{c} is off the lattice: "), F.col(c).cast("string")))).otherwise(F.round(steps).cast("long")))
+    offset = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
+    weight = F.exp(-(F.col("__d") * spacing) * (F.col("__d") * spacing) / (2 * sigma * sigma))
+    spread = at.select(*keys, "__i", "__j", "__w")
+    for i, j in (("__i", "__j"), ("__j", "__i")):
+        spread = (spread.withColumn("__d", offset).withColumn(i, F.col(i) + F.col("__d")).withColumn("__w", F.col("__w") * weight)
+                  .groupBy(*keys, "__i", "__j").agg(F.sum("__w").alias("__w")))
+        # only rows or columns in which locations stand go on
+        spread = join_on(spread, at.select(*keys, i).distinct(), [*keys, i])
+    return join_on(at.select(*keys, "__i", "__j", "x", "y"), spread, [*keys, "__i", "__j"]).select(*keys, "x", "y", F.col("__w").alias(out))

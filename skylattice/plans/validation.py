@@ -331,15 +331,15 @@ def permutation_test_spin(spark, sf):
     return models.permutation_test(s)
 
 
-@query(f"""WITH {v.CELLS}, k AS (SELECT a.cell_id, a.x, a.y, sum(b.label * exp(-(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / 8)) AS field FROM cells a JOIN cells b ON pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 64 GROUP BY ALL)
+@query(f"""WITH {v.CELLS}, k AS (SELECT a.cell_id, a.x, a.y, sum(b.label * exp(-(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / 8)) AS field FROM cells a, cells b GROUP BY ALL)
   SELECT x, y, round(field, 4) AS field FROM k""")
 def kernel_smooth(spark, sf):
-    """Gaussian neighbour sums of a cell column, cut at four sigma."""
+    """Gaussian neighbour sums of a cell column."""
     return rnd(kernel_sum(v.cells(spark, sf), "label", 2.0), 4, "field")
 
 
 @query(f"""WITH {v.CELLS}, w AS (SELECT cell_id, x, y, sqrt(-2 * ln((CAST('0x' || substr(md5('3:' || cell_id || ':1'), 1, 8) AS BIGINT) + 5e-1) / 4294967296e0)) * cos(2 * pi() * ((CAST('0x' || substr(md5('3:' || cell_id || ':2'), 1, 8) AS BIGINT) + 5e-1) / 4294967296e0)) AS w FROM cells),
-  k AS (SELECT a.cell_id, sum(b.w * exp(-(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / 8)) AS f FROM w a JOIN w b ON pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 64 GROUP BY ALL), z AS (SELECT cell_id, (f - avg(f) OVER ()) / stddev_pop(f) OVER () AS f FROM k)
+  k AS (SELECT a.cell_id, sum(b.w * exp(-(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / 8)) AS f FROM w a, w b GROUP BY ALL), z AS (SELECT cell_id, (f - avg(f) OVER ()) / stddev_pop(f) OVER () AS f FROM k)
   SELECT cell_id, round(f + 1e-1 * sqrt(-2 * ln((CAST('0x' || substr(md5('3:row:' || cell_id || ':1'), 1, 8) AS BIGINT) + 5e-1) / 4294967296e0)) * cos(2 * pi() * ((CAST('0x' || substr(md5('3:row:' || cell_id || ':2'), 1, 8) AS BIGINT) + 5e-1) / 4294967296e0)), 6) AS null_label FROM z""")
 def smooth_null_labels(spark, sf):
     """Smooth random labels with ten per cent noise."""

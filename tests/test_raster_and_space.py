@@ -143,3 +143,19 @@ def test_row_digest_separates_rows(spark):
 
     rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("\\N", "x"), (None, "x"), ("a\\", "b"), ("a", "\\b")], "p string, q string")
     assert rows.select(row_digest([F.col("p"), F.col("q")]).alias("d")).distinct().count() == 6
+
+
+@pytest.mark.parametrize("spacing", [1.0, 0.25])
+def test_kernel_sums_equal_all_pairs(spark, spacing):
+    """Holes, repeated locations, an origin off zero, and weights far beyond four sigma."""
+    rng = np.random.default_rng(8)
+    x, y = (7.3 + spacing * rng.integers(0, 25, 200) for _ in range(2))
+    w = np.append(rng.normal(size=199), 1e7)
+    got = spatial.kernel_sum(spark.createDataFrame(pd.DataFrame({"x": x, "y": y, "v": w, "k": np.arange(200) % 2})).repartition(4), "v", 2.0 * spacing, ["k"], spacing=spacing).collect()
+    assert len(got) == len(set(zip(np.arange(200) % 2, x, y)))
+    for r in got:
+        own = np.arange(200) % 2 == r["k"]
+        want = (w * np.exp(-((x - r["x"]) ** 2 + (y - r["y"]) ** 2) / (2 * (2 * spacing) ** 2)))[own].sum()
+        assert r["field"] == pytest.approx(want, rel=1e-9, abs=1e-8)
+    with pytest.raises(Exception, match="off the lattice"):
+        spatial.kernel_sum(spark.createDataFrame([(0.0, 0.0, 1.0), (0.4, 1.0, 1.0)], "x double, y double, v double"), "v", 1.0).collect()
