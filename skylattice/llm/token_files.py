@@ -30,8 +30,8 @@ from skylattice.llm.words import pieces, split_words
 
 LENGTH = 2048
 SEQUENCES = 64
-#: Word pieces remembered within a task, about 40 MB; beyond that it starts afresh.
-REMEMBERED = 1 << 17
+#: Word pieces remembered by a worker process, about 60 MB; beyond that it starts afresh.
+REMEMBERED = 1 << 18
 #: The pattern of word pieces for which _KIND gives the same cuts, but for words with apostrophes.
 RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Kinds of UTF-8 bytes in lower-cased plain words: 0 line end, 1 letter (with the two bytes of U+00DF to U+00FF), 2 digit, 3 mark.
@@ -194,8 +194,6 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                                              ["doc_id", "part", "file", "offset", "n_tokens"])
         if writer:
             writer.close()
-            # the worker process is used again, by other stages too
-            _tokenizer(tokenizer).forget()
 
     ordered = (docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
                .withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie"))
