@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skylattice.functions import geodesy as geo
 from skylattice.functions.values import keep_classes, normalised_difference, pixel_km2
-from skylattice.operators import sampling, spatial
+from skylattice.operators import covering, sampling, spatial
 from skylattice.operators.folds import holdout_by_zone
 from skylattice.operators.raster import densify, fill_missing, pixel_grid
 from skylattice.plans import views as v
@@ -218,18 +218,23 @@ def line_in_cell_km(spark, sf):
 _DIAMOND = """poly AS (SELECT s_suppkey, s_suppkey * 37 % 997 / 2e1 AS sx, s_suppkey * 59 % 883 / 2e1 AS sy, 1 + s_suppkey % 7 / 2e0 AS rx, 1 + s_suppkey % 5 / 2e0 AS ry FROM supplier)"""
 
 
-def diamonds(spark, sf):
-    """One four-vertex polygon per supplier."""
+def _diamond(scale, east):
     k = F.col("s_suppkey")
-    rx, ry = 1 + k % 7 / 2.0, 1 + k % 5 / 2.0
-    x, y = F.col("sx"), F.col("sy")
+    rx, ry = (1 + k % 7 / 2.0) * scale, (1 + k % 5 / 2.0) * scale
+    x, y = F.col("sx") + east, F.col("sy")
     p = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
-    return sites(spark, sf).select("s_suppkey", F.array(p(x + rx, y), p(x, y + ry), p(x - rx, y), p(x, y - ry)).alias("ring"))
+    return F.array(p(x + rx, y), p(x, y + ry), p(x - rx, y), p(x, y - ry))
+
+
+def diamonds(spark, sf):
+    """One four-vertex polygon per supplier."""
+    return sites(spark, sf).select("s_suppkey", _diamond(1.0, 0.0).alias("ring"))
 
 
 # even-odd crossing count of the four diamond edges
-def _inside(px: str, py: str) -> str:
-    v_ = [("sx + rx", "sy"), ("sx", "sy + ry"), ("sx - rx", "sy"), ("sx", "sy - ry")]
+def _inside(px: str, py: str, scale: str = "1e0", east: str = "0e0") -> str:
+    x, rx, ry = f"(sx + {east})", f"(rx * {scale})", f"(ry * {scale})"
+    v_ = [(f"{x} + {rx}", "sy"), (x, f"sy + {ry}"), (f"{x} - {rx}", "sy"), (x, f"sy - {ry}")]
     parts = []
     for (x1, y1), (x2, y2) in zip(v_, v_[1:] + v_[:1]):
         parts.append(f"CASE WHEN (({y1}) > {py}) <> (({y2}) > {py}) AND {px} < (({x2}) - ({x1})) * ({py} - ({y1})) / nullif(({y2}) - ({y1}), 0) + ({x1}) THEN 1 ELSE 0 END")
@@ -242,14 +247,26 @@ def _inside(px: str, py: str) -> str:
   SELECT cell_id, round(count(px) / 25e0, 6) AS cover FROM cells LEFT JOIN hit USING (cell_id) GROUP BY 1""")
 def polygon_cover_fraction(spark, sf):
     """Share of each cell under the union of all polygons, overlaps counted once."""
-    c = spatial.cover_fraction(diamonds(spark, sf), "ring", v.cells(spark, sf), 1.0, 5)
-    return c.withColumn("cover", r6("cover"))
+    rings = diamonds(spark, sf).select(F.array("ring").alias("rings"))
+    return covering.covered_share(rings, "rings", v.cells(spark, sf), 1.0, 5).withColumn("cover", r6("cover"))
 
 
 @query(f"WITH {_DIAMOND}, {_CUST} SELECT c_custkey, s_suppkey FROM cust JOIN poly ON x BETWEEN sx - rx AND sx + rx AND y BETWEEN sy - ry AND sy + ry WHERE {_inside('x', 'y')}")
 def points_in_polygons(spark, sf):
     """Containment join of points and polygons (even-odd rule), overlapping polygons allowed."""
-    return spatial.points_in_polygons(customers(spark, sf), diamonds(spark, sf), "ring", 4.0, ["c_custkey"], ["s_suppkey"])
+    areas = diamonds(spark, sf).select("s_suppkey", F.array("ring").alias("rings"))
+    return covering.points_in_areas(customers(spark, sf), areas, "rings", 1.0, ["c_custkey"], ["s_suppkey"])
+
+
+def multi_diamonds(spark, sf):
+    """Two-part polygons: every supplier's diamond with a hole of half its size, and the same diamond 10 km to the east."""
+    return sites(spark, sf).select("s_suppkey", F.array(_diamond(1.0, 0.0), _diamond(0.5, 0.0), _diamond(1.0, 10.0)).alias("rings"))
+
+
+@query(f"WITH {_DIAMOND}, {_CUST} SELECT c_custkey, s_suppkey FROM cust JOIN poly ON x BETWEEN sx - rx AND sx + rx + 10 AND y BETWEEN sy - ry AND sy + ry WHERE ({_inside('x', 'y')}) <> ({_inside('x', 'y', '5e-1')}) OR {_inside('x', 'y', east='10e0')}")
+def points_in_multipolygons(spark, sf):
+    """Containment join of points and areas of two parts, one with a hole."""
+    return covering.points_in_areas(customers(spark, sf), multi_diamonds(spark, sf), "rings", 1.0, ["c_custkey"], ["s_suppkey"])
 
 
 @query(f"""WITH {_LINES}, {_DIAMOND} SELECT 'lines' AS kind, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum FROM (SELECT o_orderkey AS id FROM lines WHERE

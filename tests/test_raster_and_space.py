@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from skylattice.operators import qc, raster, sampling, spatial
+from skylattice.operators import covering, qc, raster, sampling, spatial
 from skylattice.settings import GridSpec
 
 SPEC = GridSpec(10.0, 0.0, 1.0, 5, 6)
@@ -67,12 +67,66 @@ def test_line_lengths_in_cells(spark):
 
 def test_cover_counts_overlaps_once(spark):
     sq = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
-    polys = spark.createDataFrame([(sq(0.0, 0.0, 1.0, 0.6),), (sq(0.0, 0.2, 1.0, 1.0),), (sq(1.0, 0.0, 1.4, 1.0),)], "ring array<struct<x: double, y: double>>")
+    polys = spark.createDataFrame([([sq(0.0, 0.0, 1.0, 0.6)],), ([sq(0.0, 0.2, 1.0, 1.0)],), ([sq(1.0, 0.0, 1.4, 1.0)],)], "rings array<array<struct<x: double, y: double>>>")
     cells = spatial.cell_lattice(spark, 0, 3, 0, 1, 1.0).withColumn("cell_id", F.col("cx"))
-    got = {r["cell_id"]: r["cover"] for r in spatial.cover_fraction(polys, "ring", cells, 1.0, 10).collect()}
+    got = {r["cell_id"]: r["cover"] for r in covering.covered_share(polys, "rings", cells, 1.0, 10).collect()}
     assert got == {0: pytest.approx(1.0), 1: pytest.approx(0.4), 2: 0.0}
 
 
+RINGS = "array<array<struct<x: double, y: double>>>"
+
+
+def ray_parity(px, py, rings):
+    """Even-odd rule by rays, written apart from the library."""
+    odd = np.zeros(len(px), bool)
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+            up = (y1 > py) != (y2 > py)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                odd ^= up & (px < (x2 - x1) * (py - y1) / (y2 - y1) + x1)
+    return odd
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_points_in_areas_with_holes_parts_and_one_hot_cell(spark, whole):
+    """Star-shaped rings with holes and parts, wide enough for all block sizes; whole coordinates put vertices on cell borders."""
+    rng = np.random.default_rng(11)
+    areas = []
+    for k in range(6):
+        rings = []
+        for part in range(1 + k % 3):
+            a = np.sort(rng.uniform(0, 2 * np.pi, 5 + 7 * k))
+            for r in (1.0, 0.4):  # outline and hole
+                xy = np.stack([np.cos(a), np.sin(a)], 1) * (rng.uniform(0.6, 1.0, len(a)) * [6, 20, 90][k % 3] * r)[:, None] + [200 * part - 40, 7.5 * k - 20]
+                rings.append([tuple(map(float, v)) for v in (np.round(xy) if whole else xy)])
+        areas.append((k, rings))
+    areas += [areas[1], (90, []), (91, [[(0.0, 0.0), (1.0, 1.0)]]), (92, None)]  # repeated row, no ring, no area, null
+    p = np.vstack([rng.uniform(-150, 450, (3000, 2)), rng.uniform(0, 1, (3000, 2)) - [40, 20]])
+    p = np.round(p * 2) / 2 if whole else p
+    pts = spark.createDataFrame(pd.DataFrame({"i": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1]}))
+    pts = pts.unionByName(spark.createDataFrame([(-1, None, 1.0), (-2, float("nan"), 1.0)], "i bigint, x double, y double"))
+    got = covering.points_in_areas(pts, spark.createDataFrame(areas, f"k int, rings {RINGS}"), "rings", 1.0, ["i"], ["k"])
+    want = sorted((int(i), k) for k, rings in areas for i in np.flatnonzero(ray_parity(p[:, 0], p[:, 1], rings or [])))
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 3000
+    assert covering.points_in_areas(pts.limit(0), spark.createDataFrame(areas, f"k int, rings {RINGS}"), "rings", 1.0, ["i"], ["k"]).count() == 0
+
+
+def test_covered_share_equals_brute_force_and_interior_grows_with_the_outline(spark):
+    big = [[(0.3, 0.2), (150.7, 4.1), (120.2, 90.9), (3.3, 77.7)], [(50.0, 30.0), (60.0, 30.0), (60.0, 41.5), (50.0, 41.5)]]
+    small = [[(140.0, -3.0), (152.5, -3.0), (152.5, 9.0)]]
+    areas = spark.createDataFrame([(big,), (small,), (small,)], f"rings {RINGS}")
+    cells = spatial.cell_lattice(spark, -2, 156, -5, 94, 1.0).withColumn("cell_id", F.concat_ws("_", "cx", "cy"))
+    got = covering.covered_share(areas, "rings", cells, 1.0, 9).toPandas()
+    cx, cy = (got.cell_id.str.split("_").str[i].astype(int).to_numpy() for i in (0, 1))
+    want = np.zeros(len(got))
+    for k in range(81):
+        px, py = cx + (k % 9 + 0.5) / 9, cy + (k // 9 + 0.5) / 9
+        want += ray_parity(px, py, big) | ray_parity(px, py, small)
+    np.testing.assert_allclose(got.cover, want / 81, atol=1e-12)
+    pieces = covering.covering(areas, "rings", 1.0).groupBy("full").count().toPandas().set_index("full")["count"]
+    assert pieces[True] < 0.3 * (got.cover == 1).sum()
+
+
 @pytest.mark.parametrize("clustered", [False, True])
 def test_nearest_tree_equals_brute_force(spark, clustered):
     rng = np.random.default_rng(7)
