@@ -8,25 +8,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.functions.hashing import uniform
+from skylattice.functions.hashing import digest, uniform
+from skylattice.operators.quantiles import position_within
 from skylattice.operators.sizing import join_on
 
 
 def multinomial_weights(units: DataFrame, unit: str, reps: int, seed: int, strata: Sequence[str] = ()) -> DataFrame:
     """(strata, rep, unit, w): how often each unit is drawn in each replicate of n draws with replacement.
 
-    `units` holds one row per unit (overpass, block), per stratum. Units that are not drawn have no row.
+    `units` holds one row per unit (overpass, block), per stratum. Units that are not drawn have no row. Units are numbered by
+    the order of their digests over buckets of digests, so a stratum with most units is numbered by many tasks.
     """
     if reps < 1:
         raise ValueError("at least one replicate is needed")
     strata = list(strata)
-    order = Window.partitionBy(*strata).orderBy(unit)
-    ranked = units.select(*strata, unit).distinct().select(
-        *strata, unit, (F.row_number().over(order) - 1).alias("__slot"),
-        F.count("*").over(Window.partitionBy(*strata)).alias("__n"))
+    distinct = units.select(*strata, unit).distinct()
+    sizes = distinct.groupBy(*strata).agg(F.count("*").alias("__n"))
+    slots = position_within(distinct, strata, digest(unit), unit, "__slot")
+    if strata:
+        ranked = join_on(slots, sizes, strata)
+    else:
+        ranked = slots.withColumn("__k", F.lit(0)).join(F.broadcast(sizes.withColumn("__k", F.lit(0))), "__k").drop("__k")
     draws = ranked.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     pick = F.floor(uniform(seed, *strata, "rep", "__slot") * F.col("__n")).cast("int")
     w = (draws.select(*strata, "rep", pick.alias("__slot")).groupBy(*strata, "rep", "__slot")

@@ -74,8 +74,14 @@ _PART = "part_ AS (SELECT overpass, iy, ix, sum(value) AS sv, count(*) AS n FROM
 _BG = "bg AS (SELECT quantile_cont(m, 0.1) AS b10, quantile_cont(m, 0.05) AS b5, quantile_cont(m, 0.25) AS b25 FROM (SELECT iy, ix, avg(value) AS m FROM cube GROUP BY ALL))"
 
 
+#: Resamples of maps and rates, draws of the label-error field, and resamples of a seasonal fit.
+RESAMPLES = 200
+ERROR_DRAWS = 30
+SEASONAL_RESAMPLES = 100
+
+
 def _weights_sql(reps: int, seed: int = 42, units: str = "wind") -> str:
-    return f"""u_ AS (SELECT overpass, row_number() OVER (ORDER BY overpass) - 1 AS slot, count(*) OVER () AS n FROM {units}),
+    return f"""u_ AS (SELECT overpass, row_number() OVER (ORDER BY md5(CAST(overpass AS VARCHAR)), overpass) - 1 AS slot, count(*) OVER () AS n FROM {units}),
   dr AS (SELECT rep, CAST(floor((CAST('0x' || substr(md5('{seed}:' || rep || ':' || slot), 1, 8) AS BIGINT) + 5e-1) / 4294967296e0 * n) AS BIGINT) AS slot FROM u_, (SELECT unnest(range(1, {reps + 1})) AS rep)),
   wt AS (SELECT rep, overpass, CAST(count(*) AS DOUBLE) AS w FROM dr JOIN u_ USING (slot) GROUP BY ALL UNION ALL SELECT 0, overpass, 1e0 FROM {units})"""
 
@@ -120,12 +126,12 @@ def flux_divergence_map(spark, sf):
 _ZONES = f"""zt AS (SELECT rep, 'r' || CAST(k AS VARCHAR) || 'km' AS zone, sum(e) * {_DX} * {_DY} * 46.0055e-3 AS total FROM em, (SELECT unnest([5, 10, 15]) AS k) WHERE {R_SRC} <= k GROUP BY rep, nr, k)"""
 
 
-@query(f"""WITH {v.CUBE}, {v.WIND}, {v.PIX}, {_PART}, {_BG}, {_weights_sql(30)}, {_flux_sql()}, {_ZONES}
+@query(f"""WITH {v.CUBE}, {v.WIND}, {v.PIX}, {_PART}, {_BG}, {_weights_sql(RESAMPLES)}, {_flux_sql()}, {_ZONES}
   SELECT zone, round(max(CASE WHEN rep = 0 THEN total END), 3) AS estimate, round(quantile_cont(CASE WHEN rep > 0 THEN total END, 0.025), 3) AS lo, round(quantile_cont(CASE WHEN rep > 0 THEN total END, 0.975), 3) AS hi FROM zt GROUP BY 1""")
 def divergence_totals_ci(spark, sf):
     """Radius totals of the emission map with a bootstrap over overpasses: main map and resamples in one job."""
     w = v.winds(spark, sf)
-    wt = resample.with_main(resample.multinomial_weights(w, "overpass", 30, 42), w, "overpass")
+    wt = resample.with_main(resample.multinomial_weights(w, "overpass", RESAMPLES, 42), w, "overpass")
     m = with_lat_lon(maps(spark, sf, wt, ["rep"]))
     from skylattice.operators.spatial import zone_totals
 
@@ -228,7 +234,7 @@ def line_density(spark, sf):
     return rnd(rnd(rotate.line_density(rotated(spark, sf), w, ["regime"], FRAME), 6, "along"), 3, "line_density")
 
 
-@query(f"""WITH {v.CUBE}, {v.WIND}, {_ROT}, wy AS (SELECT * FROM wind WHERE {_SPEED} >= 2 AND {_SPEED} <= 8), {_weights_sql(50, 7, 'wy')}, {_LINE.format(k='rep')},
+@query(f"""WITH {v.CUBE}, {v.WIND}, {_ROT}, wy AS (SELECT * FROM wind WHERE {_SPEED} >= 2 AND {_SPEED} <= 8), {_weights_sql(RESAMPLES, 7, 'wy')}, {_LINE.format(k='rep')},
   st AS (SELECT rep, avg(CASE WHEN x BETWEEN 4 AND 14 THEN l END) - avg(CASE WHEN x BETWEEN -14 AND -4 THEN l END) AS step FROM ld GROUP BY 1),
   iw AS (SELECT rep, sum(w / {_SPEED}) / sum(w) AS i FROM wt JOIN wy USING (overpass) GROUP BY 1), r AS (SELECT rep, step / i AS rate FROM st JOIN iw USING (rep))
   SELECT round(max(CASE WHEN rep = 0 THEN rate END), 2) AS estimate, round(quantile_cont(CASE WHEN rep > 0 THEN rate END, 0.025), 2) AS lo, round(quantile_cont(CASE WHEN rep > 0 THEN rate END, 0.975), 2) AS hi,
@@ -236,7 +242,7 @@ def line_density(spark, sf):
 def bootstrap_ci(spark, sf):
     """Step estimate of an inert tracer with a bootstrap interval over windy overpasses."""
     w = windy(spark, sf)
-    wt = resample.with_main(resample.multinomial_weights(w, "overpass", 50, 7), w, "overpass")
+    wt = resample.with_main(resample.multinomial_weights(w, "overpass", RESAMPLES, 7), w, "overpass")
     frame = WindFrame(upwind=(-14.0, -4.0), downwind=(4.0, 14.0))
     lines = rotate.line_density(rotated(spark, sf), wt, ["rep"], frame)
     s = rotate.step_estimate(lines, rotate.mean_inverse_wind(wt, w, ["rep"]), ["rep"], frame)
@@ -310,13 +316,13 @@ def seasonal_fits(spark, sf, reps: int):
 @query()
 def seasonal_emissions(spark, sf):
     """Per-season rate, lifetime and bootstrap interval, with the flat-background fallback flagged."""
-    return seasonal_fits(spark, sf, 20)
+    return seasonal_fits(spark, sf, SEASONAL_RESAMPLES)
 
 
 @query()
 def between_within_seasons(spark, sf):
     """Spread of the seasonal rates over their mean uncertainty."""
-    s = seasonal_fits(spark, sf, 20).withColumn("sigma", (F.col("ci_hi") - F.col("ci_lo")) / 2 / 1.96)
+    s = seasonal_fits(spark, sf, SEASONAL_RESAMPLES).withColumn("sigma", (F.col("ci_hi") - F.col("ci_lo")) / 2 / 1.96)
     return statistics.between_within(s, "e_nox_kg_s", "sigma")
 
 
@@ -365,7 +371,7 @@ def label_density(spark, sf):
     return d.select("cell_id", F.round(F.col("density") * 1e9, 3).alias("density_e9"))
 
 
-@query(f"""WITH {v.CUBE}, {v.WIND}, {v.PIX}, {v.CELLS}, {_PART}, {_BG}, {_weights_sql(8)}, {_flux_sql()}, {_density_sql()}, {_SEASONS},
+@query(f"""WITH {v.CUBE}, {v.WIND}, {v.PIX}, {v.CELLS}, {_PART}, {_BG}, {_weights_sql(RESAMPLES)}, {_flux_sql()}, {_density_sql()}, {_SEASONS},
   dd AS (SELECT cell_id, max(CASE WHEN rep = 0 THEN dens END) AS d, stddev_pop(CASE WHEN rep > 0 THEN dens END) AS sd FROM ds GROUP BY 1)
   SELECT cell_id, season, round(d * e * 162.7e0 * 31557600e3, 2) AS label, round(sqrt(pow(sd * e, 2) + pow(d * (hi - lo) / (2 * 1.96e0), 2)) * 162.7e0 * 31557600e3, 2) AS label_sd,
     round(d * e * 162.7e0 * 31557600e3 / 1.2e0, 2) AS label_annual FROM dd, se""")
@@ -373,7 +379,7 @@ def label_with_sd(spark, sf):
     """Cell-by-season label with its error from resampled maps and the seasonal interval."""
     from skylattice.operators.quantiles import exact_quantiles
 
-    d = labels.density_with_sd(densities(spark, sf, 8), "cell_id").where(F.col("density").isNotNull())
+    d = labels.density_with_sd(densities(spark, sf, RESAMPLES), "cell_id").where(F.col("density").isNotNull())
     c = v.screened(spark, sf).withColumn("season", F.expr("overpass div 10").cast("int")).where(F.col("value").isNotNull())
     q = exact_quantiles(c, ["season"], "value", {"lo": 0.25, "hi": 0.75})
     s = (c.groupBy("season").agg((F.avg("value") / 100).alias("e")).join(q, "season")
@@ -382,13 +388,13 @@ def label_with_sd(spark, sf):
     return rnd(lab.select("cell_id", "season", "label", "label_sd", "label_annual"), 2, "label", "label_sd", "label_annual")
 
 
-@query(f"""WITH {v.CUBE}, {v.WIND}, {v.PIX}, {v.CELLS}, {_PART}, {_BG}, {_weights_sql(3)}, {_flux_sql()}, {_density_sql()},
+@query(f"""WITH {v.CUBE}, {v.WIND}, {v.PIX}, {v.CELLS}, {_PART}, {_BG}, {_weights_sql(ERROR_DRAWS)}, {_flux_sql()}, {_density_sql()},
   er AS (SELECT a.rep, a.cell_id, a.x, a.y, (a.dens - b.dens) * 1e9 AS z FROM ds a JOIN ds b ON a.cell_id = b.cell_id AND b.rep = 0 WHERE a.rep > 0),
   pr AS (SELECT a.rep, CAST(floor(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS INTEGER) AS lag, 5e-1 * pow(a.z - b.z, 2) AS g FROM er a JOIN er b ON a.rep = b.rep AND a.cell_id < b.cell_id AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) < 10),
   vg AS (SELECT rep, lag, avg(g) AS g FROM pr GROUP BY ALL) SELECT lag, round(avg(g) / 1000, 3) AS gamma, count(*) AS n_draws FROM vg GROUP BY 1""")
 def error_field_variogram(spark, sf):
     """Semivariogram of the label-error field (resampled minus main map), averaged over draws."""
-    d = densities(spark, sf, 3).where(F.col("density").isNotNull())
+    d = densities(spark, sf, ERROR_DRAWS).where(F.col("density").isNotNull())
     err = variogram.error_field(d, ["cell_id"], "density").withColumn("error", F.col("error") * 1e9)
     err = err.join(v.cells(spark, sf).select("cell_id", "x", "y"), "cell_id")
     vg = variogram.mean_over_draws(variogram.semivariogram(err, "error", 10.0, 1.0, ["rep"]))

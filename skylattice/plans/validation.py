@@ -108,7 +108,7 @@ def skill_scores(spark, sf):
 
 
 @query(f"""WITH {_PRED}, x AS (SELECT CAST(cell % 20 AS INTEGER) AS block, y, p AS p1, p * 9e-1 + 2 AS p2 FROM pr), b AS (SELECT block, count(*) AS n, sum(y) AS sy, sum(y * y) AS syy, sum(pow(y - p1, 2)) AS e1, sum(pow(y - p2, 2)) AS e2 FROM x GROUP BY 1),
-  u AS (SELECT block, row_number() OVER (ORDER BY block) - 1 AS slot, count(*) OVER () AS n FROM b),
+  u AS (SELECT block, row_number() OVER (ORDER BY md5(CAST(block AS VARCHAR)), block) - 1 AS slot, count(*) OVER () AS n FROM b),
   dr AS (SELECT rep, CAST(floor((CAST('0x' || substr(md5('5:' || rep || ':' || slot), 1, 8) AS BIGINT) + 5e-1) / 4294967296e0 * n) AS BIGINT) AS slot FROM u, (SELECT unnest(range(1, 41)) AS rep)),
   w AS (SELECT rep, block, count(*) AS w FROM dr JOIN u USING (slot) GROUP BY ALL UNION ALL SELECT 0, block, 1 FROM b),
   r AS (SELECT rep, (sum(w * e1) - sum(w * e2)) / (sum(w * syy) - pow(sum(w * sy), 2) / sum(w * n)) AS g FROM w JOIN b USING (block) GROUP BY 1)
