@@ -23,10 +23,24 @@ def region_fraction(grid: DataFrame, res: float, inside: Callable[[Column, Colum
     return pts.groupBy("lat", "lon").agg(F.avg(hit.cast("double")).alias("fraction"))
 
 
-def region_totals(inventory: DataFrame, fractions: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Sum of value x fraction inside the region; values are summed per grid cell before the fractions join."""
-    cell = inventory.groupBy(*keys, "lat", "lon").agg(F.sum(value).alias("v"))
-    return cell.join(fractions, ["lat", "lon"]).groupBy(*keys).agg(F.sum(F.col("v") * F.col("fraction")).alias("total"))
+def region_totals(inventory: DataFrame, res: float, inside: Callable[[Column, Column], Column], keys: Sequence[str], value: str = "value",
+                  per_side: int = 10, origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """Sum of value x share of its cell inside the region.
+
+    Cells are integer keys of the lattice of spacing `res` whose lines run through `origin` (lat, lon), and they come from the rows
+    themselves: no row is lost to a list of cells or to the last bit of a coordinate. Coordinates may lie anywhere in their
+    cell. A row with a value but without finite coordinates fails the job; missing values count nothing. Values are
+    summed per cell before the shares join.
+    """
+    lost = F.col(value).isNotNull() & ~F.coalesce((F.abs("lat") < 1e9) & (F.abs("lon") < 1e9), F.lit(False))
+    index = lambda c, o: F.when(lost, F.raise_error(F.lit("an inventory row has a value but no place"))).otherwise(F.floor((F.col(c) - o) / res))
+    placed = inventory.withColumn("__i", index("lat", origin[0])).withColumn("__j", index("lon", origin[1]))
+    cell = placed.groupBy(*keys, "__i", "__j").agg(F.sum(value).alias("v"))
+    centre = lambda c, o: (F.col(c) + 0.5) * res + o
+    grid = placed.select("__i", "__j").where("__i IS NOT NULL AND __j IS NOT NULL").distinct().select(centre("__i", origin[0]).alias("lat"), centre("__j", origin[1]).alias("lon"))
+    share = region_fraction(grid, res, inside, per_side).select(F.floor((F.col("lat") - origin[0]) / res).alias("__i"),
+                                                                F.floor((F.col("lon") - origin[1]) / res).alias("__j"), "fraction")
+    return cell.join(share, ["__i", "__j"]).groupBy(*keys).agg(F.sum(F.col("v") * F.col("fraction")).alias("total"))
 
 
 def annual_ratios(totals: DataFrame, num: str, den: str, year: str = "year") -> DataFrame:

@@ -90,14 +90,18 @@ def polygon_meets_box(ring: str, x0: float, x1: float, y0: float, y1: float) ->
 
 
 # ---------------------------------------------------------------- zones
-def with_zones(df: DataFrame, zones: dict[str, Column]) -> DataFrame:
-    """One row per (row, zone it lies in); zones may overlap. One pass, no join."""
-    named = F.array(*[F.when(cond, F.lit(name)) for name, cond in zones.items()])
+def with_zones(df: DataFrame, zones: dict[str, Column], names: Sequence[Column] = ()) -> DataFrame:
+    """One row per (row, zone it lies in); zones may overlap. One pass, no join.
+
+    `names` are columns that hold the name of a further zone of the row, NULL for none.
+    """
+    named = F.array(*[F.when(cond, F.lit(name)) for name, cond in zones.items()], *[n.cast("string") for n in names])
     return df.withColumn("zone", F.explode(F.filter(named, lambda z: z.isNotNull())))
 
 
-def zone_totals(df: DataFrame, zones: dict[str, Column], value: Column, keys: Sequence[str] = (), out: str = "total") -> DataFrame:
-    return with_zones(df, zones).groupBy(*keys, "zone").agg(F.sum(value).alias(out))
+def zone_totals(df: DataFrame, zones: dict[str, Column], value: Column, keys: Sequence[str] = (), out: str = "total",
+                names: Sequence[Column] = ()) -> DataFrame:
+    return with_zones(df, zones, names).groupBy(*keys, "zone").agg(F.sum(value).alias(out))
 
 
 def cell_lattice(spark: SparkSession, x0: int, x1: int, y0: int, y1: int, size: float) -> DataFrame:

@@ -29,10 +29,7 @@ def in_city(lat, lon):
 
 
 def city_totals(spark, sf, keys=("species", "year", "sector")):
-    inv = v.inventory(spark, sf)
-    # the inventory grid is fixed by design (here 5 x 6 cells), however many rows fall into it
-    cells = spark.range(30).select((F.lit(18.65) + F.lit(0.1) * (F.col("id") % 5)).alias("lat"), (F.lit(73.25) + F.lit(0.1) * F.expr("id div 5")).alias("lon"))
-    return inventory.region_totals(inv, inventory.region_fraction(cells, 0.1, in_city), list(keys))
+    return inventory.region_totals(v.inventory(spark, sf), 0.1, in_city, list(keys))
 
 
 @query(f"WITH {v.INV} SELECT species, year, sector, count(*) AS n, round(sum(CASE WHEN value > 1 THEN value END), 2) AS total FROM inv WHERE lat > 18.65e0 AND lat < 19.05e0 AND lon > 73.25e0 AND lon < 73.75e0 GROUP BY ALL")

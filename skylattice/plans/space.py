@@ -319,6 +319,5 @@ def zone_totals_multi(spark, sf):
     c = spatial.nearest_point(v.cells(spark, sf), v.waypoints(spark, sf), "x", "y", "wp_x", "wp_y", ["cluster"], order="wp")
     cor = geo.in_corridor("x", "y", PATH, BUFFER, DISCS)
     r = F.sqrt((F.col("x") - 25) * (F.col("x") - 25) + (F.col("y") - 20) * (F.col("y") - 20))
-    zones = {n: cor & (F.col("cluster") == n) for n in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")}
-    zones |= {"corridor": cor, "core": ~cor & (r <= 10), **{f"r{k}km": r <= k for k in (5, 10, 15, 20, 25, 30, 35)}}
-    return spatial.zone_totals(c, zones, F.col("label")).withColumn("total", F.round("total", 4))
+    zones = {"corridor": cor, "core": ~cor & (r <= 10), **{f"r{k}km": r <= k for k in (5, 10, 15, 20, 25, 30, 35)}}
+    return spatial.zone_totals(c, zones, F.col("label"), names=[F.when(cor, F.col("cluster"))]).withColumn("total", F.round("total", 4))

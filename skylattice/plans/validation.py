@@ -205,23 +205,24 @@ def oof_ridge_tuned(spark, sf):
 
 
 def _vectors(spark, sf):
+    """Rows with every entry of their vectors as a column, and the names of these columns."""
     e = v.table(spark, sf, "embeddings")
-    return e.select("vec_id", F.col("label").cast("double").alias("target"), (F.col("vec_id") % 3).cast("int").alias("fold"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    cols = [f"e{i}" for i in range(e.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    return cols, e.select("vec_id", F.col("label").cast("double").alias("target"), (F.col("vec_id") % 3).cast("int").alias("fold"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
 
 
 @query()
 def oof_forest(spark, sf):
-    """Out-of-fold random forest on 64 features, pooled skill."""
-    cols = [f"e{i}" for i in range(64)]
-    o = models.ml_oof(_vectors(spark, sf), cols, "target", "fold", [0, 1, 2], "rf", trees=15, keep=["vec_id"])
+    """Out-of-fold random forest on all entries of the vectors, pooled skill."""
+    cols, d = _vectors(spark, sf)
+    o = models.ml_oof(d, cols, "target", "fold", [0, 1, 2], "rf", trees=15, keep=["vec_id"])
     return statistics.skill(o, "target", "pred")
 
 
 @query()
 def oof_wide(spark, sf):
     """Prediction columns of two estimators side by side."""
-    cols = [f"e{i}" for i in range(64)]
-    d = _vectors(spark, sf)
+    cols, d = _vectors(spark, sf)
     long = None
     for kind, trees in (("ridge", None), ("gbt", 5)):
         o = models.ml_oof(d, cols, "target", "fold", [0, 1, 2], kind, trees=trees, keep=["vec_id"]).withColumn("model", F.lit(kind))

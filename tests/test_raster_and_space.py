@@ -213,3 +213,21 @@ def test_kernel_sums_equal_all_pairs(spark, spacing):
         assert r["field"] == pytest.approx(want, rel=1e-9, abs=1e-8)
     with pytest.raises(Exception, match="off the lattice"):
         spatial.kernel_sum(spark.createDataFrame([(0.0, 0.0, 1.0), (0.4, 1.0, 1.0)], "x double, y double, v double"), "v", 1.0).collect()
+
+
+def test_region_totals_take_cells_from_the_rows_and_lose_none(spark):
+    from skylattice.operators.inventory import region_totals
+
+    rows = [("a", 18.65, 73.25, 2.0), ("a", 18.650000000000002, 73.25, 3.0), ("a", -5.05, 300.15, 7.0), ("b", 18.61, 73.29, 1.0), ("b", None, None, None)]
+    inv = spark.createDataFrame(rows, "species string, lat double, lon double, value double")
+    got = {r["species"]: r["total"] for r in region_totals(inv, 0.1, lambda lat, lon: (lon < 73.25) | (lat < 0), ["species"]).collect()}
+    assert got == {"a": pytest.approx(2.5 + 7.0), "b": pytest.approx(0.5)}  # half of the cell lies west of 73.25
+    lost = inv.unionByName(spark.createDataFrame([("c", 1.0, None, 4.0)], inv.schema))
+    with pytest.raises(Exception, match="no place"):
+        region_totals(lost, 0.1, lambda lat, lon: lat < 0, ["species"]).collect()
+
+
+def test_zones_named_by_a_column(spark):
+    df = spark.createDataFrame([("p", 1.0), ("q", 2.0), (None, 4.0)], "zone_name string, v double")
+    got = spatial.zone_totals(df, {"all": F.lit(True)}, F.col("v"), names=[F.col("zone_name")]).collect()
+    assert {r["zone"]: r["total"] for r in got} == {"all": 7.0, "p": 1.0, "q": 2.0}
