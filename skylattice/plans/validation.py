@@ -215,7 +215,7 @@ def _vectors(spark, sf):
 def oof_forest(spark, sf):
     """Out-of-fold random forest on all entries of the vectors, pooled skill."""
     cols, d = _vectors(spark, sf)
-    o = models.ml_oof(d, cols, "target", "fold", [0, 1, 2], "rf", trees=15, keep=["vec_id"])
+    o = models.ml_oof(d, cols, "target", "fold", [0, 1, 2], "rf", trees=500, keep=["vec_id"])
     return statistics.skill(o, "target", "pred")
 
 
