@@ -1,12 +1,18 @@
 """Soft-membership mixing of sources to target weights.
 
 A multinomial classifier, fitted on labelled documents, gives each document posterior weights over the domains of the label
-table: good, poor and toxic. Each document gets a rate r >= 0, the expected number of times it is used. With token shares w and
-posteriors p, accelerated projected-gradient steps minimise
+table: good, poor and toxic. Each document gets a rate r >= 0, the expected number of times it is used. With token shares w
+and posteriors p, projected-gradient steps minimise
 
-    1/2 sum_k (sum_d w_d r_d p_dk - target_k)^2 + ridge / 2 sum_d w_d (r_d - 1)^2    subject to 0 <= r <= max_rate.
+    1/2 sum_k ((sum_d w_d r_d p_dk - target_k) / target_k)^2    subject to r >= 0,
 
-A step needs only the domain totals, one small vector. A document's rate is a function of its posteriors and of the vectors so
+from rate 1 on. There is no upper bound and no penalty, so that a rare domain reaches its target too. A step moves every rate by p . g and cuts
+it at zero. Its vector g is the gradient in the metric of the domain totals of the rates that are free to move, which would end at the
+targets if no rate were cut; a step that does not lower the sum is halved, and one that stays so is replaced by
+the plain gradient, which always lowers it. Steps end when every total is within TOLERANCE of its target, when the projected gradient is
+small, or after MAX_STEPS; the residual of every domain is returned, so a target that no rates can reach shows.
+
+A step needs only the domain totals and a small matrix. A document's rate is a function of its posteriors and of the vectors so
 far, so that no rates are stored between steps: each step is one pass over the written posterior table.
 """
 
@@ -30,9 +36,12 @@ TARGETS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
 FEATURES = 1 << 14
 #: Labelled documents that the classifier is fitted on; of more, those with the smallest hashes of their ids.
 LABELLED_LIMIT = 20_000
-RIDGE = 1e-3
-MAX_RATE = 8.0
-STEPS = 60
+#: Share of its target within which a domain's total counts as met.
+TOLERANCE = 1e-6
+#: Passes over the posteriors; the residual is returned in any case.
+MAX_STEPS = 60
+#: Copies of a row that are listed at once when rows are repeated.
+COPIES = 10_000
 _WORDS = "filter(split(lower(text), '[ \\\\t\\\\n\\\\x0B\\\\f\\\\r]+'), w -> w <> '')"
 
 
@@ -74,38 +83,71 @@ def with_posteriors(docs: DataFrame, labels: DataFrame, column: str = "mix") ->
     return model.transform(out).withColumn(column, F.struct(n, full.alias("p"))).drop(words, *inputs)
 
 
-def rates_of(p: np.ndarray, history: np.ndarray, ridge: float, max_rate: float) -> np.ndarray:
-    """Where the next gradient is taken and, at the end of the list, the rates: the steps in `history` from rate 1 on."""
-    y = r = np.ones(len(p))
-    size = 1.0 / (1.0 + ridge)
-    t = 1.0
-    for residual in history:
-        new = np.clip(y - size * (p @ residual + ridge * (y - 1.0)), 0.0, max_rate)
-        after = (1.0 + np.sqrt(1.0 + 4.0 * t * t)) / 2.0
-        y, r, t = new + (t - 1.0) / after * (new - r), new, after
-    return np.stack((y, r))
+def rates_of(p: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """The rates after the steps in `moves` (steps x domains), from rate 1 on."""
+    r = np.ones(len(p))
+    for g in moves:
+        r = np.maximum(r - p @ g, 0.0)
+    return r
 
 
-def fit(posteriors: DataFrame, targets: Mapping[str, float] = TARGETS, steps: int = STEPS, ridge: float = RIDGE, max_rate: float = MAX_RATE) -> np.ndarray:
-    """The residual vectors of all steps (steps x domains), from a table with the columns n and p that is read once a step."""
-    total = posteriors.agg(F.sum("n")).first()[0] or 0
-    target = np.array([targets[d] for d in DOMAINS])
-    history = np.zeros((0, len(DOMAINS)))
-    for _ in range(steps if total else 0):
+def _totals(posteriors: DataFrame, moves: np.ndarray, target: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Domain totals as shares of all tokens, and the sums of w p p' over the rates that are free to move, from one pass.
+
+    Free are the rates above zero, and those at zero whose likeliest domain lacks tokens. The matrix only scales the next step.
+    """
+    k = len(DOMAINS)
 
-        def sums(batches: Iterator[pa.RecordBatch], history: np.ndarray = history) -> Iterator[pa.RecordBatch]:
-            e = np.zeros(len(DOMAINS))
-            for b in batches:
-                p = b.column(1).flatten().to_numpy().reshape(-1, len(DOMAINS))
-                e += (b.column(0).to_numpy() * rates_of(p, history, ridge, max_rate)[0]) @ p
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(DOMAINS), dtype=np.int32)), pa.array(e)], ["k", "e"])
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(k + (k + 1) * k * k)
+        for b in batches:
+            n, p = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, k)
+            r = rates_of(p, moves)
+            first = np.where(r > 0, -1, p.argmax(1))  # which domain's lack frees a rate of zero
+            squares = [((p[first == d] * n[first == d, None]).T @ p[first == d]).ravel() for d in range(-1, k)]
+            out += np.concatenate([(n * r) @ p, *squares])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size, dtype=np.int32)), pa.array(out)], ["k", "e"])
 
-        found = {r[0]: r[1] for r in posteriors.select("n", "p").mapInArrow(sums, "k int, e double").groupBy("k").agg(F.sum("e")).collect()}
-        history = np.vstack((history, np.array([found.get(k, 0.0) for k in range(len(DOMAINS))]) / total - target))
-    return history
+    found = posteriors.select("n", "p").mapInArrow(sums, "k int, e double").groupBy("k").agg(F.sum("e").alias("e")).orderBy("k").collect()
+    got = np.array([r["e"] for r in found]) / total
+    matrices = got[k:].reshape(-1, k, k)
+    return got[:k], matrices[0] + matrices[1:][got[:k] < target].sum(0)
 
 
-def _with_rates(scored: DataFrame, history: np.ndarray, column: str, ridge: float, max_rate: float) -> DataFrame:
+def fit(posteriors: DataFrame, targets: Mapping[str, float] = TARGETS, steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
+    """The moves of all kept steps (steps x domains) and the totals less the targets, from a table with the columns n and p."""
+    total = posteriors.agg(F.sum("n")).first()[0] or 0
+    target = np.array([float(targets[d]) for d in DOMAINS])
+    scale = np.maximum(target, TOLERANCE)
+    moves = np.zeros((0, len(DOMAINS)))
+    if not total:
+        return moves, -target
+    loss = lambda e: float(np.sum((e / scale) ** 2))
+    at, matrix = _totals(posteriors, moves, target, total)
+    error, trial, plain = at - target, None, False
+    for _ in range(steps):
+        gradient = error / scale**2
+        if np.max(np.abs(error) / scale) <= tolerance or gradient @ matrix @ gradient <= 1e-18 * loss(error):
+            break
+        if trial is None:
+            if plain:
+                trial = gradient / max(np.linalg.eigvalsh(matrix / np.outer(scale, scale)).max(), 1e-300)
+            else:
+                trial = np.linalg.pinv(matrix, rcond=1e-10, hermitian=True) @ error
+            tries = 0
+        new_at, new_matrix = _totals(posteriors, np.vstack((moves, trial)), target, total)
+        if loss(new_at - target) < loss(error):
+            moves, error, matrix, trial, plain = np.vstack((moves, trial)), new_at - target, new_matrix, None, False
+        elif tries < 3:
+            trial, tries = trial / 2, tries + 1
+        elif not plain:
+            trial, plain = None, True
+        else:
+            break
+    return moves, error
+
+
+def _with_rates(scored: DataFrame, moves: np.ndarray, column: str) -> DataFrame:
     """Adds to the struct the rate and the number of copies: the rate rounded up or down by a hash of the row's id and text."""
     columns = scored.columns
     name = columns.index(column)
@@ -115,9 +157,8 @@ def _with_rates(scored: DataFrame, history: np.ndarray, column: str, ridge: floa
         for b in batches:
             mix = b.column(name)
             p = mix.field("p").flatten().to_numpy().reshape(-1, len(DOMAINS))
-            r = rates_of(p, history, ridge, max_rate)[1]
-            u = mix.field("u").to_numpy()
-            copies = np.floor(r + u).astype(np.int64)
+            r = rates_of(p, moves)
+            copies = np.floor(r + mix.field("u").to_numpy()).astype(np.int64)
             new = pa.StructArray.from_arrays([mix.field("n"), mix.field("p"), pa.array(r), pa.array(copies)], ["n", "p", "rate", "copies"])
             yield pa.RecordBatch.from_arrays([new if i == name else b.column(i) for i in range(b.num_columns)], columns)
 
@@ -125,8 +166,9 @@ def _with_rates(scored: DataFrame, history: np.ndarray, column: str, ridge: floa
     return scored.withColumn(column, F.struct(F.col(f"{column}.n"), F.col(f"{column}.p"), u.alias("u"))).mapInArrow(rate, schema)
 
 
-def document_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, steps: int = STEPS) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_tokens (words), p_good, p_poor, p_toxic, rate, copies.
+def document_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, steps: int = MAX_STEPS) -> DataFrame:
+    """One row per row of `docs`: doc_id, n_tokens (words), p_good, p_poor, p_toxic, rate, copies, and residual_good,
+    residual_poor, residual_toxic: the domain's expected tokens less its target, as shares of all tokens, the same on every row.
 
     Null and empty texts have no tokens, so that they do not count for the totals; they get the rate of their posteriors.
     Equal rows get equal rates and copies. Other columns are ignored.
@@ -136,12 +178,13 @@ def document_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, flo
     scored = with_posteriors(slim, labels)
     scored.select("doc_id", F.struct("mix.n", "mix.p", F.xxhash64("text").alias("t")).alias("mix")).write.parquet(path)
     table = spark.read.parquet(path)
-    history = fit(table.select("mix.n", "mix.p"), targets, steps)
-    out = _with_rates(table, history, "mix", RIDGE, MAX_RATE)
-    return out.select("doc_id", F.col("mix.n").alias("n_tokens"), *[F.col("mix.p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "mix.rate", "mix.copies")
+    moves, left = fit(table.select("mix.n", "mix.p"), targets, steps)
+    out = _with_rates(table, moves, "mix")
+    return out.select("doc_id", F.col("mix.n").alias("n_tokens"), *[F.col("mix.p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "mix.rate", "mix.copies",
+                      *[F.lit(float(e)).alias(f"residual_{d}") for d, e in zip(DOMAINS, left)])
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, steps: int = STEPS) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, steps: int = MAX_STEPS) -> DataFrame:
     """The rows of `docs`, all columns unchanged, each as often as its rate says: rate rounded by a hash of doc_id and text."""
     spark, path = docs.sparkSession, f"{shared_folder(docs.sparkSession)}/mixing"
     column = "mix"
@@ -149,6 +192,8 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TAR
         column = "_" + column
     with_posteriors(docs, labels, column).write.parquet(path)
     table = spark.read.parquet(path)
-    history = fit(table.select(f"{column}.n", f"{column}.p"), targets, steps)
-    copies = _with_rates(table, history, column, RIDGE, MAX_RATE).withColumn(column, F.expr(f"explode(array_repeat(1, int({column}.copies)))"))
-    return copies.select(*docs.columns)
+    moves, _ = fit(table.select(f"{column}.n", f"{column}.p"), targets, steps)
+    # rates have no upper bound: copies are listed in two stages, so no long array is made
+    parts = F.expr(f"explode(if({column}.copies > 0, transform(sequence(0L, ({column}.copies - 1) div {COPIES}), i -> least({COPIES}, {column}.copies - i * {COPIES})), array()))")
+    rows = _with_rates(table, moves, column).withColumn(column, parts)
+    return rows.withColumn(column, F.expr(f"explode(array_repeat(1, int({column})))")).select(*docs.columns)

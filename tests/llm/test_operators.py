@@ -408,7 +408,9 @@ def test_mixing_meets_its_targets(spark, docs):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     p = mixing.document_rates(docs, labels).toPandas()
     for d, target in mixing.TARGETS.items():
-        assert abs((p.n_tokens * p.rate * p[f"p_{d}"]).sum() / p.n_tokens.sum() - target) < 0.01
+        share = (p.n_tokens * p.rate * p[f"p_{d}"]).sum() / p.n_tokens.sum()
+        assert abs(share - target) < 1e-3 * target and p[f"residual_{d}"].nunique() == 1
+        assert p[f"residual_{d}"].iloc[0] == pytest.approx(share - target, abs=1e-9)
     assert (p.rate >= 0).all() and (p.copies - p.rate).abs().max() < 1
     m = p.merge(labels.toPandas(), on="doc_id")
     best = m[["p_good", "p_poor", "p_toxic"]].values.argmax(1)
@@ -416,6 +418,44 @@ def test_mixing_meets_its_targets(spark, docs):
     assert (m[(m.quality == 1) & (m.toxic == 0)].copies >= 1).all()
 
 
+def posteriors(spark, n, p):
+    return spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n long, p array<double>").repartition(4)
+
+
+def test_rare_domains_reach_their_targets(spark):
+    """0.2 % of the tokens belong to a domain with a target of 2 %: a rate of ten."""
+    n, p = np.full(2000, 50), np.tile([1.0, 0.0, 0.0], (2000, 1))
+    p[:196], p[196:200] = [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    moves, left = mixing.fit(posteriors(spark, n, p))
+    assert np.abs(left).max() < 1e-7 and mixing.rates_of(p[196:200], moves) == pytest.approx(10.0)
+
+
+def test_rates_against_a_plain_solver_and_targets_out_of_reach(spark):
+    """Soft posteriors with targets that cut many rates; then targets that no nonnegative rates reach."""
+    rng = np.random.default_rng(5)
+    n, p = rng.integers(0, 400, 600), rng.dirichlet([0.3, 0.2, 0.1], 600)
+    w = n / n.sum()
+    for targets in ({"good": 0.9, "poor": 0.02, "toxic": 0.005}, {"good": 0.0, "poor": 0.5, "toxic": 0.5}, {"good": 0.9, "poor": 0.0, "toxic": 0.4}):
+        moves, left = mixing.fit(posteriors(spark, n, p), targets)
+        r, t = mixing.rates_of(p, moves), np.array([targets[d] for d in mixing.DOMAINS])
+        assert (r >= 0).all() and left == pytest.approx((w * r) @ p - t, abs=1e-9)
+        if t.min() > 0:
+            assert (np.abs(left) / t).max() < 2e-2
+    # the same posteriors on all rows: totals can only move together
+    same = np.tile([0.6, 0.3, 0.1], (50, 1))
+    moves, left = mixing.fit(posteriors(spark, np.full(50, 7), same), {"good": 0.5, "poor": 0.5, "toxic": 0.5})
+    a = np.array([0.6, 0.3, 0.1])
+    best = (a @ np.full(3, 0.5)) / (a @ a)  # least squares of one common rate
+    assert mixing.rates_of(same, moves) == pytest.approx(best, rel=1e-3) and left == pytest.approx(best * a - 0.5, abs=1e-3)
+
+
+def test_a_row_with_more_copies_than_are_listed_at_once(spark):
+    docs = spark.createDataFrame([(1, "one word more", "x")], "doc_id long, text string, mix string")
+    labels = spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int")
+    out = mixing.mixed(docs, labels, {"good": 0.0, "poor": 0.0, "toxic": 25_000.0})
+    assert out.columns == docs.columns and out.count() == 25_000 and out.distinct().count() == 1
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     p = mixing.with_posteriors(docs, labels.where("doc_id % 3 <> 0")).selectExpr("doc_id", "array_position(mix.p, array_max(mix.p)) - 1 AS k").join(labels.where("doc_id % 3 = 0"), "doc_id").toPandas()
