@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,9 +19,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/skylattice-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, parts: Sequence[str] = ()) -> DataFrame:
+    """The rows, written once; filters on the columns `parts` then read the matching files only."""
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.partitionBy(*parts).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -135,42 +135,89 @@ def region_cells(lattice: DataFrame, corridor: DataFrame, centre: tuple[float, f
 
 
 # ---------------------------------------------------------------- nearest points
-def _nearest_tree(df, pts, cols, x, y):
-    """Nearest point by descending a tree of square bins, four times finer per level.
+#: Places that every task may hold, and places in a leaf of a tree.
+FEW, LEAF = 64, 8
+#: Bins along each side of a bin of the level above, so that the first level has 16 bins; and levels at most: 4^24 bins along a
+#: side are near the resolution of a double.
+SIDE, DEEPEST = 4, 24
 
-    Each occupied bin knows its bounding box and one member. A query keeps the bins whose box is not farther than
-    the nearest member seen at that level, so a handful of bins per query survives at every level however the points
-    are distributed, and only the points of the last bins are compared. One equi-join per level, no pair of far
-    rows. Distinct query positions only.
+
+def _places(points: DataFrame, cols: Sequence[str], px: str, py: str, order: str) -> DataFrame:
+    """One row per position (__x, __y) with the row of smallest order as __p; rows without a position go."""
+    pts = points.select(F.col(order).alias("__ord"), F.col(px).cast("double").alias("__x"), F.col(py).cast("double").alias("__y"), *cols)
+    pts = pts.where("__x IS NOT NULL AND __y IS NOT NULL AND NOT isnan(__x) AND NOT isnan(__y)")
+    return pts.groupBy("__x", "__y").agg(F.min_by(F.struct("__ord", *cols), "__ord").alias("__p"))
+
+
+def _square(a, b) -> Column:
+    return (a - b) * (a - b)
+
+
+def _with_head(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """df with `__head`, the array of the few rows."""
+    head = rows.agg(F.collect_list(F.struct(*rows.columns)).alias("__head"), F.lit(0).alias("__k"))
+    return df.withColumn("__k", F.lit(0)).join(F.broadcast(head), "__k").drop("__k")
+
+
+def _nearest_of_few(df: DataFrame, places: DataFrame, cols: list[str], x: str, y: str) -> DataFrame:
+    """Every row looks through the few places itself: no shuffle of the rows, which are read once."""
+    seen = F.transform("__head", lambda p, i: F.struct((_square(p["__x"], F.col(x)) + _square(p["__y"], F.col(y))).alias("d2"), p["__p"]["__ord"].alias("o"), i.alias("i")))
+    hit = F.when(F.expr(f"NOT isnan(coalesce(`{x}`, double('nan'))) AND NOT isnan(coalesce(`{y}`, double('nan')))"), F.array_min(seen))
+    near = _with_head(df, places).withColumn("__h", hit)
+    best = F.get("__head", F.col("__h.i"))["__p"]
+    return near.select(*df.columns, F.sqrt("__h.d2").alias("nearest_dist"), *[best[c].alias(c) for c in cols])
+
+
+def _tree(places: DataFrame, x0: float, y0: float, span: float, n: int) -> tuple[DataFrame, DataFrame, int]:
+    """The places with their leaf bins, the bins of all levels in one written table, and the number of levels.
+
+    Levels are added until no leaf holds more than LEAF places, so that points crowded on a spot are parted like any others.
+    """
+    depth = max(2, math.ceil(math.log(n, SIDE * SIDE)))
+    while True:
+        leaf = span / float(SIDE) ** depth
+        keyed = places.selectExpr("*", *[f"least(cast(floor((__{c} - {o!r}D) / {leaf!r}D) AS bigint), {SIDE ** depth - 1}L) AS b{c}" for c, o in (("x", x0), ("y", y0))])
+        at = keyed.selectExpr("__x", "__y", "bx AS lx", "by AS ly", f"explode(sequence(1, {depth})) AS level")
+        up = f"cast(2 * ({depth} - level) AS int)"  # SIDE is 2^2
+        bins = materialise(at.groupBy("level", F.expr(f"shiftright(lx, {up})").alias("bx"), F.expr(f"shiftright(ly, {up})").alias("by"))
+                           .agg(F.min("__x").alias("ax"), F.max("__x").alias("zx"), F.min("__y").alias("ay"), F.max("__y").alias("zy"),
+                                F.min(F.struct("__x", "__y")).alias("m"), F.count("*").alias("n")), ["level"])
+        full = bins.where(F.col("level") == depth).agg(F.max("n")).first()[0]
+        if full <= LEAF or depth >= DEEPEST:
+            return keyed, bins.drop("n"), depth
+        depth = min(DEEPEST, depth + max(1, math.ceil(math.log(full / LEAF, SIDE * SIDE))))
+
+
+def _nearest_tree(df: DataFrame, places: DataFrame, cols: list[str], x: str, y: str, x0: float, y0: float, span: float, n: int) -> DataFrame:
+    """Nearest place by descending a tree of square bins, SIDE times finer per level.
+
+    Each occupied bin knows its bounding box and one member. A query keeps the bins whose box is not farther than the nearest
+    member seen at that level, so a handful of bins per query survives however the places are distributed, and only the places
+    of the last bins are compared. Every task holds the first level (at most 16 bins), so queries start below the root and no
+    key of a join holds them all; each further level is one equi-join with its part of the written table.
     """
+    keyed, bins, depth = _tree(places, x0, y0, span, n)
     spots = df.select(F.col(x).alias("qx"), F.col(y).alias("qy")).where("qx IS NOT NULL AND qy IS NOT NULL AND NOT isnan(qx) AND NOT isnan(qy)").distinct()
-    x0, x1, y0, y1, n = pts.agg(F.min("__x"), F.max("__x"), F.min("__y"), F.max("__y"), F.count("*")).first()
-    if x0 is None:
-        return df.select("*", F.lit(None).cast("double").alias("nearest_dist"),
-                         *[F.lit(None).cast(dict(pts.dtypes)[c]).alias(c) for c in cols])
-    span = max(x1 - x0, y1 - y0, 1e-9) * (1 + 1e-9)
-    levels = max(1, math.ceil(math.log(max(n, 2), 16))) + 1
-    leaf = span / 4**levels
-    keyed = pts.selectExpr("*", f"floor((__x - {x0!r}D) / {leaf!r}D) AS bx", f"floor((__y - {y0!r}D) / {leaf!r}D) AS by")
-    boxes = keyed.groupBy("bx", "by").agg(F.min("__x").alias("ax"), F.max("__x").alias("zx"), F.min("__y").alias("ay"), F.max("__y").alias("zy"),
-                                          F.min(F.struct("__x", "__y")).alias("m"))
-    trees = [boxes]
-    for _ in range(levels - 1):
-        trees.append(trees[-1].groupBy(F.expr("bx div 4").alias("bx"), F.expr("by div 4").alias("by"))
-                     .agg(F.min("ax").alias("ax"), F.max("zx").alias("zx"), F.min("ay").alias("ay"), F.max("zy").alias("zy"), F.min("m").alias("m")))
-    front = spots.selectExpr("*", "0L AS px", "0L AS py")  # the root covers everything
-    near = ("pow(greatest(ax - qx, 0D, qx - zx), 2) + pow(greatest(ay - qy, 0D, qy - zy), 2) AS lo",
-            "pow(m.__x - qx, 2) + pow(m.__y - qy, 2) AS hi")
-    for tree in reversed(trees):
-        kids = tree.selectExpr("bx", "by", "ax", "zx", "ay", "zy", "m", "bx div 4 AS px", "by div 4 AS py")
-        front = (front.join(kids, ["px", "py"]).selectExpr("qx", "qy", "bx", "by", *near)
+    qx, qy = F.col("qx"), F.col("qy")
+
+    def bounds(b) -> tuple[Column, Column]:
+        dx, dy = F.greatest(b("ax") - qx, F.lit(0.0), qx - b("zx")), F.greatest(b("ay") - qy, F.lit(0.0), qy - b("zy"))
+        return dx * dx + dy * dy, _square(b("m")["__x"], qx) + _square(b("m")["__y"], qy)
+
+    first = _with_head(spots, bins.where("level = 1").drop("level"))
+    first = first.withColumn("best", F.array_min(F.transform("__head", lambda b: bounds(lambda c: b[c])[1])))
+    near = F.filter("__head", lambda b: bounds(lambda c: b[c])[0] <= F.col("best") * (1 + 1e-9))
+    front = first.select("qx", "qy", F.explode(near).alias("b")).selectExpr("qx", "qy", "b.bx AS px", "b.by AS py")
+    for level in range(2, depth + 1):
+        kids = bins.where(F.col("level") == level).selectExpr("*", "shiftright(bx, 2) AS px", "shiftright(by, 2) AS py")
+        lo, hi = bounds(F.col)
+        front = (front.join(kids, ["px", "py"]).select("qx", "qy", "bx", "by", lo.alias("lo"), hi.alias("hi"))
                  .selectExpr("*", "min(hi) OVER (PARTITION BY qx, qy) AS best").where("lo <= best * (1 + 1e-9D)")
                  .selectExpr("qx", "qy", "bx AS px", "by AS py"))
-    payload = "".join(f", `{c}`" for c in cols)
-    hit = (front.join(keyed.withColumnsRenamed({"bx": "px", "by": "py"}), ["px", "py"])
-           .selectExpr("*", "pow(__x - qx, 2) + pow(__y - qy, 2) AS d2").groupBy("qx", "qy")
-           .agg(F.expr(f"min_by(struct(d2{payload}), struct(d2, __ord))").alias("h")))
-    got = hit.select(F.col("qx").alias(x), F.col("qy").alias(y), F.sqrt("h.d2").alias("nearest_dist"), *[F.col("h")[c].alias(c) for c in cols])
+    d2 = _square(F.col("__x"), qx) + _square(F.col("__y"), qy)
+    hit = (front.join(keyed.withColumnsRenamed({"bx": "px", "by": "py"}), ["px", "py"]).withColumn("d2", d2)
+           .groupBy("qx", "qy").agg(F.min_by(F.struct("d2", "__p"), F.struct("d2", "__p.__ord")).alias("h")))
+    got = hit.select(F.col("qx").alias(x), F.col("qy").alias(y), F.sqrt("h.d2").alias("nearest_dist"), *[F.col("h.__p")[c].alias(c) for c in cols])
     return join_on(df, got, [x, y], "left")
 
 
@@ -178,12 +225,16 @@ def nearest_point(df: DataFrame, points: DataFrame, x: str = "x", y: str = "y",
                   cols: Sequence[str] = (), order: str | None = None) -> DataFrame:
     """Add `nearest_dist` and `cols` of the nearest point; ties go to the smallest `order`.
 
-    Point sets of any size are searched through a tree of bins. Points with a NULL or NaN coordinate are nobody's nearest, and
-    rows with one get NULL for the distance and the columns.
+    Up to FEW distinct places are counted first and then held by every task; more, without limit, are searched through a tree of
+    bins whose first level is held in the same way. Points with a NULL or NaN coordinate are nobody's nearest; rows with
+    one, and all rows where there is no point, get NULL for the distance and the columns.
     """
-    pts = points.select(F.col(order or px).alias("__ord"), F.col(px).cast("double").alias("__x"), F.col(py).cast("double").alias("__y"), *cols)
-    pts = pts.where("__x IS NOT NULL AND __y IS NOT NULL AND NOT isnan(__x) AND NOT isnan(__y)")
-    return _nearest_tree(df, pts, list(cols), x, y)
+    cols = list(cols)
+    places = _places(points, cols, px, py, order or px)
+    x0, x1, y0, y1, n = places.agg(F.min("__x"), F.max("__x"), F.min("__y"), F.max("__y"), F.count("*")).first()
+    if n <= FEW:
+        return _nearest_of_few(df, places, cols, x, y)
+    return _nearest_tree(df, materialise(places), cols, x, y, x0, y0, max(x1 - x0, y1 - y0) * (1 + 1e-9), n)
 
 
 def nearest_on_lattice(points: DataFrame, cells: DataFrame, spacing: float, x: str, y: str, cell_id: str,

@@ -120,7 +120,7 @@ def customers(spark, sf):
 @query(f"""WITH {_SITES}, {_CUST} SELECT c_custkey, round(min(sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy))), 6) AS dist,
   min_by(s_suppkey, ((x - sx) * (x - sx) + (y - sy) * (y - sy), s_suppkey)) AS site FROM cust, sites GROUP BY 1""")
 def nearest_site_binned(spark, sf):
-    """Nearest member of a point set too large to pack into one row, searched through widening bins."""
+    """Nearest member of a large point set, searched through a tree of bins."""
     n = spatial.nearest_point(customers(spark, sf), sites(spark, sf), "x", "y", "sx", "sy", ["s_suppkey"], order="s_suppkey")
     return n.select("c_custkey", r6("nearest_dist").alias("dist"), F.col("s_suppkey").alias("site"))
 

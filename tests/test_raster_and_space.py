@@ -141,6 +141,22 @@ def test_nearest_tree_equals_brute_force(spark, clustered):
     assert got.i.tolist() == d.argmin(1).tolist()
 
 
+def test_nearest_of_few_and_of_crowded_points(spark):
+    rng = np.random.default_rng(11)
+    q = np.vstack([rng.uniform(-5, 5, (200, 2)), rng.normal(0, 1e-7, (50, 2)), [[0.0, 0.0], [2.0, 0.5]]])
+    qs = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(q)), "x": q[:, 0], "y": q[:, 1]}))
+    few = np.array([[1.0, 0.0], [3.0, 1.0], [1.0, 0.0], [-4.0, 2.0]])  # a repeated place, and ties between places
+    crowded = np.vstack([rng.normal(0, 1e-7, (3000, 2)), rng.uniform(-5, 5, (20, 2)), np.zeros((500, 2))])
+    for p in (few, crowded):
+        pts = spark.createDataFrame(pd.DataFrame({"px": p[:, 0], "py": p[:, 1], "i": np.arange(len(p))}))
+        got = spatial.nearest_point(qs, pts, "x", "y", "px", "py", ["i"], order="i").orderBy("id").toPandas()
+        d = (q[:, None, 0] - p[None, :, 0]) ** 2 + (q[:, None, 1] - p[None, :, 1]) ** 2
+        np.testing.assert_allclose(got.nearest_dist, np.sqrt(d.min(1)), rtol=1e-9)
+        assert got.i.tolist() == d.argmin(1).tolist()
+    none = spatial.nearest_point(qs, pts.limit(0), "x", "y", "px", "py", ["i"], order="i")
+    assert none.where("nearest_dist IS NULL AND i IS NULL").count() == len(q) and none.columns == ["id", "x", "y", "nearest_dist", "i"]
+
+
 def test_lag_sums_with_repeated_locations(spark):
     rng = np.random.default_rng(2)
     x, y, z = rng.integers(0, 6, 120).astype(float), rng.integers(0, 6, 120).astype(float), rng.normal(size=120)
