@@ -6,7 +6,7 @@ replicate, and only the p x p systems reach Python. Tree models use pyspark.ml,
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -129,6 +129,95 @@ def ridge_predictions(rows: DataFrame, coef: DataFrame, features: Sequence[str],
     return join_on(rows, coef, [*[k for k in keys if k in rows.columns], fold], "left").withColumn("pred", pred).drop("__b")
 
 
+# ---------------------------------------------------------------- experiments
+def experiment_rows(df: DataFrame, features: Sequence[str], schemes: Mapping[str, Column], targets: Mapping[str, Column], domains: Mapping[str, Column],
+                    cell: str, group: Column) -> DataFrame:
+    """Every row once for each scheme and target: `scheme`, `fold`, `target`, `y`, the validation group `part`, its `cell`,
+    the names of its domains `inside`, and the features as `x0`, `x1`, ...; the table's own columns may have any names.
+
+    A scheme gives the fold that predicts the row, -1 for rows that only train, and NULL for rows that it leaves out (the gap
+    of a hold-out). Rows without a target or without one of the features are left out too.
+    """
+    x = [f"x{i}" for i in range(len(features))]
+    known = reduce(lambda a, c: a & F.col(c).isNotNull(), features, F.lit(True))
+    inside = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in domains.items()]))
+    dealt = F.array(*[F.struct(F.lit(n).alias("scheme"), c.cast("int").alias("fold")) for n, c in schemes.items()])
+    asked = F.array(*[F.struct(F.lit(n).alias("target"), c.cast("double").alias("y")) for n, c in targets.items()])
+    fixed = ["cell", "part", "inside", *x]
+    rows = (df.where(known).select(F.col(cell).alias("cell"), group.alias("part"), inside.alias("inside"), *[F.col(c).cast("double").alias(n) for c, n in zip(features, x)],
+                                   asked.alias("t"), F.explode(dealt).alias("s"))
+            .select(*fixed, "s.*", F.explode("t").alias("t")).select(*fixed, "scheme", "fold", "t.*"))
+    return rows.where("fold IS NOT NULL AND y IS NOT NULL")
+
+
+def sliced_models(rows: DataFrame, sets: Mapping[str, Sequence[str]], alphas: Sequence[float] = PENALTIES) -> DataFrame:
+    """(scheme, target, features, fold, __b, alpha): ridge models of all feature sets from one pass of product sums.
+
+    The sums are taken once over every feature of any set; each set, fold and penalty solves its part of them. The penalty
+    is the best over the validation groups within the training rows, which hold whole blocks. Folds and groups are few, so
+    one scheme and target is one short list. A fold without other rows gets no model.
+    """
+    every = list(dict.fromkeys(c for cols in sets.values() for c in cols))
+    p, keys = len(every) + 2, ["scheme", "target"]
+    places = {name: [0, *[1 + every.index(c) for c in cols], p - 1] for name, cols in sets.items()}
+    grid = [float(a) for a in alphas]
+    packed = (fold_sums(rows, every, "y", "fold", [*keys, "part"]).groupBy(*keys)
+              .agg(F.sort_array(F.collect_list(F.struct("fold", "part", "xx"))).alias("sums")))
+    schema = "scheme string, target string, features string, fold int, __b array<double>, alpha double"
+
+    def penalty(train: np.ndarray, groups: Sequence[np.ndarray]) -> float:
+        def error(alpha: float) -> float:
+            total = 0.0
+            for held in groups:
+                rest = train - held
+                if rest[0, 0] >= 2:
+                    b = np.append(_fit_from_sums(rest, rest[0, 0], alpha), -1.0)
+                    total += float(b @ held @ b)
+            return total
+
+        return min(grid, key=error) if len(grid) > 1 else grid[0]
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for rec in pdf.to_dict("records"):
+                sums = [(q["fold"], q["part"], _full(np.asarray(q["xx"], dtype=float), p)) for q in rec["sums"]]
+                for fold in sorted({f for f, _, _ in sums if f >= 0}):
+                    others = [(g, m) for f, g, m in sums if f != fold]
+                    if not others:
+                        continue
+                    train = sum(m for _, m in others)
+                    held = [sum(m for h, m in others if h == g) for g in sorted({g for g, _ in others})]
+                    for name, at in places.items():
+                        cut = np.ix_(at, at)
+                        alpha = penalty(train[cut], [h[cut] for h in held])
+                        b = np.zeros(p - 1)
+                        b[at[:-1]] = _fit_from_sums(train[cut], train[0, 0], alpha)
+                        out.append({"scheme": rec["scheme"], "target": rec["target"], "features": name, "fold": fold, "__b": b.tolist(), "alpha": alpha})
+            yield pd.DataFrame(out, columns=["scheme", "target", "features", "fold", "__b", "alpha"])
+
+    return packed.mapInPandas(solve, schema)
+
+
+def score_table(df: DataFrame, sets: Mapping[str, Sequence[str]], schemes: Mapping[str, Column], targets: Mapping[str, Column], domains: Mapping[str, Column],
+                cell: str, group: Column, ceilings: DataFrame | None = None, alphas: Sequence[float] = PENALTIES) -> DataFrame:
+    """Out-of-fold skill of every feature set for each (scheme, target, domain), all from two passes over the rows.
+
+    `domains` are row conditions under which the predictions are scored; models are fitted on all rows. With `ceilings`
+    (target, domain, ceiling) the table has `ceiling_normalised_r2`, NULL where a ceiling is missing or zero.
+    """
+    every = list(dict.fromkeys(c for cols in sets.values() for c in cols))
+    slots = {c: f"x{i}" for i, c in enumerate(every)}
+    rows = experiment_rows(df, every, schemes, targets, domains, cell, group)
+    fitted = sliced_models(rows, {name: [slots[c] for c in cols] for name, cols in sets.items()}, alphas)
+    pred = ridge_predictions(rows.where("fold >= 0"), fitted, list(slots.values()), "fold", ["scheme", "target"]).where("pred IS NOT NULL")
+    scores = skill_split(pred.withColumn("domain", F.explode("inside")), "cell", "y", "pred", ["scheme", "target", "features", "domain"])
+    if ceilings is None:
+        return scores
+    return (join_on(scores, ceilings.select("target", "domain", "ceiling"), ["target", "domain"], "left")
+            .withColumn("ceiling_normalised_r2", F.try_divide("r2", "ceiling")))
+
+
 # ---------------------------------------------------------------- pyspark.ml estimators
 def estimator(kind: str, trees: int | None = None, seed: int = 42, max_depth: int = 30):
     """Random forest, boosted trees or ridge regression by name."""

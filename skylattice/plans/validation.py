@@ -211,6 +211,58 @@ def _vectors(spark, sf):
     return cols, e.select("vec_id", F.col("label").cast("double").alias("target"), (F.col("vec_id") % 3).cast("int").alias("fold"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
 
 
+# ---------------------------------------------------------------- experiments
+_EXP = """e AS (SELECT cell, season, cell % 25 AS cx, cell // 25 AS cy, q, d, price, CASE WHEN q > 23 THEN tax END AS tax FROM (SELECT l_partkey % 500 AS cell, year(l_shipdate) % 3 AS season, avg(l_quantity) AS q,
+    avg(l_discount) AS d, avg(l_extendedprice) / 1000 AS price, avg(l_tax) * 100 AS tax FROM lineitem GROUP BY ALL)),
+  sc AS (SELECT *, 'blocks' AS scheme, (cx // 5 + 3 * (cy // 4)) % 5 AS fold FROM e UNION ALL SELECT *, 'loso', season FROM e UNION ALL SELECT *, 'zone', CASE WHEN cx < 8 THEN 0 WHEN cx > 10 THEN -1 END FROM e),
+  r AS (SELECT scheme, fold, 'price' AS target, price AS yy, cell, cx, q, d FROM sc WHERE fold IS NOT NULL AND price IS NOT NULL UNION ALL SELECT scheme, fold, 'tax', tax, cell, cx, q, d FROM sc WHERE fold IS NOT NULL AND tax IS NOT NULL),
+  f AS (SELECT DISTINCT scheme, target, fold AS g FROM r WHERE fold >= 0),
+  t AS (SELECT scheme, target, g, count(*) AS n, avg(q) AS m1, avg(d) AS m2, avg(yy) AS my, stddev_pop(q) AS s1, stddev_pop(d) AS s2, covar_pop(q, d) / (stddev_pop(q) * stddev_pop(d)) AS c, covar_pop(q, yy) / stddev_pop(q) AS c1, covar_pop(d, yy) / stddev_pop(d) AS c2
+    FROM f JOIN r USING (scheme, target) WHERE fold <> g GROUP BY ALL),
+  u AS (SELECT *, 1 + 5e0 / n AS w FROM t),
+  k AS (SELECT scheme, target, g, 'AB' AS features, m1, m2, my, (w * c1 - c * c2) / (w * w - c * c) / s1 AS b1, (w * c2 - c * c1) / (w * w - c * c) / s2 AS b2 FROM u UNION ALL SELECT scheme, target, g, 'A', m1, m2, my, c1 / w / s1, 0e0 FROM u),
+  p AS (SELECT scheme, target, features, cell, cx, yy, my + b1 * (q - m1) + b2 * (d - m2) AS pp FROM r JOIN k USING (scheme, target) WHERE fold = g),
+  dm AS (SELECT *, 'all' AS domain FROM p UNION ALL SELECT *, 'core' FROM p WHERE cx BETWEEN 5 AND 15),
+  a AS (SELECT *, avg(yy) OVER z AS my, avg(pp) OVER z AS mp FROM dm WINDOW z AS (PARTITION BY scheme, target, features, domain, cell)),
+  o AS (SELECT scheme, target, features, domain, 1 - sum(pow(yy - pp, 2)) / (var_pop(yy) * count(*)) AS r2, sqrt(avg(pow(yy - pp, 2))) AS rmse, avg(abs(yy - pp)) AS mae, count(*) AS n_rows, 1 - sum(pow((yy - my) - (pp - mp), 2)) / nullif(sum(pow(yy - my, 2)), 0) AS temporal_r2 FROM a GROUP BY ALL),
+  s AS (SELECT scheme, target, features, domain, 1 - sum(pow(my - mp, 2)) / (var_pop(my) * count(*)) AS spatial_r2 FROM (SELECT DISTINCT scheme, target, features, domain, cell, my, mp FROM a) GROUP BY ALL)"""
+
+
+def _experiment(spark, sf):
+    """The scores of two feature sets, three schemes, two targets and two domains, and the rows' noise ceilings."""
+    l = v.table(spark, sf, "lineitem")
+    e = l.groupBy((F.col("l_partkey") % 500).alias("cell"), (F.year("l_shipdate") % 3).alias("season")).agg(
+        F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("d"), (F.avg("l_extendedprice") / 1000).alias("price"), (F.avg("l_tax") * 100).alias("tax"))
+    e = materialise(e.select("*", (F.col("cell") % 25).alias("cx"), F.expr("cell div 25").alias("cy")).withColumn("tax", F.expr("CASE WHEN q > 23 THEN tax END")))
+    block = F.expr("cx div 5 + 3 * (cy div 4)")
+    schemes = {"blocks": block % 5, "loso": F.col("season"), "zone": F.expr("CASE WHEN cx < 8 THEN 0 WHEN cx > 10 THEN -1 END")}
+    targets = {"price": F.col("price"), "tax": F.col("tax")}
+    domains = {"all": F.lit(True), "core": F.col("cx").between(5, 15)}
+    named = e.select("*", F.explode(F.array(*[F.struct(F.lit(n).alias("target"), c.alias("y")) for n, c in targets.items()])).alias("t")).select("cx", "t.*")
+    inside = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in domains.items()]))
+    noise = statistics.label_quality(named.where("y IS NOT NULL").withColumn("domain", F.explode(inside)).withColumn("sd", F.col("y") / 20), "y", "sd", ["target", "domain"])
+    ceilings = noise.select("target", "domain", F.col("noise_ceiling_r2").alias("ceiling"))
+    return models.score_table(e, {"A": ["q"], "AB": ["q", "d"]}, schemes, targets, domains, "cell", block, ceilings, alphas=[5.0])
+
+
+@query(f"""WITH {_EXP}, y AS (SELECT 'price' AS target, cx, price AS v FROM e UNION ALL SELECT 'tax', cx, tax FROM e WHERE tax IS NOT NULL),
+  c AS (SELECT target, domain, 1 - avg(pow(v / 20, 2)) / var_pop(v) AS ceiling FROM (SELECT *, 'all' AS domain FROM y UNION ALL SELECT *, 'core' FROM y WHERE cx BETWEEN 5 AND 15) GROUP BY ALL)
+  SELECT scheme, target, features, domain, round(r2, 6) AS r2, round(rmse, 6) AS rmse, round(mae, 6) AS mae, round(spatial_r2, 6) AS spatial_r2, round(temporal_r2, 6) AS temporal_r2, n_rows,
+    round(ceiling, 6) AS ceiling, round(r2 / ceiling, 6) AS ceiling_normalised_r2 FROM o JOIN s USING (scheme, target, features, domain) JOIN c USING (target, domain)""")
+def score_table(spark, sf):
+    """Skill of each feature set under blocks, left-out seasons and a zone hold-out, by target and domain, against the noise ceiling."""
+    return rnd(_experiment(spark, sf), 6, "r2", "rmse", "mae", "spatial_r2", "temporal_r2", "ceiling", "ceiling_normalised_r2")
+
+
+@query(f"""WITH {_EXP}, x AS (SELECT target, domain, scheme, sum(CASE WHEN features = 'AB' THEN r2 ELSE -r2 END) AS effect FROM o GROUP BY ALL)
+  SELECT x.target, x.domain, x.scheme, round(x.effect, 6) AS effect, sign(x.effect) = sign(b.effect) AS same_sign FROM x LEFT JOIN x b ON b.target = x.target AND b.domain = x.domain AND b.scheme = 'blocks'""")
+def robustness_signs(spark, sf):
+    """The gain of the larger feature set, rerun under every scheme: has it the sign of the primary scheme's gain?"""
+    gain = F.sum(F.when(F.col("features") == "AB", F.col("r2")).otherwise(-F.col("r2")))
+    effects = materialise(_experiment(spark, sf).groupBy("target", "domain", "scheme").agg(gain.alias("effect")).withColumn("test", F.concat_ws(":", "target", "domain")))
+    return rnd(models.sign_agreement(effects, "test", "scheme", "blocks").drop("test"), 6, "effect")
+
+
 @query()
 def oof_forest(spark, sf):
     """Out-of-fold random forest on all entries of the vectors, pooled skill."""

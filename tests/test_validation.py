@@ -245,3 +245,49 @@ def test_append_log_retry_is_harmless(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
     cand = spark.createDataFrame([("g1",), ("g2",), ("g3",)], "granule string")
     assert [r["granule"] for r in ingest.pending(cand, spark.read.parquet(str(tmp_path / "done")), ["granule"]).collect()] == ["g3"]
+
+
+def test_score_table_with_tuned_penalties_equals_separate_fits(spark):
+    rng = np.random.default_rng(3)
+    n = 240
+    t = pd.DataFrame({"cell": np.arange(n) % 60, "a": rng.normal(size=n), "b": rng.normal(size=n), "c": rng.normal(size=n), "block": np.arange(n) % 12})
+    t["fold"], t["zone"] = t.block % 4, np.select([t.block < 3, t.block > 4], [0.0, -1.0], np.nan)
+    t["y"] = 2 * t.a - t.b + rng.normal(size=n)
+    t.loc[::17, "y"] = np.nan
+    clean = t.astype(object).where(t.notna(), None)
+    df = spark.createDataFrame(clean.to_dict("records"), "cell long, a double, b double, c double, block long, fold long, zone double, y double")
+    # names that the result uses, and a row without a feature
+    df = df.withColumns({"target": F.lit("other"), "scheme": F.lit(1), "features": F.lit(2), "x0": F.lit("z"), "domain": F.lit(3), "part": F.lit(4)})
+    df = df.unionByName(df.limit(1).withColumns({"a": F.lit(None).cast("double"), "y": F.lit(1e6)}))
+    sets, grid = {"small": ["a"], "large": ["c", "a", "b"]}, [0.01, 10.0, 300.0]
+    ceilings = spark.createDataFrame([("y", "all", 0.5), ("y", "upper", 0.0)], "target string, domain string, ceiling double")
+    got = models.score_table(df, sets, {"blocks": F.col("fold"), "zone": F.col("zone")}, {"y": F.col("y")}, {"all": F.lit(True), "upper": F.col("cell") >= 30},
+                             "cell", F.col("block") % 3, ceilings, grid).toPandas().set_index(["scheme", "features", "domain"])
+    assert len(got) == 8
+
+    def fit(rows, cols, alpha):
+        x = rows[cols].to_numpy()
+        m, s = x.mean(0), x.std(0)
+        z = (x - m) / s
+        b = np.linalg.solve(z.T @ z + alpha * np.eye(len(cols)), z.T @ (rows.y - rows.y.mean()).to_numpy())
+        return lambda r: rows.y.mean() + ((r[cols].to_numpy() - m) / s) @ b
+
+    known = t[t.y.notna()]
+    for scheme, column in (("blocks", "fold"), ("zone", "zone")):
+        rows = known[known[column].notna()]
+        for name, cols in sets.items():
+            parts = []
+            for f in sorted(x for x in rows[column].unique() if x >= 0):
+                train, test = rows[rows[column] != f], rows[rows[column] == f]
+
+                def error(alpha):
+                    groups = [(train[train.block % 3 != g], train[train.block % 3 == g]) for g in range(3)]
+                    return sum(((fit(rest, cols, alpha)(held) - held.y) ** 2).sum() for rest, held in groups if len(held))
+
+                parts.append(test.assign(p=fit(train, cols, min(grid, key=error))(test)))
+            scored = pd.concat(parts)
+            for domain, part in (("all", scored), ("upper", scored[scored.cell >= 30])):
+                want = 1 - ((part.y - part.p) ** 2).sum() / ((part.y - part.y.mean()) ** 2).sum()
+                row = got.loc[(scheme, name, domain)]
+                assert row.n_rows == len(part) and abs(row.r2 - want) < 1e-9
+                assert abs(row.ceiling_normalised_r2 - want / 0.5) < 1e-9 if domain == "all" else pd.isna(row.ceiling_normalised_r2)
