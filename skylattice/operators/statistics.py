@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -35,10 +35,10 @@ def missing_audit(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             .select("column", "n_missing", (100.0 * F.col("n_missing") / F.col("__n")).alias("pct_missing")))
 
 
-def variance_share(df: DataFrame, cell: str, cols: Sequence[str]) -> DataFrame:
-    """Row-weighted variance of the cell means over total variance (both population); NULL for a constant column.
+def variance_share(df: DataFrame, cell: str, cols: Sequence[str], by_rows: bool = True) -> DataFrame:
+    """Variance of the cell means over total variance (both population); NULL for a constant column.
 
-    Each cell's mean counts once per row of the cell.
+    Each cell's mean counts once per row of the cell or, without `by_rows`, once.
     """
     long = melt(df, [cell], cols).where(F.col("value").isNotNull())
     cells = long.groupBy("column", cell).agg(F.count("*").cast("double").alias("n"), F.avg("value").alias("m"),
@@ -47,7 +47,8 @@ def variance_share(df: DataFrame, cell: str, cols: Sequence[str]) -> DataFrame:
     mean = F.sum(F.col("n") * F.col("m")) / total
     between = F.sum(F.col("n") * F.col("m") * F.col("m")) / total - mean * mean
     within = F.sum(F.col("n") * F.col("v")) / total
-    return cells.groupBy("column").agg(F.when(between + within > 0, between / (between + within)).alias("spatial_share"))
+    top = between if by_rows else F.var_pop("m")
+    return cells.groupBy("column").agg(F.when(between + within > 0, top / (between + within)).alias("spatial_share"))
 
 
 def value_shares(df: DataFrame, col: str) -> DataFrame:
@@ -102,6 +103,20 @@ def spearman_pairs(df: DataFrame, cols: Sequence[str], out: str = "rho", complet
     return both.groupBy("a", "b").agg(F.corr("rx", "ry").alias(out))
 
 
+def source_agreement(df: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """Two sources of the same quantity, one row per name: the median of each and their rank correlation where both are present."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+                                         for n, (a, b) in pairs.items()])).alias("p")).select("p.*")
+    both = long.where("x IS NOT NULL AND y IS NOT NULL")
+    for c in ("x", "y"):
+        both = join_on(both, average_ranks(both, ["name"], c, f"r{c}").drop("n"), ["name", c])
+    out = long.select("name").distinct()
+    for part in (exact_quantiles(long, ["name"], "x", {"median_first": 0.5}), exact_quantiles(long, ["name"], "y", {"median_second": 0.5}),
+                 both.groupBy("name").agg(F.corr("rx", "ry").alias("spearman"))):
+        out = join_on(out, part, ["name"], "left")
+    return out.select("name", "median_first", "median_second", "spearman")
+
+
 def strong_pairs(corr: DataFrame, value: str = "rho", at_least: float = 0.8) -> DataFrame:
     return corr.where(F.abs(value) >= at_least)
 
@@ -177,5 +192,5 @@ def root_sum_square(budget: DataFrame, sigma: str, keys: Sequence[str] = ()) ->
 
 
 __all__ = ["between_within", "group_anomaly", "histogram", "inverse_variance", "label_quality", "melt", "missing_audit",
-           "pair_correlations", "ranked", "root_sum_square", "skill", "skill_split", "spearman_pairs", "strong_pairs",
+           "pair_correlations", "ranked", "root_sum_square", "skill", "skill_split", "source_agreement", "spearman_pairs", "strong_pairs",
            "summary", "value_shares", "variance_share"]

@@ -89,10 +89,13 @@ def sector_mixing(spark, sf):
     return rnd(rnd(m, 6, "t_high", "t_low", "inventory_share_high"), 4, "q_high", "q_low", "alpha", "share_high", "mixed_ratio")
 
 
-@query(f"""WITH {v.INV}, {_FRAC}, {_SEC}, s AS (SELECT sector, den / sum(den) OVER () AS sh, coalesce(tr, 0) AS cr, num / den AS q FROM s1 WHERE den > 1),
+_SPLIT = f"""WITH {v.INV}, {_FRAC}, {_SEC}, s AS (SELECT sector, den / sum(den) OVER () AS sh, coalesce(tr, 0) AS cr, num / den AS q FROM s1 WHERE den > 1),
   p AS (SELECT * FROM (VALUES ('LARGE', 'SMALL'), ('PROMO', 'ECONOMY')) x(a, b), (VALUES (1.78e0), (1.8e0)) y(target)),
   c AS (SELECT p.a, p.b, p.target, sa.sh + sb.sh AS pool, sa.sh AS sha, sa.cr AS ca, sb.cr AS cb, sa.q AS qa, sb.q AS qb, (SELECT sum(sh * cr) FROM s WHERE sector NOT IN (p.a, p.b)) AS fc, (SELECT sum(sh * q) FROM s WHERE sector NOT IN (p.a, p.b)) AS fq
-    FROM p JOIN s sa ON sa.sector = p.a JOIN s sb ON sb.sector = p.b), d AS (SELECT *, ((target - fc) / pool - cb) / nullif(ca - cb, 0) AS f FROM c)
+    FROM p JOIN s sa ON sa.sector = p.a JOIN s sb ON sb.sector = p.b), d AS (SELECT *, ((target - fc) / pool - cb) / nullif(ca - cb, 0) AS f FROM c)"""
+
+
+@query(f"""{_SPLIT}
   SELECT a, b, target, round(f, 3) AS fraction_a, f BETWEEN 0 AND 1 AS feasible, round(sha / pool, 6) AS inventory_fraction_a, round(fq + pool * (greatest(0, least(1, f)) * qa + (1 - greatest(0, least(1, f))) * qb), 4) AS ratio FROM d""")
 def pair_resplit(spark, sf):
     """Scenario table of re-split sector pairs with feasibility."""
@@ -100,6 +103,14 @@ def pair_resplit(spark, sf):
     return rnd(rnd(rnd(p, 3, "fraction_a"), 6, "inventory_fraction_a"), 4, "ratio")
 
 
+@query(f"""{_SPLIT}, x AS (SELECT f, fq + pool * (f * qa + (1 - f) * qb) AS ratio FROM d WHERE f BETWEEN 0 AND 1)
+  SELECT round(min(ratio), 4) AS ratio_lo, round(max(ratio), 4) AS ratio_hi, round(avg(ratio), 4) AS ratio_mean, count(*) AS n_feasible FROM x""")
+def feasible_ratio_range(spark, sf):
+    """Range and mean of the ratio over all feasible re-splits, pooled over pairs and targets."""
+    p = inventory.pair_resplit(sectors(spark, sf), [("LARGE", "SMALL"), ("PROMO", "ECONOMY")], [1.78, 1.8])
+    return rnd(inventory.feasible_range(p), 4, "ratio_lo", "ratio_hi", "ratio_mean")
+
+
 @query(f"""WITH {v.CELLS}, z AS (SELECT klass AS zone, size, label FROM cells), t AS (SELECT zone, sum(label) AS total FROM z GROUP BY 1 UNION ALL SELECT 'city', sum(label) FROM z)
   SELECT zone, round(total, 2) AS total, round(total / (SELECT total FROM t WHERE zone = 'city'), 8) AS share, round(2.79e0 * total / (SELECT total FROM t WHERE zone = 'city'), 8) AS zone_rate FROM t""")
 def zone_shares(spark, sf):

@@ -50,6 +50,25 @@ def variance_share(spark, sf):
     return rnd(statistics.variance_share(l, "l_partkey", ["l_quantity", "l_extendedprice", "constant"]), 6, "spatial_share")
 
 
+@query("""WITH m AS (SELECT l_partkey, avg(l_quantity) AS a, avg(l_extendedprice) AS b FROM lineitem GROUP BY 1)
+  SELECT 'l_quantity' AS "column", round(var_pop(a) / (SELECT var_pop(l_quantity) FROM lineitem), 6) AS spatial_share FROM m UNION ALL SELECT 'l_extendedprice', round(var_pop(b) / (SELECT var_pop(l_extendedprice) FROM lineitem), 6) FROM m""")
+def variance_share_cells(spark, sf):
+    """Share of the variance that lies between cells, where every cell counts once."""
+    return rnd(statistics.variance_share(v.table(spark, sf, "lineitem"), "l_partkey", ["l_quantity", "l_extendedprice"], by_rows=False), 6, "spatial_share")
+
+
+@query("""WITH l AS (SELECT 'quantity' AS name, l_quantity AS x, CASE WHEN l_tax > 0.01 THEN l_extendedprice / 1000 END AS y FROM lineitem UNION ALL SELECT 'days', date_diff('day', o_orderdate, l_shipdate), date_diff('day', o_orderdate, l_shipdate) + l_discount * 100 FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  r AS (SELECT name, rank() OVER (PARTITION BY name ORDER BY x) + (count(*) OVER (PARTITION BY name, x) - 1) / 2e0 AS rx, rank() OVER (PARTITION BY name ORDER BY y) + (count(*) OVER (PARTITION BY name, y) - 1) / 2e0 AS ry FROM l WHERE x IS NOT NULL AND y IS NOT NULL),
+  c AS (SELECT name, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY 1)
+  SELECT name, round(quantile_cont(x, 0.5), 6) AS median_first, round(quantile_cont(y, 0.5), 6) AS median_second, any_value(spearman) AS spearman FROM l JOIN c USING (name) GROUP BY 1""")
+def source_agreement(spark, sf):
+    """Two sources of each quantity: medians and rank correlation."""
+    l, o = v.table(spark, sf, "lineitem"), v.table(spark, sf, "orders")
+    d = l.join(o, l.l_orderkey == o.o_orderkey).withColumn("lag", F.date_diff("l_shipdate", "o_orderdate"))
+    d = d.withColumns({"price": F.when(F.col("l_tax") > 0.01, F.col("l_extendedprice") / 1000), "lag2": F.col("lag") + F.col("l_discount") * 100})
+    return rnd(statistics.source_agreement(d, {"quantity": ("l_quantity", "price"), "days": ("lag", "lag2")}), 6, "median_first", "median_second", "spearman")
+
+
 @query("""WITH b AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem)
   SELECT CAST(least(floor((l_extendedprice - lo) * 40 / (hi - lo)), 39) AS INTEGER) AS bin, round(any_value(lo + (hi - lo) * least(floor((l_extendedprice - lo) * 40 / (hi - lo)), 39) / 40), 6) AS left_edge, count(*) AS n FROM lineitem, b GROUP BY 1""")
 def histogram_40(spark, sf):
