@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.operators.sizing import join_on
+from skylattice.operators.sizing import join_on, join_rows
 from skylattice.operators.spatial import lag_sums
 
 
@@ -74,7 +74,7 @@ def block_size(vario: DataFrame, variance: DataFrame, min_km: int = 5) -> DataFr
 def error_field(replicates: DataFrame, cell: Sequence[str], value: str) -> DataFrame:
     """Replicate minus main map (rep 0) at each cell."""
     main = replicates.where(F.col("rep") == 0).select(*cell, F.col(value).alias("__main"))
-    return (join_on(replicates.where(F.col("rep") > 0), main, list(cell))
+    return (join_rows(replicates.where(F.col("rep") > 0), main, list(cell))
             .withColumn("error", F.col(value) - F.col("__main")).drop("__main"))
 
 

@@ -22,3 +22,15 @@ def test_rank_correlations_join_without_broadcasts(cells):
     assert broadcasts(rho) == 0
     want = cells.select("a", "b", "x").toPandas().corr("spearman")
     assert all(abs(r["rho"] - want.loc[r["a"], r["b"]]) < 1e-12 for r in rho.collect())
+
+
+def test_error_fields_join_without_broadcasts(spark, cells):
+    spec = GridSpec(19.0, 73.0, 1.0, 4, 4)
+    raster = spark.range(16).select(F.expr("cast(id div 4 as int)").alias("iy"), (F.col("id") % 4).cast("int").alias("ix"), (F.col("id") * 1.0).alias("v"))
+    raster = raster.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    points = cells.select("cell_id", (19.0 - F.col("y") / 10).alias("lat"), (73.0 + F.col("x") / 10).alias("lon"))
+    s = sampling.bilinear_sample(points, raster, spec, "v", ["cell_id"], ["rep"])
+    assert broadcasts(s) == 0 and s.count() == 1600
+    err = variogram.error_field(s, ["cell_id"], "sampled")
+    assert broadcasts(err) == 0
+    assert broadcasts(variogram.semivariogram(cells, "a", 5.0)) == 0
