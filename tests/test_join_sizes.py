@@ -34,3 +34,11 @@ def test_error_fields_join_without_broadcasts(spark, cells):
     err = variogram.error_field(s, ["cell_id"], "sampled")
     assert broadcasts(err) == 0
     assert broadcasts(variogram.semivariogram(cells, "a", 5.0)) == 0
+
+
+def test_copies_are_numbered_without_broadcasts(cells):
+    copies = cells.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(9))))
+    placed = quantiles.position_within(copies, ["rep", "fold"], F.md5(F.concat_ws(":", "rep", "cell_id")), "cell_id", "p")
+    assert broadcasts(placed) == 0
+    per_group = placed.groupBy("rep", "fold").agg(F.sort_array(F.collect_list("p")).alias("p")).collect()
+    assert all(r["p"] == list(range(80)) for r in per_group)
