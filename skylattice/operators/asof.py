@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions.calendar import epoch_micros
-from skylattice.operators.sizing import join_on
+from skylattice.operators.sizing import join_on, join_rows
 
 
 def _micros_col(df: DataFrame, ts: str):
@@ -66,7 +66,7 @@ def asof_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, by
     times = r.unionByName(asks).groupBy(*by, "__k").agg(F.max_by("__m", F.when(~F.col("__ask"), F.col("__o"))).alias("__m"), F.any_value("__m", ignoreNulls=True).alias("__any"), F.max("__ask").alias("__ask"))
     # rows whose order is NULL count only where no other is there
     times = times.withColumn("__m", F.coalesce("__m", "__any")).drop("__any")
-    found = join_on(times.where("__ask").select(*by, "__k", "__m"), _carried(times.select(*by, "__k", F.col("__m").alias("__first"), F.col("__m").alias("__last")), by), [*by, "__k"])
+    found = join_rows(times.where("__ask").select(*by, "__k", "__m"), _carried(times.select(*by, "__k", F.col("__m").alias("__first"), F.col("__m").alias("__last")), by), [*by, "__k"])
     before, after = F.coalesce("__m", "__prev"), F.coalesce("__m", "__next")
     if direction == "backward":
         pick = before
@@ -77,7 +77,7 @@ def asof_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, by
     found = found.select(*by, F.col("__k").alias("__t"), pick.alias("__pick"))
     if tolerance_s is not None:
         found = found.withColumn("__pick", F.when(F.abs(F.col("__t") - F.col("__pick")["t"]) <= int(round(tolerance_s * 1e6)), F.col("__pick")))
-    out = join_on(left.withColumn("__t", _micros_col(left, left_ts)), found, [*by, "__t"], "left")
+    out = join_rows(left.withColumn("__t", _micros_col(left, left_ts)), found, [*by, "__t"], "left")
     return out.select(*[F.col(c) for c in left.columns], *[F.col("__pick")["p"][c].alias(c) for c in right_cols])
 
 

@@ -46,7 +46,7 @@ def decreasing_blocks(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
     number, still, shift = blocks.count(), 0, 0
     while number > 1 and still < 2:
         ranks = average_ranks(blocks, [], "x_low", "__rank").select("x_low", "__rank")
-        tagged = blocks.join(ranks, "x_low").withColumn("__chunk", F.floor((F.col("__rank") - 1 + shift) / chunk))
+        tagged = blocks.hint("merge").join(ranks, "x_low").withColumn("__chunk", F.floor((F.col("__rank") - 1 + shift) / chunk))
         blocks = materialise(tagged.drop("__rank").groupBy("__chunk").applyInPandas(_pool_chunk, "x_low double, x_high double, weight double, y double"))
         # a single chunk needs no second look
         whole = number <= chunk and not shift
@@ -68,7 +68,7 @@ def decreasing_fit(df: DataFrame, y: str, x: str, train: Column, out: str, chunk
     ends = blocks.select("y", F.explode(F.array_distinct(F.array("x_low", "x_high"))).alias("x"))
     # ranks of all values are whole numbers in the order of x, which the as-of joins need
     ranks = average_ranks(df.select(number.alias("x")).distinct(), [], "x", "__rank").select("x", F.col("__rank").cast("long").alias("__rank"))
-    ends = materialise(ends.join(ranks, "x").select(F.col("__rank").alias("__end"), F.col("x").alias("__x"), F.col("y").alias("__y")))
+    ends = materialise(ends.hint("merge").join(ranks, "x").select(F.col("__rank").alias("__end"), F.col("x").alias("__x"), F.col("y").alias("__y")))
     values = materialise(ranks)
     for side, direction in (("before", "backward"), ("after", "forward")):
         near = ends.select("__end", F.struct("__x", "__y").alias(side))
@@ -76,4 +76,4 @@ def decreasing_fit(df: DataFrame, y: str, x: str, train: Column, out: str, chunk
     share = (F.col("x") - F.col("before.__x")) / F.nullif(F.col("after.__x") - F.col("before.__x"), F.lit(0.0))
     between = F.col("before.__y") + (F.col("after.__y") - F.col("before.__y")) * F.coalesce(share, F.lit(0.0))
     fit = values.select(F.col("x").alias("__x"), F.coalesce(between, "before.__y", "after.__y").alias(out))
-    return df.join(fit, number == F.col("__x"), "left").drop("__x")
+    return df.hint("merge").join(fit, number == F.col("__x"), "left").drop("__x")

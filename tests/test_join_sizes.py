@@ -42,3 +42,8 @@ def test_copies_are_numbered_without_broadcasts(cells):
     assert broadcasts(placed) == 0
     per_group = placed.groupBy("rep", "fold").agg(F.sort_array(F.collect_list("p")).alias("p")).collect()
     assert all(r["p"] == list(range(80)) for r in per_group)
+
+
+def test_isotonic_fits_join_without_broadcasts(cells):
+    fit = isotonic.decreasing_fit(cells, "a", "x", F.col("fold") != 0, "fit")
+    assert "BroadcastHashJoin" not in fit._jdf.queryExecution().executedPlan().toString().split("Union")[0]
