@@ -47,3 +47,9 @@ def test_copies_are_numbered_without_broadcasts(cells):
 def test_isotonic_fits_join_without_broadcasts(cells):
     fit = isotonic.decreasing_fit(cells, "a", "x", F.col("fold") != 0, "fit")
     assert "BroadcastHashJoin" not in fit._jdf.queryExecution().executedPlan().toString().split("Union")[0]
+
+
+def test_shuffled_tables_join_without_broadcasts(cells):
+    assert broadcasts(models.row_shuffles(cells, ["a"], "cell_id", ["fold"], 3, 1)) == 0
+    mapping = cells.select(F.lit(1).alias("rep"), "cell_id", F.col("cell_id").alias("src"))
+    assert broadcasts(models.remap_group(cells, mapping, ["a"], ["cell_id"], ["src"])) == 0
