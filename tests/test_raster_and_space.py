@@ -247,3 +247,18 @@ def test_zones_named_by_a_column(spark):
     df = spark.createDataFrame([("p", 1.0), ("q", 2.0), (None, 4.0)], "zone_name string, v double")
     got = spatial.zone_totals(df, {"all": F.lit(True)}, F.col("v"), names=[F.col("zone_name")]).collect()
     assert {r["zone"]: r["total"] for r in got} == {"all": 7.0, "p": 1.0, "q": 2.0}
+
+
+def test_bilinear_neither_explodes_nor_aggregates_the_points(spark):
+    pts = spark.createDataFrame([(1, 9.5, 0.5)], "p int, lat double, lon double")
+    s = sampling.bilinear_sample(pts, grid(spark, np.arange(30, dtype=float).reshape(5, 6)), SPEC, "z", ["p"])
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan
+
+
+def test_polygon_touching_a_corner_of_the_box_meets_it(spark):
+    p = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    touching = F.array(p(23.0, 19.0), p(21.0, 21.0), p(19.0, 19.0), p(21.0, 17.0))
+    apart = F.array(p(23.25, 19.0), p(21.25, 21.0), p(19.25, 19.0), p(21.25, 17.0))
+    d = spark.range(1).select(touching.alias("a"), apart.alias("b"))
+    assert tuple(d.select(*[spatial.polygon_meets_box(c, 10.0, 20.0, 10.0, 18.0) for c in "ab"]).first()) == (True, False)
