@@ -32,7 +32,7 @@ def share_density(maps: DataFrame, totals: DataFrame, spec: GridSpec, cells: Dat
     keys = list(keys)
     s = smoothed_samples(maps, spec, cells, cell_id, smoothing_px, keys)
     if keys:
-        s = join_on(s, totals.select(*keys, "total"), keys)
+        s = join_on(s, F.broadcast(totals.select(*keys, "total")), keys)  # one row for each map
     else:
         s = s.withColumn("__k", F.lit(0)).join(F.broadcast(totals.select("total").withColumn("__k", F.lit(0))), "__k").drop("__k")
     return s.withColumn("density", F.try_divide(F.col("sampled") * molar_mass, F.col("total"))).drop("sampled", "total")
