@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skylattice.operators.materialise import task_slots
 from skylattice.operators.raster import densify, gradient, pixel_area_m2, spacing_m
 from skylattice.operators.sizing import join_on
 from skylattice.settings import MOLAR_MASS_NO2, GridSpec
@@ -18,7 +19,11 @@ from skylattice.settings import MOLAR_MASS_NO2, GridSpec
 
 def mean_flux(cube: DataFrame, wind: DataFrame, weights: DataFrame | None = None, keys: Sequence[str] = (),
               value: str = "value") -> DataFrame:
-    """(keys, iy, ix, fx, fy, vbar): weighted means of V*u, V*v and V over the valid overpasses."""
+    """(keys, iy, ix, fx, fy, vbar): weighted means of V*u, V*v and V over the valid overpasses.
+
+    The rows of a pixel meet before replicates multiply them, and stay together: a replicate's sums need no further shuffle.
+    The weights go to every task as one list for each overpass.
+    """
     keys = list(keys)
     # several observations of a pixel in one overpass collapse before replicates multiply the rows
     part = (cube.where(F.col(value).isNotNull()).groupBy("overpass", "iy", "ix")
@@ -26,7 +31,9 @@ def mean_flux(cube: DataFrame, wind: DataFrame, weights: DataFrame | None = None
     if weights is None:
         part = part.withColumn("w", F.lit(1.0))
     else:
-        part = part.join(weights.select(*keys, "overpass", "w"), "overpass")
+        lists = weights.groupBy("overpass").agg(F.collect_list(F.struct(*keys, "w")).alias("__w"))
+        part = part.repartition(task_slots(cube.sparkSession), "iy", "ix").join(F.broadcast(lists), "overpass")
+        part = part.select("overpass", "iy", "ix", "sv", "n", "u", "v", F.explode("__w").alias("__w")).select("*", "__w.*").drop("__w")
     den = F.sum(F.col("w") * F.col("n"))
     num = lambda c: F.sum(F.col("w") * F.col("sv") * c)
     return part.groupBy(*keys, "iy", "ix").agg(F.try_divide(num(F.col("u")), den).alias("fx"),

@@ -129,3 +129,12 @@ def test_exponential_variogram_is_recovered(spark):
     b = variogram.block_size(v, spark.createDataFrame([(3.0,)], "sill0 double")).first()
     assert (b["nugget"], b["sill"], b["range_km"]) == (pytest.approx(0.6, rel=1e-6), pytest.approx(2.4, rel=1e-6), 12.0)
     assert b["first_reach_km"] == h[g >= 2.85][0] and b["block_km"] == np.ceil(max(12.0, b["first_reach_km"]))
+
+
+def test_replicates_of_a_mean_flux_are_not_shuffled(spark):
+    cube = spark.createDataFrame([(1, 0, 0, 2.0), (2, 0, 0, 4.0), (2, 0, 1, 1.0)], "overpass int, iy int, ix int, value double")
+    wind = spark.createDataFrame([(1, 1.0, 0.0), (2, 1.0, 0.0)], "overpass int, u double, v double")
+    w = spark.createDataFrame([(0, 1, 1.0), (0, 2, 1.0), (1, 2, 2.0)], "rep int, overpass int, w double")
+    f = flux.mean_flux(cube, wind, w, ["rep"])
+    assert "hashpartitioning(rep" not in f._jdf.queryExecution().executedPlan().toString()
+    assert {(r["rep"], r["ix"]): r["fx"] for r in f.collect()} == {(0, 0): 3.0, (0, 1): 1.0, (1, 0): 4.0, (1, 1): 1.0}
