@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from skylattice.llm.words import Words, gram_hashes, mixed, pieces, segment_sums, split_words
 
 BUCKETS = 1 << 16
-#: Labelled rows used as the trusted target; of more, those with the smallest hashes of their ids.
+#: Trusted ids that every task holds; all of them count in any case.
 TRUSTED_LIMIT = 100_000
 #: Nats per gram below which a text is rejected.
 MIN_SCORE = -0.2
@@ -64,27 +64,32 @@ def _grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return joined[valid], kept[2 * starts]
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED_LIMIT) -> np.ndarray:
-    """Ids that are labelled good and never bad or toxic; at most `limit`, chosen by the hash of the id."""
-    good = (labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
-            .where("q = 1 AND coalesce(t, 0) = 0").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
-    return np.sort(np.array([r[0] for r in good.collect()], np.int64))
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids (doc_id) that are labelled good and never bad or toxic."""
+    return (labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
+            .where("q = 1 AND coalesce(t, 0) = 0").select("doc_id"))
 
 
-def gram_counts(docs: DataFrame, trusted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of each bucket in the trusted texts and in all texts; the result has BUCKETS rows whatever the corpus."""
+def gram_counts(docs: DataFrame, trusted: DataFrame, few: int = TRUSTED_LIMIT) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of each bucket in the trusted texts and in all texts; the result has BUCKETS rows whatever the corpus.
+
+    Up to `few` trusted ids are held by every task; more meet the texts by sort and merge.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, raw = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for piece in pieces(batches, "text"):
             grams, starts = _grams(split_words(piece.column(1)))
             raw += np.bincount(grams, minlength=BUCKETS)
-            known = pc.is_in(piece.column(0), value_set=pa.array(trusted)).to_numpy(zero_copy_only=False)
+            known = pc.is_valid(piece.column(0)).to_numpy(zero_copy_only=False)
             target += np.bincount(grams[np.repeat(known, np.diff(starts))], minlength=BUCKETS)
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(target[used]), pa.array(raw[used])], ["bucket", "target", "raw"])
 
-    parts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(count, "bucket int, target long, raw long")
+    texts, good = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), trusted.withColumn("good", F.lit(True))
+    held = trusted.limit(few + 1).count() <= few
+    marked = (texts.join(F.broadcast(good), "doc_id", "left") if held else texts.hint("merge").join(good, "doc_id", "left")).select("good", "text")
+    parts = marked.mapInArrow(count, "bucket int, target long, raw long")
     target, raw = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for r in parts.groupBy("bucket").agg(F.sum("target"), F.sum("raw")).collect():
         target[r[0]], raw[r[0]] = r[1], r[2]

@@ -292,3 +292,16 @@ def test_one_of_each_with_clashing_names(spark):
     table = spark.createDataFrame([(d, t, 1, 2, 3, 4, 5, 6) for d, t in rows_], "doc_id long, text string, single int, wkey int, wid int, __class int, __KEEP int, tkey int")
     kept = similarity_join.one_of_each(table)
     assert kept.columns == table.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "None"]
+
+
+def test_every_trusted_text_counts_however_many_there_are(spark):
+    from skylattice.llm import quality
+
+    docs = spark.createDataFrame([(i, f"word{i} and more words of text {i}") for i in range(6)] + [(None, "no id here")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i != 4), int(i == 5)) for i in range(6)], "doc_id long, quality int, toxic int")
+    trusted = quality.trusted_ids(labels)
+    assert sorted(r[0] for r in trusted.collect()) == [0, 1, 2, 3]
+    whole, raw = quality.gram_counts(docs, trusted)
+    target, again = quality.gram_counts(docs, trusted, few=1)
+    kept = quality.gram_counts(docs.where("doc_id < 4"), trusted)[1]
+    assert (whole == target).all() and (raw == again).all() and (whole == kept).all()
