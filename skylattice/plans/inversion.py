@@ -454,8 +454,7 @@ def soundings(spark, sf):
                  geo.offset_north_km("lat", F.lit(v.SOURCE[0])).alias("y"), F.col("value").alias("xco2"), (1 + F.col("cloud")).alias("unc"), "u", "v", F.lit(95000.0).alias("psurf"))
     k = F.col("s_suppkey")
     em = v.table(spark, sf, "supplier").select((k * 3 % 21 - 10.0).alias("x"), (k * 7 % 17 - 8.0).alias("y"), (F.greatest("s_acctbal", F.lit(0.0)) / 10).alias("rate"))
-    # positions cover at most 220 km, the reach of the binned join
-    return regression.predicted_enhancement(s, em, ["event_id"], reach_km=300.0, bin_km=100.0)
+    return regression.predicted_enhancement(s, em, ["event_id"])
 
 
 @query(f"WITH {v.OBS}, {v.WIND}, {_SND} SELECT event_id, round(pred, 3) AS pred_ppm FROM pd")

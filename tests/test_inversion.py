@@ -138,3 +138,17 @@ def test_replicates_of_a_mean_flux_are_not_shuffled(spark):
     f = flux.mean_flux(cube, wind, w, ["rep"])
     assert "hashpartitioning(rep" not in f._jdf.queryExecution().executedPlan().toString()
     assert {(r["rep"], r["ix"]): r["fx"] for r in f.collect()} == {(0, 0): 3.0, (0, 1): 1.0, (1, 0): 4.0, (1, 1): 1.0}
+
+
+def test_far_emitters_count(spark):
+    """An emitter upwind of a sounding counts at any distance."""
+    s = spark.createDataFrame([(1, 10.0, 0.0), (2, 2000.0, 5.0), (3, -50.0, 0.0)], "id int, x double, y double").selectExpr("*", "3D AS u", "0D AS v", "95000D AS psurf")
+    em = spark.createDataFrame([(0.0, 0.0, 100.0), (0.0, 0.0, 50.0)], "x double, y double, rate double")
+    got = {r["id"]: r["pred_ppm"] for r in regression.predicted_enhancement(s, em, ["id"]).collect()}
+
+    def column(x, y):
+        sigma = np.sqrt(4 + (0.15 * x) ** 2) * 1000
+        return 150 / (3 * np.sqrt(2 * np.pi) * sigma) * np.exp(-0.5 * (y * 1000 / sigma) ** 2)
+
+    assert got[2] > 0 and got[3] == 0
+    assert got[2] / got[1] == pytest.approx(column(2000, 5) / column(10, 0), rel=1e-9)
