@@ -262,3 +262,11 @@ def test_polygon_touching_a_corner_of_the_box_meets_it(spark):
     apart = F.array(p(23.25, 19.0), p(21.25, 21.0), p(19.25, 19.0), p(21.25, 17.0))
     d = spark.range(1).select(touching.alias("a"), apart.alias("b"))
     assert tuple(d.select(*[spatial.polygon_meets_box(c, 10.0, 20.0, 10.0, 18.0) for c in "ab"]).first()) == (True, False)
+
+
+def test_point_beside_a_tip_is_outside(spark):
+    """The left tip is at 3.9000000000000004, where the interpolated crossing rounds to 3.9."""
+    ring = [(10.9, 15.6), (7.4, 18.6), (7.4 - 3.5, 15.6), (7.4, 12.6)]
+    areas = spark.createDataFrame([(1, [[{"x": x, "y": y} for x, y in ring]])], "a int, rings array<array<struct<x: double, y: double>>>")
+    points = spark.createDataFrame([(1, 3.9, 15.6), (2, 4.0, 15.6), (3, 10.9, 15.6)], "p int, x double, y double")
+    assert [tuple(r) for r in covering.points_in_areas(points, areas, "rings", 1.0, ["p"], ["a"]).collect()] == [(2, 1)]
