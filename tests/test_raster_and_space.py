@@ -270,3 +270,14 @@ def test_point_beside_a_tip_is_outside(spark):
     areas = spark.createDataFrame([(1, [[{"x": x, "y": y} for x, y in ring]])], "a int, rings array<array<struct<x: double, y: double>>>")
     points = spark.createDataFrame([(1, 3.9, 15.6), (2, 4.0, 15.6), (3, 10.9, 15.6)], "p int, x double, y double")
     assert [tuple(r) for r in covering.points_in_areas(points, areas, "rings", 1.0, ["p"], ["a"]).collect()] == [(2, 1)]
+
+
+def test_crowded_block_is_met_in_squares(spark, monkeypatch):
+    """A block with many points and areas is dealt to several tasks, and every pair is found once."""
+    monkeypatch.setattr(covering, "SIDE", 10)
+    points = spark.range(70).selectExpr("id AS p", "5D + (id % 10) / 20D AS x", "5.25D AS y")
+    areas = spark.range(45).selectExpr("id AS a", "array(array(named_struct('x', 4.9D, 'y', 4.9D), named_struct('x', 5.22D, 'y', 4.9D), named_struct('x', 5.22D, 'y', 5.9D), named_struct('x', 4.9D, 'y', 5.9D))) AS rings")
+    o = covering.points_in_areas(points, areas, "rings", 1.0, ["p"], ["a"])
+    rows = [tuple(r) for r in o.collect()]
+    assert len(rows) == len(set(rows)) == 35 * 45
+    assert o.rdd.getNumPartitions() > 30 and max(o.rdd.glom().map(len).collect()) < 35 * 45 / 4
