@@ -281,3 +281,17 @@ def test_crowded_block_is_met_in_squares(spark, monkeypatch):
     rows = [tuple(r) for r in o.collect()]
     assert len(rows) == len(set(rows)) == 35 * 45
     assert o.rdd.getNumPartitions() > 30 and max(o.rdd.glom().map(len).collect()) < 35 * 45 / 4
+
+
+def test_points_off_the_lattice_take_its_border_without_a_search(spark, monkeypatch):
+    searched = []
+    search = spatial.nearest_point
+    monkeypatch.setattr(spatial, "nearest_point", lambda df, *a, **k: searched.append(df.count()) or search(df, *a, **k))
+    c = spark.range(60).selectExpr("id AS cell", "id % 10 + 0.5D AS x", "id div 10 + 0.5D AS y")
+    p = spark.range(400).selectExpr("id AS p", "(id * 37 % 101) / 3.7D - 9.03D AS px", "(id * 53 % 97) / 4.1D - 8.07D AS py")
+    for cells, most in ((c, 0), (c.where("cell NOT IN (0, 59, 25)"), 150)):
+        at = [(r["cell"], r["x"], r["y"]) for r in cells.collect()]
+        got = spatial.nearest_on_lattice(p, cells, 1.0, "px", "py", "cell").collect()
+        assert len(got) == 400 and searched[-1] <= most
+        for r in got:
+            assert r["src_cell"] == min(((x - r["px"]) ** 2 + (y - r["py"]) ** 2, k) for k, x, y in at)[1]
