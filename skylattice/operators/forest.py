@@ -15,7 +15,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice.operators.materialise import materialise, task_slots
@@ -24,8 +24,8 @@ from skylattice.operators.materialise import materialise, task_slots
 BINS, LEAST = 32, 5
 #: Training rows, and bytes of their bins, of a node that one task grows; larger ones are split by all tasks.
 ROWS, BYTES = 1 << 18, 1 << 24
-#: Cells of the histograms that a task sums at once.
-CELLS = 1 << 20
+#: Cells of the histograms that a task sums at once, and entries that it counts at once.
+CELLS, COUNTED = 1 << 20, 1 << 16
 
 #: Shares of Poisson(1) numbers up to 0, 1, 2, ...
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.array([1, *range(1, 16)], float)))
@@ -40,27 +40,40 @@ def _weights(h: np.ndarray, seed: int, tree: int) -> np.ndarray:
 
 
 def _histograms(x: np.ndarray, y: np.ndarray, w: np.ndarray, at: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and weighted labels by (node, picked feature, bin); `at` is each row's node."""
+    """Weights and weighted labels by (picked feature, node, bin); `at` is each row's node. Some features at a time, so that
+    what is counted stays in the processor's cache."""
     k, m = picks.shape
-    n, s = np.zeros((k, m, BINS)), np.zeros((k, m, BINS))
-    every = np.arange(len(at))
-    for j in range(m):
-        cell = at * BINS + x[every, picks[at, j]]
-        n[:, j] = np.bincount(cell, w, k * BINS).reshape(k, BINS)
-        s[:, j] = np.bincount(cell, w * y, k * BINS).reshape(k, BINS)
+    n, s = np.empty((m, k, BINS)), np.empty((m, k, BINS))
+    entries, row, wy = x.ravel(), np.arange(len(at)) * x.shape[1], w * y
+    step = max(1, COUNTED // max(len(at), 1))
+    for a in range(0, m, step):
+        some = picks.T[a : a + step]
+        cell = some.take(at, 1)
+        cell += row
+        cell = entries.take(cell) + (np.arange(len(some))[:, None] * (k * BINS) + at * BINS)
+        cell = cell.ravel()
+        for into, v in ((n, w), (s, wy)):
+            into[a : a + step] = np.bincount(cell, np.tile(v, len(some)), len(some) * k * BINS).reshape(-1, k, BINS)
     return n, s
 
 
 def _best(n: np.ndarray, s: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each node the place of the picked feature that lowers the variance most (-1: none does), and its last bin to the left."""
-    left, sums = np.cumsum(n, 2), np.cumsum(s, 2)
-    all_n, all_s = left[:, :, -1:], sums[:, :, -1:]
-    right = all_n - left
-    fits = (left >= LEAST) & (right >= LEAST)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.where(fits, sums**2 / left + (all_s - sums) ** 2 / right - all_s**2 / all_n, -np.inf).reshape(len(n), -1)
-    best = gain.argmax(1)
-    return np.where(gain[np.arange(len(n)), best] > noise, best // BINS, -1), best % BINS
+    """For each node the place of the picked feature that lowers the variance most (-1: none does), and its last bin to the left.
+
+    The labels' sums `s` are of labels less their node's mean.
+    """
+    left, gain = np.cumsum(n, 2), np.cumsum(s, 2)
+    count = left[0, :, -1].copy()
+    right = left[:, :, -1:] - left
+    gain *= gain
+    few = np.minimum(left, right) < LEAST
+    left *= right
+    left[few] = np.inf
+    gain /= left
+    last = gain.argmax(2)
+    most = np.take_along_axis(gain, last[:, :, None], 2)[:, :, 0] * count
+    best, every = most.argmax(0), np.arange(n.shape[1])
+    return np.where(most[best, every] > noise, best, -1), last[best, every]
 
 
 def _grown(x: np.ndarray, y: np.ndarray, w: np.ndarray, depth: int, m: int, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
@@ -85,8 +98,8 @@ def _grown(x: np.ndarray, y: np.ndarray, w: np.ndarray, depth: int, m: int, rng:
         for a in range(0, len(ids), step):
             b = min(a + step, len(ids))
             lo, hi = np.searchsorted(local, (a, b))
-            some = rows[lo:hi]
-            split[a:b], last[a:b] = _best(*_histograms(x[some], y[some], w[some], local[lo:hi] - a, picks[a:b]), noise)
+            some, own = rows[lo:hi], local[lo:hi]
+            split[a:b], last[a:b] = _best(*_histograms(x[some], y[some] - (value[ids] - centre)[own], w[some], own - a, picks[a:b]), noise)
         cutting = split >= 0
         feature[ids] = chosen = np.where(cutting, picks[np.arange(len(ids)), split], -1)
         cut[ids] = last
@@ -173,19 +186,19 @@ def _top(train: DataFrame, edges: list, sizes: list[int], limit: int, trees: int
                                 here = (at == node) & (w > 0)
                                 zero, pick = np.zeros(int(here.sum()), int), picks[i : i + 1]
                                 one, two = _histograms(x[here], ys[here], w[here], zero, pick)
-                                n[i], s[i] = n[i] + one[0], s[i] + two[0]
-                                rows[i] += _histograms(x[here], ys[here], np.ones(len(zero)), zero, pick)[0][0]
+                                n[i], s[i] = n[i] + one[:, 0], s[i] + two[:, 0]
+                                rows[i] += _histograms(x[here], ys[here], np.ones(len(zero)), zero, pick)[0][:, 0]
                                 squares[i] += w[here] @ ys[here] ** 2
                 i, j, b = np.nonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (i + first, j, b, n[i, j, b], s[i, j, b], rows[i, j, b], np.where((j == 0) & (b == n[i, 0].argmax(1)), squares[i], 0.0))], ["i", "j", "b", "n", "s", "r", "q"])
 
             def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-                n, s, r = (np.zeros((1, m, BINS)) for _ in range(3))
+                n, s, r = (np.zeros((m, 1, BINS)) for _ in range(3))
                 for into, c in ((n, "n"), (s, "s"), (r, "r")):
-                    into[0, pdf.j, pdf.b] = pdf[c]
+                    into[pdf.j, 0, pdf.b] = pdf[c]
                 count, mean = n[0, 0].sum(), s[0, 0].sum() / n[0, 0].sum()
                 split, last = _best(n, s - mean * n, 1e-12 * max(pdf.q.sum() - count * mean**2, 0.0))
-                rows = r[0, max(split[0], 0)]
+                rows = r[max(split[0], 0), 0]
                 return pd.DataFrame({"i": [pdf.i.iloc[0]], "j": split, "b": last, "mean": [mean], "lo": [rows[: last[0] + 1].sum()], "hi": [rows[last[0] + 1 :].sum()]})
 
             sums = train.mapInArrow(partial, "i long, j long, b long, n double, s double, r double, q double").groupBy("i", "j", "b").agg(*[F.sum(c).alias(c) for c in "nsrq"])
@@ -203,6 +216,12 @@ def _top(train: DataFrame, edges: list, sizes: list[int], limit: int, trees: int
     return splits, final
 
 
+def together(spark: SparkSession, trees: int) -> int:
+    """Trees that get their rows together: as many as leave work for all cores. Each further batch sends all rows once more, so that
+    their number must not follow that of the shuffle's partitions."""
+    return max(1, trees // (4 * spark.sparkContext.defaultParallelism))
+
+
 def forest_oof(df: DataFrame, features: Sequence[str], label: str, fold: str, folds: Sequence, trees: int, keep: Sequence[str] = (),
                predict: DataFrame | None = None, seed: int = 42, max_depth: int = 30) -> DataFrame:
     """Out-of-fold predictions `pred` of a regression forest: columns `keep`, fold, label and pred.
@@ -226,8 +245,7 @@ def forest_oof(df: DataFrame, features: Sequence[str], label: str, fold: str, fo
     edges = _edges(train, p, len(folds))
     limit = max(4 * LEAST, min(ROWS, BYTES // p))
     splits, final = _top(train, edges, sizes, limit, trees, m, seed, max_depth) if max(sizes, default=0) > limit else ({}, {})
-    # trees that get their rows together: as many as leave work for all tasks, one where the top parts the rows
-    batch_of = 1 if splits else max(1, len(folds) * trees // (4 * slots))
+    batch_of = 1 if splits else together(spark, len(folds) * trees)  # one where the top parts the rows
     top = spark.sparkContext.broadcast((splits, final))
 
     def dealt(x: np.ndarray, f: int, g: int) -> np.ndarray:

@@ -39,3 +39,34 @@ def test_large_node_that_no_feature_splits(spark, monkeypatch):
     d = spark.range(900).selectExpr("id", "cast(id % 3 as int) AS fold", "1D AS a", "id % 2 * 1D AS y")
     got = [r["pred"] for r in models.ml_oof(d, ["a"], "y", "fold", [0, 1, 2], "rf", 20, keep=["id"]).collect()]
     assert len(got) == 900 and np.allclose(got, 0.5, atol=0.05)
+
+
+def test_rows_are_sent_as_often_whatever_the_partitions(spark):
+    """The copies of the rows follow the cores; with 211 shuffle partitions each tree had its own."""
+    few = forest.together(spark, 1500)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    try:
+        assert forest.together(spark, 1500) == few > 1
+        d = planted(spark, 300)
+        o = models.ml_oof(d, ["a", "b", "c"], "y", "fold", [0, 1, 2], "rf", 100, keep=["id"])
+        assert len({r["id"] for r in o.collect()}) == 300
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_histograms_and_split():
+    """Sums by feature, node and bin, counted some features at a time; the split of the least variance."""
+    rng = np.random.default_rng(3)
+    x, y, w, at = rng.integers(0, forest.BINS, (3000, 6)).astype(np.uint8), rng.normal(size=3000), rng.integers(1, 4, 3000).astype(float), rng.integers(0, 3, 3000)
+    y = y / 100 + (x[:, 4] > 9)
+    mean = np.array([np.average(y[at == k], weights=w[at == k]) for k in range(3)])
+    picks = np.array([[4, 0, 1], [2, 4, 5], [3, 1, 4]])
+    n, s = forest._histograms(x, y - mean[at], w, at, picks)
+    for k in range(3):
+        for j in range(3):
+            here = at == k
+            assert np.allclose(n[j, k], np.bincount(x[here, picks[k, j]], w[here], forest.BINS))
+            assert np.allclose(s[j, k], np.bincount(x[here, picks[k, j]], (w * (y - mean[at]))[here], forest.BINS))
+    place, last = forest._best(n, s, 0.0)
+    assert [picks[k, place[k]] for k in range(3)] == [4, 4, 4] and all(last == 9)
