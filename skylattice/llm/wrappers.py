@@ -3,9 +3,11 @@
 A page is a stream of block tags, each followed by a text slot; inline markup is part of the text. Runs of equal stretches
 are folded into repeated groups. The streams of one host are aligned one after the other into a union-free regular
 expression: where tags differ, what only one side has becomes optional, and a stretch that one side repeats becomes a
-repeated group; text slots take any text. The expression is only shown: it decides no output. Main text is chosen by tag
-paths, the open elements around a text: by what they are (navigation, forms, notices, comments), by whether their text is
-the same on all pages of the host, and by how much text they hold.
+repeated group; text slots take any text. Every distinct stream is then matched against its host's expression: a slot of the
+expression whose text is the same on all of five pages or more, while these pages differ, belongs to the template and gives no
+text of pages without marked elements. Between the other slots, main text is chosen by tag paths, the open elements around a
+text: by what they are (navigation, forms, notices, comments), by whether their text is the same on all pages of the host, and
+by how much text they hold.
 
 Distinct streams are few, so each host's alignment sees one row for each distinct stream, in two levels: hosts are split by
 the stream's hash first, and the partial expressions are aligned afterwards. All pages count.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from skylattice.llm.url_rules import host_and_path
 from skylattice.llm.words import pieces
-from skylattice.operators.materialise import materialise
+from skylattice.operators.materialise import materialise, task_slots
 
 #: Texts of these elements are no text of the page.
 RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|object|select|canvas"
@@ -170,8 +172,8 @@ def _grouped(nodes: list[Node], units: set[tuple]) -> list[Node]:
     return nodes
 
 
-def align(wrapper: list[Node], page: list[Node]) -> list[Node]:
-    """The union-free expression that covers both."""
+def _compared(wrapper: list[Node], page: list[Node]) -> tuple[list[Node], list[Node], list[list[tuple]], list[list[int]]]:
+    """Both sides with the groups of the other, their keys, and the most tags that their rests from (i, j) on have in common."""
     wrapper = _grouped(wrapper, {_plain(n) for n in page if n[1]})
     page = _grouped(page, {_plain(n) for n in wrapper if n[1]})
     keys = [[(_plain(n), n[1]) if not n[1] else (_plain(n)[0], True) for n in side] for side in (wrapper, page)]
@@ -180,6 +182,13 @@ def align(wrapper: list[Node], page: list[Node]) -> list[Node]:
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
             best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + len(keys[0][i][0]) if keys[0][i] == keys[1][j] else 0)
+    return wrapper, page, keys, best
+
+
+def align(wrapper: list[Node], page: list[Node]) -> list[Node]:
+    """The union-free expression that covers both."""
+    wrapper, page, keys, best = _compared(wrapper, page)
+    n, m = len(wrapper), len(page)
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and keys[0][i] == keys[1][j] and best[i][j] == best[i + 1][j + 1] + len(keys[0][i][0]):
@@ -196,6 +205,27 @@ def align(wrapper: list[Node], page: list[Node]) -> list[Node]:
     return out
 
 
+def matched(wrapper: list[Node], page: list[Node]) -> list[int]:
+    """For each slot of the page its slot in the expression; -1 where the expression has none."""
+    wrapper, page, keys, best = _compared(wrapper, page)
+    n, m = len(wrapper), len(page)
+    out, i, j, at = [], 0, 0, 0
+    while j < m:
+        if i < n and keys[0][i] == keys[1][j] and best[i][j] == best[i + 1][j + 1] + len(keys[0][i][0]):
+            a, b = wrapper[i][0], page[j][0]
+            inner = [0] if isinstance(a, str) else matched(list(a), list(b))
+            out += [at + k if k >= 0 else -1 for k in inner]
+            at += len(_plain(wrapper[i]))
+            i, j = i + 1, j + 1
+        elif i < n and best[i + 1][j] >= best[i][j + 1]:
+            at += len(_plain(wrapper[i]))
+            i += 1
+        else:
+            out += [-1] * len(_plain(page[j]))
+            j += 1
+    return out
+
+
 def expression(nodes: list[Node]) -> str:
     """The wrapper as a regular expression over tags and text slots (#)."""
     def one(n: Node) -> str:
@@ -296,23 +326,32 @@ def _rows_of(page: str | None) -> tuple[list[Node], list[int], list[str]]:
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct streams by host, and statistics by host and path, summed over what the task reads.
 
-    Pages with text in marked elements count for these only (kind m), so that they decide nothing for other pages (kind p).
+    Pages with text in marked elements count for these only (kind m), so that they decide nothing for other pages (kind p),
+    whose texts are also counted by stream and slot (kind t), with the least and greatest hash of the page's whole text.
     """
     streams: dict[tuple[str, str], int] = defaultdict(int)
     stats: dict[tuple[str, str, str], list[int]] = {}
 
     def flush() -> pa.RecordBatch:
-        rows = [(h, "s", s, n, 0, 0, 0) for (h, s), n in streams.items()] + [(h, kind, p, *v) for (h, kind, p), v in stats.items()]
+        rows = [(h, "s", s, n, 0, 0, 0, 0, 0) for (h, s), n in streams.items()] + [(h, kind, p, *v) for (h, kind, p), v in stats.items()]
         streams.clear()
         stats.clear()
-        cols = list(zip(*rows, strict=True)) or [()] * 7
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string()] * 3 + [pa.int64()] * 4, strict=True)], ["host", "kind", "what", "pages", "chars", "lo", "hi"])
+        cols = list(zip(*rows, strict=True)) or [()] * 9
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string()] * 3 + [pa.int64()] * 6, strict=True)], ["host", "kind", "what", "pages", "chars", "lo", "hi", "plo", "phi"])
+
+    def count(key: tuple[str, str, str], some: list[str], whole: int) -> None:
+        h = xxhash.xxh64_intdigest("\n".join(some)) >> 1
+        v = stats.setdefault(key, [0, 0, h, h, whole, whole])
+        v[0] += 1
+        v[1] += sum(map(len, some))
+        v[2], v[3], v[4], v[5] = min(v[2], h), max(v[3], h), min(v[4], whole), max(v[5], whole)
 
     for piece in pieces(batches, "html"):
         for url, page in zip(piece.column(1).to_pylist(), piece.column(2).to_pylist(), strict=True):
             host = host_and_path(url)[0]
             nodes, slot_of, texts = _rows_of(page)
-            streams[host, json.dumps(nodes)] += 1
+            shape = json.dumps(nodes)
+            streams[host, shape] += 1
             where = paths(nodes)
             found: dict[str, list[str]] = defaultdict(list)
             for slot, text in zip(slot_of, texts, strict=True):
@@ -322,16 +361,24 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for p, some in found.items():
                 if kind == "m" and not _marked(p):
                     continue
-                h = xxhash.xxh64_intdigest("\n".join(some)) >> 1
-                v = stats.setdefault((host, kind, p), [0, 0, h, h])
-                v[0] += 1
-                v[1] += sum(map(len, some))
-                v[2], v[3] = min(v[2], h), max(v[3], h)
+                count((host, kind, p), some, 0)
+            if kind == "p":
+                whole, name = xxhash.xxh64_intdigest("\n".join(texts)) >> 1, _name_of(shape)
+                by_slot: dict[int, list[str]] = defaultdict(list)
+                for slot, text in zip(slot_of, texts, strict=True):
+                    if text:
+                        by_slot[slot].append(text)
+                for slot, some in by_slot.items():
+                    count((host, "t", f"{name}/{slot}"), some, whole)
         if len(streams) + len(stats) > 20_000:
             yield flush()
     yield flush()
 
 
+def _name_of(shape: str) -> str:
+    return xxhash.xxh64_hexdigest(shape)
+
+
 def _frozen(x) -> Node:
     return tuple(_frozen(i) for i in x) if isinstance(x, list) else x
 
@@ -348,11 +395,12 @@ def _aligned(some: list[str]) -> list[Node]:
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (expression), slots (paths of its text slots that hold main text) and same (paths of template text on
-    pages without marked elements), for every host; pages without host have ''."""
+    """host, wrapper (expression), slots (paths of its text slots that hold main text) same (paths of template text on
+    pages without marked elements), nodes (of the expression, where it has such slots) and fixed (numbers of its slots that hold
+    template text), for every host; pages without host have ''."""
     found = materialise(pages.select(F.lit(0), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-                        .mapInArrow(_survey, "host string, kind string, what string, pages long, chars long, lo long, hi long")
-                        .groupBy("host", "kind", "what").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+                        .mapInArrow(_survey, "host string, kind string, what string, pages long, chars long, lo long, hi long, plo long, phi long")
+                        .groupBy("host", "kind", "what").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("plo").alias("plo"), F.max("phi").alias("phi")))
 
     def partial(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["pages", "what"], ascending=[False, True])
@@ -365,28 +413,51 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         wrapper = _aligned(some.what.tolist())
         known = {r.what: (int(r.pages), int(r.chars), r.lo == r.hi) for r in stats.itertuples() if r.kind == "p"}
         slots = main_paths(known) | {r.what for r in stats.itertuples() if r.kind == "m"}
-        return pd.DataFrame({"host": [some.host.iloc[0]], "wrapper": [expression(wrapper)], "slots": [json.dumps(sorted(slots))], "same": [json.dumps(sorted(same_paths(known)))]})
+        return pd.DataFrame({"host": [some.host.iloc[0]], "wrapper": [expression(wrapper)], "slots": [json.dumps(sorted(slots))], "same": [json.dumps(sorted(same_paths(known)))], "nodes": [json.dumps(wrapper)]})
+
+    about = materialise(part.groupBy("host").cogroup(found.where("kind IN ('p', 'm')").groupBy("host")).applyInPandas(whole, "host string, wrapper string, slots string, same string, nodes string"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(host, f"{_name_of(shape)}/{k}", slot) for host, shape, nodes in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, slot in enumerate(matched(_nodes(nodes), _nodes(shape)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 3, (pa.string(), pa.string(), pa.int32()), strict=True)], ["host", "what", "slot"])
+
+    texts = found.where("kind = 't'")
+    streams = found.where("kind = 's'").select("host", "what").repartition(task_slots(pages.sparkSession), "host", "what")
+    placed = streams.join(about.select("host", "nodes"), "host").mapInArrow(place, "host string, what string, slot int")
+    slots = texts.join(placed, ["host", "what"]).where("slot >= 0").groupBy("host", "slot").agg(F.sum("pages").alias("pages"), *[F.min(c).alias(c) for c in ("lo", "plo")], *[F.max(c).alias(c) for c in ("hi", "phi")])
+    fixed = slots.where("pages >= 5 AND lo = hi AND plo < phi").groupBy("host").agg(F.to_json(F.sort_array(F.collect_list("slot"))).alias("fixed"))
+    return materialise(about.join(fixed, "host", "left").withColumn("nodes", F.when(F.col("fixed").isNotNull(), F.col("nodes"))))
+
 
-    return materialise(part.groupBy("host").cogroup(found.where("kind <> 's'").groupBy("host")).applyInPandas(whole, "host string, wrapper string, slots string, same string"))
+@lru_cache(1 << 10)
+def _expression_slots(wrapper: str, page: tuple[Node, ...]) -> list[int]:
+    return matched(_nodes(wrapper), list(page))
 
 
-def extract(page: str | None, slots: frozenset[str], same: frozenset[str] = frozenset()) -> str:
+def extract(page: str | None, slots: frozenset[str], same: frozenset[str] = frozenset(), fixed: frozenset[int] = frozenset(), wrapper: str = "[]") -> str:
     """The texts of the page's slots that hold main text, in page order.
 
     These are its marked ones, else those whose paths are among `slots`. A page of another layout, which has neither, is
     judged by its own texts: without those of the paths `same`, or with them if there are no others.
+    On pages without marked ones, slots that are among `fixed` in the host's expression `wrapper` give no text, unless all are.
     """
     nodes, slot_of, texts = _rows_of(page)
     where = paths(nodes)
-    rows = [(where[s], t) for s, t in zip(slot_of, texts, strict=True) if t]
+    rows = [(where[s], t, s) for s, t in zip(slot_of, texts, strict=True) if t]
     chars: dict[str, int] = defaultdict(int)
-    for p, t in rows:
+    for p, t, _ in rows:
         if _free(p):
             chars[p] += len(t)
-    used = set(filter(_marked, chars)) or chars.keys() & slots
+    marked = set(filter(_marked, chars))
+    used = marked or chars.keys() & slots
     if not used:
         used = main_paths({p: (1, n, False) for p, n in chars.items() if p not in same} or {p: (1, n, False) for p, n in chars.items()})
-    return "\n\n".join(t for p, t in rows if p in used)
+    rows = [row for row in rows if row[0] in used]
+    if fixed and not marked:
+        at = _expression_slots(wrapper, tuple(nodes))
+        rows = [row for row in rows if at[row[2]] not in fixed] or rows
+    return "\n\n".join(t for _, t, _ in rows)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -395,21 +466,21 @@ def main_text(pages: DataFrame) -> DataFrame:
     A null or empty page has an empty text. Pages whose url is null or has no host share one wrapper. Repeated rows are
     extracted one by one; other columns are ignored.
     """
-    wrappers = infer_wrappers(pages).select("host", "slots", "same")
-    size = wrappers.agg(F.sum(F.length("host") + F.length("slots") + F.length("same"))).first()[0] or 0
+    wrappers = infer_wrappers(pages).select("host", "slots", "same", "fixed", "nodes")
+    size = wrappers.agg(F.sum(F.length(F.concat_ws("", *wrappers.columns)))).first()[0] or 0
     host = F.expr("translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, frozenset[str]] = {}
+        known: dict[str | None, frozenset] = {}
         for piece in pieces(batches, "html"):
             out = []
-            for page, *lists in zip(*(piece.column(k).to_pylist() for k in (2, 4, 5)), strict=True):
+            for page, *lists, nodes in zip(*(piece.column(k).to_pylist() for k in (2, 4, 5, 6, 7)), strict=True):
                 for some in lists:
                     if some not in known:
                         known[some] = frozenset(json.loads(some or "[]"))
-                out.append(extract(page, *(known[some] for some in lists)))
+                out.append(extract(page, *(known[some] for some in lists), nodes or "[]"))
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = rows.join(F.broadcast(wrappers) if size <= SMALL else wrappers, "host", "left").select("page_id", "url", "html", "host", "slots", "same")
+    joined = rows.join(F.broadcast(wrappers) if size <= SMALL else wrappers, "host", "left").select("page_id", "url", "html", "host", "slots", "same", "fixed", "nodes")
     return joined.mapInArrow(read, "page_id long, url string, text string, n_chars long")

@@ -159,6 +159,31 @@ def test_wrapper_alignment():
     assert wrappers.expression(wrappers.align(a, b)) == "<html># <ul># (<li>#)+ </ul># <h1>#? (<p>#)+"
 
 
+def test_slots_of_the_expression_decide(spark):
+    """Text that a template puts among the paragraphs is told by its slot, although its path is that of the article's text."""
+    pages = [(i, f"http://h.com/{i}", f"<div class=big><p>First {'words ' * 9}{i}</p><hr><p>Read this later</p><h3>Part {i}</h3><p>Second {'words ' * 9}{i}</p>{'<ul><li>point</ul>' if i % 2 else ''}</div>") for i in range(8)]
+    # exact copies have nothing to tell a template by, and a page of template text alone keeps it
+    pages += [(20 + i, "http://k.com/", "<div class=big><p>Same page</p><hr><p>Read this later</p></div>") for i in range(6)]
+    pages += [(30 + i, f"http://m.com/{i}", f"<main><p>First {i}</p><hr><p>Kept as marked</p></main>") for i in range(6)]
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[2] == f"First {'words ' * 9}2\n\nPart 2\n\nSecond {'words ' * 9}2" and "later" not in got[3]
+    assert got[22] == "Same page\n\nRead this later" and got[31] == "First 1\n\nKept as marked"
+
+
+def test_slots_of_a_page_in_the_expression():
+    """Slots of each stream have their places in the expression of all, in order, groups and optional parts included."""
+    streams = ["html ul li li li /ul p", "html ul li /ul h1 p p", "html div p /div ul li li /ul h1", "html h1"]
+    folded = [wrappers.fold(s.split()) for s in streams]
+    nodes = folded[0][0]
+    for other, _ in folded[1:]:
+        nodes = wrappers.align(nodes, other)
+    tags = wrappers._plain((tuple(nodes), False, False))
+    for some, slots in folded:
+        own = wrappers._plain((tuple(some), False, False))
+        at = wrappers.matched(nodes, some)
+        assert len(at) == len(own) == max(slots) + 1 and at == sorted(set(at)) and [tags[k] for k in at] == list(own)
+
+
 def test_shared_pages(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r in wrappers.main_text(df).join(df.select("page_id", "html"), "page_id").collect():
