@@ -309,6 +309,8 @@ def forest_oof(df: DataFrame, features: Sequence[str], label: str, fold: str, fo
         asked.select(F.col("__f").alias("f"), F.col("__id").alias("h"), F.lit(0.0).alias("y"), F.col("__x").alias("x")).mapInArrow(spread(1), shape))
     groups = len(folds) * -(-trees // batch_of) + sum(map(len, splits.values()))
     parts = min(2000, max(slots, 2 * groups))
-    told = (both.repartition(parts, "f", "g", "node").sortWithinPartitions("f", "g", "node", "kind", "h")
+    # batches of trees are few and long, so that two of them in one partition by their hash would make the last tasks wait
+    dealt_out = both.repartition(parts, "f", "g", "node") if splits else both.repartitionById(parts, F.col("f") * -(-trees // batch_of) + F.col("g"))
+    told = (dealt_out.sortWithinPartitions("f", "g", "node", "kind", "h")
             .mapInArrow(fit, "__id long, s double, k long").groupBy("__id").agg((F.sum("s") / F.nullif(F.sum("k"), F.lit(0))).alias("pred")))
     return asked.join(told.hint("merge"), "__id", "left").select(*keep, fold, label, "pred")
