@@ -1,10 +1,13 @@
+import hashlib
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from skylattice.functions import calendar as cal
 from skylattice.functions import geodesy as geo
+from skylattice.functions import hashing
 from skylattice.functions import values as val
 from skylattice.functions.special import with_emg, with_erfc
 
@@ -84,3 +87,10 @@ def test_ring_and_corridor(spark):
     r = one(spark, inside=geo.in_ring(F.lit(0.5), F.lit(1.0), ring), notch=geo.in_ring(F.lit(2.0), F.lit(3.0), ring),
             near=geo.in_corridor(F.lit(5.0), F.lit(3.0), [(0.0, 0.0), (4.0, 0.0)], 3.5), far=geo.in_corridor(F.lit(9.0), F.lit(0.0), [(0.0, 0.0), (4.0, 0.0)], 3.5))
     assert tuple(r) == (True, False, True, False)
+
+
+def test_digest_heads_are_those_of_md5():
+    texts = ["", "7", "abc", "é" * 9, "x" * 43, "y" * 44, "z" * 90, None]
+    for some in (texts[:5], texts[:7], texts[1:2] * 3, []):
+        got = hashing.digest_heads("42:1:donor:", *hashing.side_by_side(pa.array(some, pa.string())))
+        assert [f"{h:016x}" for h in got] == [hashlib.md5(f"42:1:donor:{t}".encode()).hexdigest()[:16] for t in some]

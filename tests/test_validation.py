@@ -152,6 +152,46 @@ def test_shuffled_sums_equal_those_of_shuffled_tables(spark):
     assert set(got) == set(want) and len(got) == 18 and all(np.allclose(got[k], want[k]) for k in got)
 
 
+def test_folds_held_by_tasks_give_the_sums_of_rows_in_copies(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(k, None if i == 3 else i // 2 if i < 12 else i, None if i % 7 == 0 else i % 3, float(rng.normal()), None if i % 11 == 5 else float(rng.normal()),
+             None if i % 13 == 4 and k else float(rng.normal())) for k in (1, 2) for i in range(120)]
+    rows += rows[40:60]
+    df = spark.createDataFrame(rows, "k int, id long, fold int, x double, g double, y double").repartition(3)
+    df = df.withColumn("g", F.when(F.col("id") >= 6, F.col("g")).otherwise(1.0)).withColumn("x", F.when(F.col("id") >= 6, F.col("x")).otherwise(2.0))
+    df = df.withColumn("y", F.when(F.col("id") >= 6, F.col("y")).otherwise(0.5))  # rows of one id are alike: the order among them is free
+
+    def sums():
+        return {(r["k"], r["rep"], r["fold"]): r["xx"] for r in models.shuffled_sums(df, ["x"], ["g"], "y", "fold", "id", 9, 5, ["k"]).collect()}
+
+    held = sums()
+    monkeypatch.setattr(models, "HELD", 0)
+    copied = sums()
+    assert held.keys() == copied.keys() and len(held) == 2 * 9 * 4
+    for key, want in copied.items():
+        np.testing.assert_allclose(held[key], want, rtol=1e-9, atol=1e-9)
+
+
+def test_no_replicate_copies_rows_or_shuffles_predictions(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"id": np.arange(90), "cell": np.arange(90) // 3, "fold": np.arange(90) % 3, "x": rng.normal(size=90), "g": rng.normal(size=90)})
+    pdf["y"] = pdf.x + pdf.g + rng.normal(size=90)
+    df = spark.createDataFrame(pdf).withColumn("y", F.when(F.col("id") % 10 != 4, F.col("y"))).withColumn("x", F.when(F.col("id") % 17 != 3, F.col("x")))
+    coef = models.ridge_coefficients(models.fold_sums(df.where("x IS NOT NULL"), ["x", "g"], "y", "fold").crossJoin(spark.createDataFrame([(0,), (1,)], "rep int")), 4, "fold", ["rep"], [1.0])
+    scores = ["r2", "rmse", "mae", "spatial_r2", "temporal_r2", "n_rows"]
+    want = statistics.skill_split(models.ridge_predictions(df, coef, ["x", "g"], "fold", ["rep"]), "cell", "y", "pred", ["rep"]).orderBy("rep").select(scores).toPandas()
+    monkeypatch.setattr(models, "ERRORS", 8)  # four rows at once: cells go on over their borders
+    got = models.replicate_skill(df, coef, ["x", "g"], "y", "fold", "cell", []).orderBy("rep").select(scores).toPandas()
+    np.testing.assert_allclose(got.to_numpy(float), want.to_numpy(float), rtol=1e-9)
+
+    def copies(*args, **kwargs):
+        raise AssertionError("a row was copied for every replicate")
+
+    monkeypatch.setattr(models, "position_within", copies)
+    monkeypatch.setattr(models, "ridge_predictions", copies)
+    assert models.row_permutation_scores(df.where("x IS NOT NULL"), ["x"], ["g"], "y", "fold", "cell", 6, 1).count() == 7
+
+
 def test_row_permutation_scores_equal_those_of_shuffled_tables(spark):
     df = model_rows(spark)
     got = {r["rep"]: r["score"] for r in models.row_permutation_scores(df, ["x"], ["g"], "y", "fold", "id", 4, 1, "r2").collect()}
