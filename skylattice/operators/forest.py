@@ -22,8 +22,9 @@ from skylattice.operators.materialise import materialise, task_slots
 
 #: Bins of a feature, and training rows (counted with their weights) that a child must have.
 BINS, LEAST = 32, 5
-#: Training rows, and bytes of their bins, of a node that one task grows; larger ones are split by all tasks.
-ROWS, BYTES = 1 << 18, 1 << 24
+#: Training rows, and bytes of their bins, of a node that one task grows; larger ones are split by all tasks. A task needs some nine
+#: times these bytes. Where the whole training set is more, every tree gets its own copy of the rows, so the limit is what a task can hold.
+ROWS, BYTES = 1 << 20, 5 << 23
 #: Cells of the histograms that a task sums at once, and entries that it counts at once.
 CELLS, COUNTED = 1 << 20, 1 << 16
 
@@ -216,6 +217,11 @@ def _top(train: DataFrame, edges: list, sizes: list[int], limit: int, trees: int
     return splits, final
 
 
+def one_task(p: int) -> int:
+    """Training rows of p features that one task grows."""
+    return max(4 * LEAST, min(ROWS, BYTES // p))
+
+
 def together(spark: SparkSession, trees: int) -> int:
     """Trees that get their rows together: as many as leave work for all cores. Each further batch sends all rows once more, so that
     their number must not follow that of the shuffle's partitions."""
@@ -243,7 +249,7 @@ def forest_oof(df: DataFrame, features: Sequence[str], label: str, fold: str, fo
     counts = {r["f"]: r["count"] for r in train.groupBy("f").count().collect()}
     sizes = [sum(counts.values()) - counts.get(f, 0) for f in range(len(folds))]
     edges = _edges(train, p, len(folds))
-    limit = max(4 * LEAST, min(ROWS, BYTES // p))
+    limit = one_task(p)
     splits, final = _top(train, edges, sizes, limit, trees, m, seed, max_depth) if max(sizes, default=0) > limit else ({}, {})
     batch_of = 1 if splits else together(spark, len(folds) * trees)  # one where the top parts the rows
     top = spark.sparkContext.broadcast((splits, final))

@@ -55,6 +55,11 @@ def test_rows_are_sent_as_often_whatever_the_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
+def test_half_a_million_vectors_are_held_by_one_task():
+    """Two thirds of 720,000 vectors of 64 entries train together; beyond the limit each of 1,500 trees has a copy of them."""
+    assert forest.one_task(64) >= 480_000 and forest.one_task(64) * 64 <= forest.BYTES and forest.one_task(5) == forest.ROWS
+
+
 def test_histograms_and_split():
     """Sums by feature, node and bin, counted some features at a time; the split of the least variance."""
     rng = np.random.default_rng(3)
