@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skylattice.operators import forest, models
 from skylattice.operators.statistics import skill
+from skylattice.plans import CATALOGUE
 
 
 def planted(spark, n=4000):
@@ -60,6 +61,21 @@ def test_half_a_million_vectors_are_held_by_one_task():
     assert forest.one_task(64) >= 480_000 and forest.one_task(64) * 64 <= forest.BYTES and forest.one_task(5) == forest.ROWS
 
 
+def test_ablation_grows_whole_forests(spark, monkeypatch, tmp_path):
+    """Each of its five feature sets has forests of 500 trees, as `oof_forest` has."""
+    rows = [(i, f"Brand#{i % 5}", f"T{i % 3}", i % 50, 900.0 + i) for i in range(1, 400, 3)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    seen = []
+
+    def grown(df, features, label, fold, folds, trees, keep=(), predict=None):
+        seen.append((trees, len(folds)))
+        return predict.select(*keep, fold, label, F.lit(0.0).alias("pred"))
+
+    monkeypatch.setattr(models, "forest_oof", grown)
+    assert CATALOGUE["ablation_forest"].plan(spark, str(tmp_path)).count() == 5
+    assert seen == [(500, 5)] * 5
+
+
 def test_histograms_and_split():
     """Sums by feature, node and bin, counted some features at a time; the split of the least variance."""
     rng = np.random.default_rng(3)
