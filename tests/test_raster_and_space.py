@@ -272,6 +272,33 @@ def test_point_beside_a_tip_is_outside(spark):
     assert [tuple(r) for r in covering.points_in_areas(points, areas, "rings", 1.0, ["p"], ["a"]).collect()] == [(2, 1)]
 
 
+@pytest.mark.parametrize("crowded", [0, 1 << 40])
+def test_no_pair_is_tested_by_itself(spark, monkeypatch, crowded):
+    """Squares tested alone and many at once, over the borders of batches, hit what the expression of a pair hits."""
+    def pair(*args):
+        raise AssertionError("a pair was tested by itself")
+
+    rng = np.random.default_rng(4)
+    ring = lambda n: [{"x": float(a), "y": float(b)} for a, b in np.round(rng.uniform(-2, 4, (n, 2)) * 4) / 4]
+    areas = spark.createDataFrame([(k, [ring(3 + k % 5), ring(4)][: 1 + k % 2]) for k in range(40)] * 2, f"a int, rings {RINGS}")
+    rows = [(i, None if i % 9 == 0 else float(x), float(y)) for i, (x, y) in enumerate(np.round(rng.uniform(-2, 4, (400, 2)) * 8) / 8)]
+    points = spark.createDataFrame([*rows, *rows[:50]], "p int, x double, y double")
+    p = points.where("x IS NOT NULL").select(F.col("p"), F.col("x").alias("px"), F.col("y").alias("py"), F.floor("x").alias("cx"), F.floor("y").alias("cy"))
+    met = covering._with_blocks(p).join(covering.covering(areas, "rings", 1.0, ["a"]), ["level", "cx", "ky"])
+    met = met.where(covering._inside(F.col("px"), F.col("py"), 1.0)).select("p", "area.a", F.explode(F.sequence(F.lit(1), F.col("area.copies").cast("int"))))
+    want = sorted((r["p"], r["a"]) for r in met.collect())
+    monkeypatch.setattr(covering, "_inside", pair)
+    monkeypatch.setattr(covering, "CROWDED", crowded)
+    monkeypatch.setattr(covering, "PAIRS", 50)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = covering.points_in_areas(points, areas, "rings", 1.0, ["p"], ["a"])
+        assert got.columns == ["p", "a"] and sorted(map(tuple, got.collect())) == want and len(want) > 4000
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 def test_crowded_block_is_met_in_squares(spark, monkeypatch):
     """A block with many points and areas is dealt to several tasks, and every pair is found once."""
     monkeypatch.setattr(covering, "SIDE", 10)
