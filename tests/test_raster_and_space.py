@@ -215,6 +215,13 @@ def test_row_digest_separates_rows(spark):
     assert rows.select(row_digest([F.col("p"), F.col("q")]).alias("d")).distinct().count() == 6
 
 
+def test_kernel_neighbours_meet_before_they_are_spread(spark):
+    """A stretch of a row is brought together before each of its points becomes many, along x and along y."""
+    d = spark.range(300).selectExpr("id % 20 + 0.5D AS x", "id div 20 + 0.5D AS y", "1D AS v")
+    plan = spatial.kernel_sum(d, "v", 2.0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 2
+
+
 @pytest.mark.parametrize("spacing", [1.0, 0.25])
 def test_kernel_sums_equal_all_pairs(spark, spacing):
     """Holes, repeated locations, an origin off zero, and weights far beyond four sigma."""
